@@ -297,10 +297,10 @@ STATS = """
  xt AS (SELECT series_key, sum(g) AS s0_, sum(g * t) AS s1_, sum(g * t * t) AS s2_, sum(g * y) AS y0_, sum(g * t * y) AS y1_
    FROM (SELECT series_key, t, exp(2 * (-1 + t::DOUBLE / (n - 1))) AS g, CASE WHEN v > -1 THEN ln(v + 1) END AS y FROM obs) GROUP BY series_key),
  xl AS (SELECT series_key, (s0_ * y1_ - s1_ * y0_) / (s0_ * s2_ - s1_ * s1_) AS lb, (y0_ - (s0_ * y1_ - s1_ * y0_) / (s0_ * s2_ - s1_ * s1_) * s1_) / s0_ AS la FROM xt),
- p0 AS (SELECT series_key, t % 12 AS ph, avg(v) FILTER (v > 0) AS pm, avg(v) AS am, avg(t) AS at FROM obs GROUP BY 1, 2),
- p1 AS (SELECT p0.series_key, ph, am, at, n, coalesce(pm / mean_pos, 1) AS idx FROM p0 JOIN s0 USING (series_key)),
+ p0 AS (SELECT series_key, t % 12 AS ph, avg(v) FILTER (v > 0) AS pm, avg(v) AS am, avg(t) AS tm FROM obs GROUP BY 1, 2),
+ p1 AS (SELECT p0.series_key, ph, am, tm, n, coalesce(pm / mean_pos, 1) AS idx FROM p0 JOIN s0 USING (series_key)),
  p2 AS (SELECT *, (coalesce(lag(idx) OVER o, 0) + idx + coalesce(lead(idx) OVER o, 0)) / 3 AS sm FROM p1 WINDOW o AS (PARTITION BY series_key ORDER BY ph)),
- season AS (SELECT series_key, ph, am, at, CASE WHEN n >= 24 THEN sm / avg(sm) OVER (PARTITION BY series_key) ELSE 1 END AS idx FROM p2),
+ season AS (SELECT series_key, ph, am, tm, CASE WHEN n >= 24 THEN sm / avg(sm) OVER (PARTITION BY series_key) ELSE 1 END AS idx FROM p2),
  line AS (SELECT series_key, CASE WHEN (m12 - f12) / (f12 + 1) < -0.3 THEN 0 ELSE slope END AS b FROM s0)
 """
 
@@ -311,7 +311,7 @@ def paths(horizon: str = "12") -> str:
  fc0 AS (SELECT s4.*, h, horizon, drift, wma, b AS line_b, mean_v - b * (n - 1) / 2 AS line_a, la, lb
    FROM (SELECT *, {horizon} AS horizon FROM s4) s4 JOIN wm USING (series_key) JOIN wd USING (series_key) JOIN xl USING (series_key) JOIN line USING (series_key),
    LATERAL (SELECT unnest(range(1, horizon + 1)) AS h)),
- fc1 AS (SELECT fc0.*, a.idx AS idx, z.am - (line_a + line_b * z.at) AS resid FROM fc0
+ fc1 AS (SELECT fc0.*, a.idx AS idx, z.am - (line_a + line_b * z.tm) AS resid FROM fc0
    JOIN season a ON a.series_key = fc0.series_key AND a.ph = (h - 1) % 12
    JOIN season z ON z.series_key = fc0.series_key AND z.ph = (n + h - 1) % 12),
  fc2 AS (SELECT *,
