@@ -414,7 +414,7 @@ def _at_level(f: Callable[[DataFrame], DataFrame], level: str) -> Query:
 
 
 def _demand(df):
-    return rounded(profile.demand_profile(df), 6, "pct_non_zero", "adi", "cv2")
+    return rounded(profile.demand_profile(df), 9, "pct_non_zero", "adi", "cv2")
 
 
 def _growth(df):
@@ -442,7 +442,7 @@ def _fc(method: str, level: str) -> Query:
     return run
 
 
-CLOSED_NAMES = {m: ("trend_season" if m == "prophet" else m) for m in closed_form.COLUMNS}
+CLOSED_NAMES = {m: ("trend_season" if m == "prophet" else m) for m in closed_form.METHODS_CLOSED}
 for _method, _name in CLOSED_NAMES.items():
     register(f"fc_{_name}", _fc(_method, "item"))
     register(f"fc_{_name}_cell", _fc(_method, "cell"))
@@ -462,8 +462,8 @@ def _one(column: str | Column, level: str = "item", horizon: int = 12) -> Query:
 
 @query
 def fc_growth_base(spark, sf):
-    wide = combine.with_base_methods(closed_form.steps(closed_form.levels(series_state(indexed(spark, sf)))), CFG)
-    return rounded(wide.select("series_key", "h", closed_form.growth_base(CFG).alias("yhat")), 6, "yhat")
+    wide = closed_form.with_closed_forms(closed_form.steps(closed_form.levels(series_state(indexed(spark, sf)))), CFG)
+    return rounded(wide.select("series_key", "h", F.expr(closed_form.GROWTH_BASE).alias("yhat")), 6, "yhat")
 
 
 register("fc_intelligent_growth", _one("intelligent_growth", horizon=24))
@@ -475,7 +475,7 @@ register("fc_advanced_ensemble_closed_cell", _one("advanced_ensemble", "cell"))
 
 @query
 def fc_smart_calibration(spark, sf):
-    wide = combine.with_base_methods(closed_form.steps(closed_form.levels(series_state(indexed(spark, sf), horizon=30))), CFG)
+    wide = closed_form.with_closed_forms(closed_form.steps(closed_form.levels(series_state(indexed(spark, sf), horizon=30))), CFG)
     wide = combine.with_smart_calibration(wide, "croston")
     return rounded(wide.select("series_key", "h", F.col("croston_calibrated").alias("yhat")), 6, "yhat")
 

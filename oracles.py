@@ -424,7 +424,7 @@ def forecasting() -> dict[str, str]:
         q[f"demand_profile_{level}"] = f"""WITH {observed(level)}, {STATS}, d AS (SELECT series_key, n, nnz * 100.0::DOUBLE / n AS pct,
             CASE WHEN nnz > 1 THEN (hits[len(hits)] - hits[1])::DOUBLE / (nnz - 1) ELSE n END AS adi,
             CASE WHEN nnz > 1 THEN (sd_pos / mean_pos) ** 2 ELSE 0 END AS cv2 FROM s0)
-          SELECT series_key, n, {r('pct', 6, 'pct_non_zero')}, {r('adi', 6, 'adi')}, {r('cv2', 6, 'cv2')},
+          SELECT series_key, n, {r('pct', 9, 'pct_non_zero')}, {r('adi', 9, 'adi')}, {r('cv2', 9, 'cv2')},
             pct < 50 OR adi > 1.32 AS is_intermittent, cv2 > 0.5 AS is_volatile FROM d"""
         q[f"growth_profile_{level}"] = f"""WITH {observed(level)}, {STATS}, g AS (SELECT *, {GROWTH} FROM s0)
           SELECT series_key, yoy > 5 AND direction IN ('growing', 'accelerating') AS has_growth, {r('yoy', 6, 'yoy_growth_pct')},

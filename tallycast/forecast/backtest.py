@@ -5,28 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallycast.config import METHODS, EngineConfig
+from tallycast.config import METHODS
 from tallycast.forecast.combine import to_long, with_advanced_ensemble
+from tallycast.functions.columns import add
 
 METRIC_COLUMNS = ("mae", "rmse", "smape", "mae_pct", "bias", "bias_pct", "score_pct", "mase")
+# Entries of a forecast that is zero throughout and therefore not scored.
+UNSCORED = {"mae": "0D", "rmse": "0D", "smape": "100D", "mae_pct": "100D", "bias": "0D", "mase": "0D"}
 
 
 def compat_methods(wide: DataFrame) -> DataFrame:
     """The narrower ensembles and the fallback slot that the specification backtests with."""
     df = with_advanced_ensemble(wide, members=("croston", "sba", "weighted_ma"))
-    return df.withColumn(
-        "ensemble", (F.col("exp_smoothing") + F.col("croston") + F.col("weighted_ma")) / 3
-    ).withColumn("prophet", F.col("exp_smoothing"))
-
-
-def with_actual(wide: DataFrame) -> DataFrame:
-    """Add the held-out value of each step; a period without lines was zero demand."""
-    step = (F.col("n") + F.col("h") - 1).cast("int")
-    return wide.withColumn("actual", F.coalesce(F.try_element_at("actuals", step), F.lit(0.0)))
-
-
-def _mean_where(cond: Column, x: Column, default: float) -> Column:
-    return F.coalesce(F.avg(F.when(cond, x)), F.lit(default))
+    return add(df, {"ensemble": "(exp_smoothing + croston + weighted_ma) / 3", "prophet": "exp_smoothing"})
 
 
 def backtest_metrics(
@@ -35,37 +26,34 @@ def backtest_metrics(
     """Eight error measures per (series_key, method) from wide forecasts at the holdout origin.
 
     Grouping by (series, method) keeps the partitioning by series, so nothing is shuffled.
+    A held-out step without lines was zero demand.
     """
-    wide = compat_methods(holdout) if compat else holdout
-    naive = F.col("naive_sum") / (F.col("n") - 1)
-    wide = with_actual(wide).withColumn("naive", naive)
-    long = to_long(wide, methods, ("series_key", "h", "actual", "naive"))
-    # Rounding noise around zero is not demand; it would count as a full miss in sMAPE.
-    long = long.withColumn("yhat", F.when(F.abs("yhat") < 1e-9, 0.0).otherwise(F.col("yhat")))
-    a, f = F.col("actual"), F.col("yhat")
-    gap, middle = F.abs(a - f), (F.abs(a) + F.abs(f)) / 2
-    per = long.groupBy("series_key", "method", "method_ord").agg(
-        F.avg(gap).alias("mae"),
-        F.sqrt(F.avg(gap * gap)).alias("rmse"),
-        (_mean_where(middle > 0, gap / middle, 1.0) * 100).alias("smape"),
-        (_mean_where(a > 0, gap / a, 0.0) * 100).alias("mae_pct"),
-        F.avg(f - a).alias("bias"),
-        F.avg(a).alias("demand"),
-        F.max("naive").alias("naive"),
-        F.bool_and(f == 0).alias("empty"),
+    wide = add(
+        compat_methods(holdout) if compat else holdout,
+        {
+            "a": "coalesce(try_element_at(actuals, CAST(n + h - 1 AS INT)), 0D)",
+            "naive": "naive_sum / (n - 1)",
+        },
     )
-    demand = F.when(F.col("demand") > 0, F.col("demand")).otherwise(1.0)
-    per = per.withColumn("bias_pct", F.col("bias") / demand * 100)
-    per = per.withColumn("score_pct", F.col("mae_pct") + F.abs("bias_pct"))
-    per = per.withColumn("mase", F.when(F.col("naive") > 0, F.col("mae") / F.col("naive")).otherwise(0.0))
-    # An all-zero forecast is not scored: fixed entries, no bias percent and no score.
-    unscored = {"mae": 0.0, "rmse": 0.0, "smape": 100.0, "mae_pct": 100.0, "bias": 0.0, "mase": 0.0}
-    columns = []
-    for m in METRIC_COLUMNS:
-        value = F.lit(unscored[m]) if m in unscored else F.lit(None).cast("double")
-        columns.append(F.when(F.col("empty"), value).otherwise(F.col(m)).alias(m))
-    status = F.when(F.col("empty"), "empty").otherwise("ok").alias("status")
-    return per.select("series_key", "method", "method_ord", *columns, status)
+    long = to_long(wide, methods, ("series_key", "h", "a", "naive"))
+    # Rounding noise around zero is not demand; it would count as a full miss in sMAPE.
+    long = add(long, {"f": "if(abs(yhat) < 1e-9, 0D, yhat)"})
+    long = add(long, {"gap": "abs(a - f)", "middle": "(abs(a) + abs(f)) / 2"})
+    aggs = {
+        "mae": "avg(gap)",
+        "rmse": "sqrt(avg(gap * gap))",
+        "smape": "coalesce(avg(if(middle > 0, gap / middle, NULL)), 1D) * 100",
+        "mae_pct": "coalesce(avg(if(a > 0, gap / a, NULL)), 0D) * 100",
+        "bias": "avg(f - a)",
+        "demand": "avg(a)",
+        "naive": "max(naive)",
+        "empty": "bool_and(f = 0)",
+    }
+    per = long.groupBy("series_key", "method", "method_ord").agg(*[F.expr(x).alias(k) for k, x in aggs.items()])
+    per = add(per, {"bias_pct": "bias / if(demand > 0, demand, 1D) * 100", "mase": "if(naive > 0, mae / naive, 0D)"})
+    per = add(per, {"score_pct": "mae_pct + abs(bias_pct)"})
+    scores = [f"if(empty, {UNSCORED.get(m, 'NULL')}, {m}) AS {m}" for m in METRIC_COLUMNS]
+    return per.selectExpr("series_key", "method", "method_ord", *scores, "if(empty, 'empty', 'ok') AS status")
 
 
 def best_method(metrics: DataFrame, by: str = "smape", compat: bool = False) -> DataFrame:

@@ -1,74 +1,63 @@
 """Methods that are arithmetic on the series state.
 
-``levels`` turns the state into a few numbers per series; ``COLUMNS`` gives the forecast
-of each method at step ``h`` as a Column. No method needs a shuffle of its own.
+``levels`` turns the state into a few numbers per series; ``EXPRESSIONS`` gives the
+forecast of each method at step ``h`` as SQL. No method needs a shuffle of its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.config import EngineConfig
-from tallycast.forecast.profile import line_slope, with_season
-from tallycast.forecast.state import ADIDA_LEVELS, PROB_ALPHA, SEASON, SIZE_ALPHA
+from tallycast.forecast.profile import line_slope, season_at, with_season
+from tallycast.forecast.state import ADIDA_LEVELS, PROB_KEEP, SEASON, SIZE_ALPHA, SIZE_KEEP, WMA_WINDOW
+from tallycast.functions.columns import add
 
 
-def _clip(x: Column, lo: Column, hi: Column) -> Column:
-    return F.least(F.greatest(x, lo), hi)
-
-
-def _floor0(x: Column) -> Column:
-    return F.greatest(x, F.lit(0.0))
+def _clip(x: str, lo: str, hi: str) -> str:
+    return f"least(greatest({x}, {lo}), {hi})"
 
 
 def levels(state: DataFrame) -> DataFrame:
     """Add the per-series levels, trends and coefficients of the closed-form methods."""
-    c = F.col
-    n, nnz = c("n"), c("nnz")
-    keep = F.pow(F.lit(1 - SIZE_ALPHA), c("updates"))
-    window = F.greatest(F.lit(3), F.least(F.lit(12), F.floor(n / 4)))
-    ratio = F.exp(3.0 / (c("wma_window") - 1))
-    weight_sum = F.exp(F.lit(-3.0)) * (F.pow(ratio, c("wma_window")) - 1) / (ratio - 1)
-    df = with_season(state).withColumns(
+    keep = f"pow({SIZE_KEEP}D, updates)"
+    df = add(
+        with_season(state),
         {
-            "mean_v": c("sum_all") / n,
-            "size": F.when(nnz > 0, keep * c("sum_pos") / nnz + c("size_sum")).otherwise(0.0),
-            "gap": F.when(nnz > 0, keep * n / nnz + c("gap_sum")).otherwise(1.0),
-            "prob": F.pow(F.lit(1 - PROB_ALPHA), n - 1) * nnz / n + c("prob_sum"),
-            "trend3": F.when(n >= 6, (c("last3") - c("prev3")) / 9).otherwise(0.0),
-            "wma_window": window,
-        }
+            "mean_v": "sum_all / n",
+            "size": f"if(nnz > 0, {keep} * sum_pos / nnz + size_sum, 0D)",
+            "gap": f"if(nnz > 0, {keep} * n / nnz + gap_sum, 1D)",
+            "prob": f"pow({PROB_KEEP}D, n - 1) * nnz / n + prob_sum",
+            "trend3": "if(n >= 6, (last3 - prev3) / 9, 0D)",
+            "win": WMA_WINDOW,
+            "wma_ratio": f"exp(3D / ({WMA_WINDOW} - 1))",
+        },
     )
-    df = df.withColumns(
+    df = add(
+        df,
         {
-            "rate": c("size") / F.greatest(F.lit(1.0), c("gap")),
-            "es_trend": _clip(c("trend3"), c("es_level") * -0.15, c("es_level") * 0.15),
-            "wma_level": c("wma_sum") / weight_sum,
-            "wma_drift": F.when(
-                n >= 2 * c("wma_window"),
-                (c("wma_recent") - c("wma_earlier")) / (c("wma_window") * c("wma_window")),
-            ).otherwise(0.0),
-        }
-    )
-    df = df.withColumn(
-        "wma_trend", _clip(c("wma_drift"), c("wma_level") * -0.1, c("wma_level") * 0.15)
+            "rate": "size / greatest(1D, gap)",
+            "es_trend": _clip("trend3", "es_level * -0.15D", "es_level * 0.15D"),
+            # the window's weights are a geometric series from exp(-3) to 1
+            "wma_level": "wma_sum * (wma_ratio - 1) / (pow(wma_ratio, win) - 1) * exp(3D)",
+            "wma_drift": "if(n >= 2 * win, (wma_recent - wma_earlier) / (win * win), 0D)",
+            "adida_level": _adida_level(),
+        },
     )
-    df = df.withColumn("adida_level", _adida_level())
+    df = add(df, {"wma_trend": _clip("wma_drift", "wma_level * -0.1D", "wma_level * 0.15D")})
     return _log_line(_straight_line(df))
 
 
-def _adida_level() -> Column:
+def _adida_level() -> str:
     """Mean over aggregation levels of the mean of the last (up to 3) buckets per period."""
-    n = F.col("n")
-    total, used = F.lit(0.0), F.lit(0)
+    totals, used = [], []
     for level in ADIDA_LEVELS:
-        buckets = F.floor(n / level)
-        applies = (buckets >= 2) if level <= 2 else (buckets >= 2) & (n >= 12)
-        one = F.col(f"adida{level}") / F.least(buckets, F.lit(3)) / level
-        total = total + F.when(applies, one).otherwise(0.0)
-        used = used + applies.cast("int")
-    return F.when(n < 3, F.col("mean_v")).otherwise(_floor0(F.try_divide(total, used)))
+        applies = f"floor(n / {level}) >= 2" + ("" if level <= 2 else " AND n >= 12")
+        totals.append(f"if({applies}, adida{level} / least(floor(n / {level}), 3) / {level}, 0D)")
+        used.append(f"CAST({applies} AS INT)")
+    mean = f"try_divide({' + '.join(totals)}, {' + '.join(used)})"
+    return f"if(n < 3, mean_v, greatest({mean}, 0D))"
 
 
 def _log_line(df: DataFrame) -> DataFrame:
@@ -77,116 +66,71 @@ def _log_line(df: DataFrame) -> DataFrame:
     The weights are q^k with q = exp(-2 / (n-1)), so the sums of w, w*k and w*k^2 are
     geometric and depend on n only.
     """
-    n = F.col("n").cast("double")
-    q = F.exp(-2.0 / F.greatest(n - 1, F.lit(1.0)))
-    qn = F.pow(F.col("lq"), n)
-    df = df.withColumn("lq", q).withColumn("lqn", qn)
-    lq, lqn, gap = F.col("lq"), F.col("lqn"), 1 - F.col("lq")
-    s0 = (1 - lqn) / gap
-    s1 = lq * (1 - n * lqn / lq + (n - 1) * lqn) / (gap * gap)
-    tail = n * n * lqn / lq - (2 * n * n - 2 * n - 1) * lqn + (n - 1) * (n - 1) * lqn * lq
-    s2 = lq * (1 + lq - tail) / (gap * gap * gap)
-    df = df.withColumns({"ls0": s0, "ls1": s1, "ls2": s2})
-    det = F.col("ls0") * F.col("ls2") - F.col("ls1") * F.col("ls1")
-    slope = (F.col("ls0") * F.col("log_x_sum") - F.col("ls1") * F.col("log_sum")) / det
-    df = df.withColumn("log_slope", F.when(F.col("n") >= 3, slope).otherwise(0.0))
-    level = (F.col("log_sum") - F.col("log_slope") * F.col("ls1")) / F.col("ls0")
-    return df.withColumn("log_level", level).drop("lq", "lqn", "ls0", "ls1", "ls2")
+    df = add(df, {"lq": "exp(-2D / greatest(n - 1, 1))"})
+    df = add(df, {"lp": "pow(lq, n - 1)", "lqn": "pow(lq, n)"})
+    df = add(
+        df,
+        {
+            "ls0": "(1 - lqn) / (1 - lq)",
+            "ls1": "lq * (1 - n * lp + (n - 1) * lqn) / pow(1 - lq, 2)",
+            "ls2": "lq * (1 + lq - 1D * n * n * lp + (2D * n * n - 2 * n - 1) * lqn - 1D * (n - 1) * (n - 1) * lqn * lq)"
+            " / pow(1 - lq, 3)",
+        },
+    )
+    slope = "if(n >= 3, (ls0 * log_x_sum - ls1 * log_sum) / (ls0 * ls2 - ls1 * ls1), 0D)"
+    df = add(df, {"log_slope": slope})
+    return add(df, {"log_level": "(log_sum - log_slope * ls1) / ls0"}).drop("lq", "lp", "lqn", "ls0", "ls1", "ls2")
 
 
 def _straight_line(df: DataFrame) -> DataFrame:
     """Trend line and the mean residual per phase of the trend-and-season method."""
-    c, n = F.col, F.col("n")
-    span = F.least(n, F.lit(12))
-    growth = F.try_divide(c("m12") - c("first12") / span, c("first12") / span + 1)
-    falling = F.coalesce(growth < -0.3, F.lit(False))
-    slope = F.when(falling, 0.0).otherwise(line_slope(n, F.lit(0), c("sum_all"), c("tv")))
-    df = df.withColumn("line_slope", slope)
-    df = df.withColumn("line_start", c("mean_v") - c("line_slope") * (n - 1) / 2)
+    change = "try_divide(m12 - first12 / least(n, 12), first12 / least(n, 12) + 1)"
+    slope = line_slope("n", "0", "sum_all", "tv")
+    df = add(df, {"line_slope": f"if({change} < -0.3D, 0D, {slope})"})
+    df = add(df, {"line_start": "mean_v - line_slope * (n - 1) / 2"})
     residuals = []
     for i in range(SEASON):
-        count = F.floor((n - 1 - i) / SEASON) + 1
-        steps = count * i + SEASON * count * (count - 1) / 2
-        rest = c(f"phase_all{i}") - count * c("line_start") - c("line_slope") * steps
-        residuals.append(F.when((n >= 2 * SEASON) & (count > 0), rest / count).otherwise(0.0))
-    return df.withColumn("residual", F.array(*residuals))
-
-
-def _season_at(cfg: EngineConfig) -> Column:
-    start = F.col("n") if cfg.align_phase else F.lit(0)
-    return F.get(F.col("season"), ((start + F.col("h") - 1) % SEASON).cast("int"))
-
-
-def croston(cfg: EngineConfig) -> Column:
-    drift = F.col("trend3") * F.col("h") * 0.3
-    return F.when(F.col("nnz") > 0, _floor0(F.col("rate") + drift)).otherwise(0.0)
-
-
-def sba(cfg: EngineConfig) -> Column:
-    flat = F.col("rate") * (1 - SIZE_ALPHA / 2)
-    seasonal = F.when(F.col("n") >= 12, flat * _season_at(cfg)).otherwise(flat)
-    return F.when(F.col("nnz") > 0, _floor0(seasonal)).otherwise(0.0)
+        count = f"(floor((n - 1 - {i}) / {SEASON}) + 1)"
+        steps = f"({count} * {i} + {SEASON // 2} * {count} * ({count} - 1))"
+        rest = f"(phase_all{i} - line_slope * {steps}) / {count} - line_start"
+        residuals.append(f"if(n >= {2 * SEASON}, {rest}, 0D)")
+    return add(df, {"residual": f"array({', '.join(residuals)})"})
 
 
-def tsb(cfg: EngineConfig) -> Column:
-    flat = F.col("prob") * F.col("size")
-    wild = (F.col("n") >= 12) & (F.col("vol12") > 0.5)
-    return F.when(F.col("nnz") > 0, _floor0(F.when(wild, flat * 0.9).otherwise(flat))).otherwise(0.0)
-
-
-def adida(cfg: EngineConfig) -> Column:
-    return F.col("adida_level")
-
-
-def exp_smoothing(cfg: EngineConfig) -> Column:
-    drift = F.when(F.col("n") >= 6, F.col("es_trend") * F.col("h")).otherwise(0.0)
-    return _floor0(F.col("es_level") + drift)
-
-
-def ma_benchmark(cfg: EngineConfig) -> Column:
-    return F.when(F.col("n") < 3, F.col("mean_v")).otherwise(_floor0(F.col("last3") / 3))
-
-
-def weighted_ma(cfg: EngineConfig) -> Column:
-    flat = F.col("wma_level") + F.col("wma_trend") * F.col("h")
-    return _floor0(F.when(F.col("n") >= 12, flat * _season_at(cfg)).otherwise(flat))
-
-
-def exponential_trend(cfg: EngineConfig) -> Column:
-    grown = F.exp(F.col("log_level") - F.col("log_slope") * F.col("h")) - 1
-    cap = F.col("m12") * (1.5 + F.exp(F.col("vol12") * -0.5))
-    damp = F.exp(-0.05 * (F.col("h") - 1))
-    blended = F.least(grown, cap) * damp + F.col("mean_v") * (1 - damp)
-    return (
-        F.when(F.col("n") < 6, F.col("mean_v"))
-        .when(F.col("min_v") <= -1, exp_smoothing(cfg))
-        .otherwise(_floor0(blended))
-    )
+def _expressions(align_phase: bool) -> dict[str, str]:
+    phase = f"CAST(({'n + ' if align_phase else ''}h - 1) % {SEASON} AS INT)"
+    season = season_at(phase)
+    es = "greatest(es_level + if(n >= 6, es_trend * h, 0D), 0D)"
+    grown = "least(exp(log_level - log_slope * h) - 1, m12 * (1.5D + exp(vol12 * -0.5D)))"
+    damp = "exp(-0.05D * (h - 1))"
+    return {
+        "croston": "if(nnz > 0, greatest(rate + trend3 * h * 0.3D, 0D), 0D)",
+        "sba": f"if(nnz > 0, greatest(rate * {1 - SIZE_ALPHA / 2}D * {season}, 0D), 0D)",
+        "tsb": "if(nnz > 0, greatest(prob * size * if(n >= 12 AND vol12 > 0.5D, 0.9D, 1D), 0D), 0D)",
+        "adida": "adida_level",
+        "exp_smoothing": es,
+        "weighted_ma": f"greatest((wma_level + wma_trend * h) * {season}, 0D)",
+        "ma_benchmark": "if(n < 3, mean_v, greatest(last3 / 3, 0D))",
+        "exponential_trend": f"CASE WHEN n < 6 THEN mean_v WHEN min_v <= -1 THEN {es}"
+        f" ELSE greatest({grown} * {damp} + mean_v * (1 - {damp}), 0D) END",
+        # slot of the trend-and-season method
+        "prophet": "greatest(line_start + line_slope * (n + h - 1)"
+        f" + get(residual, CAST((n + h - 1) % {SEASON} AS INT)), 0D)",
+    }
 
 
-def trend_season(cfg: EngineConfig) -> Column:
-    step = F.col("n") + F.col("h") - 1
-    residual = F.get(F.col("residual"), (step % SEASON).cast("int"))
-    return _floor0(F.col("line_start") + F.col("line_slope") * step + residual)
+METHODS_CLOSED = tuple(_expressions(False))
+GROWTH_BASE = "0.5D * croston + 0.3D * sba + 0.2D * tsb"
 
 
-def growth_base(cfg: EngineConfig) -> Column:
-    return 0.5 * F.col("croston") + 0.3 * F.col("sba") + 0.2 * F.col("tsb")
+def expression(method: str, cfg: EngineConfig = EngineConfig()) -> str:
+    """SQL of one closed-form method at step ``h``."""
+    return _expressions(cfg.align_phase)[method]
 
 
-# Method key -> Column of the forecast at step h. ``prophet`` names the slot of the
-# trend-and-season method, ``exp_smoothing`` is the fallback of the fitted methods.
-COLUMNS = {
-    "croston": croston,
-    "sba": sba,
-    "tsb": tsb,
-    "adida": adida,
-    "exp_smoothing": exp_smoothing,
-    "weighted_ma": weighted_ma,
-    "ma_benchmark": ma_benchmark,
-    "exponential_trend": exponential_trend,
-    "prophet": trend_season,
-}
+def with_closed_forms(wide: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """Add all closed-form methods to rows of steps."""
+    return add(wide, _expressions(cfg.align_phase))
 
 
 def steps(df: DataFrame) -> DataFrame:
@@ -196,5 +140,5 @@ def steps(df: DataFrame) -> DataFrame:
 
 def forecast(state: DataFrame, method: str, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """One closed-form method as ``(series_key, method, h, yhat)``."""
-    yhat = COLUMNS[method](cfg)
-    return steps(levels(state)).select("series_key", F.lit(method).alias("method"), "h", yhat.alias("yhat"))
+    rows = steps(levels(state))
+    return rows.selectExpr("series_key", f"'{method}' AS method", "h", f"{expression(method, cfg)} AS yhat")

@@ -6,16 +6,17 @@ Ensembles are then arithmetic within the row, and the few facts about a whole fo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.config import ENSEMBLE_WEIGHTS, METHODS, EngineConfig
-from tallycast.forecast.closed_form import COLUMNS, growth_base, levels, steps
-from tallycast.forecast.fits import FITTED, fitted_at_end, fitted_step
-from tallycast.functions.columns import hashed_uniform
+from tallycast.forecast.closed_form import GROWTH_BASE, levels, steps, with_closed_forms
+from tallycast.forecast.fits import FITTED, fitted_at_end
+from tallycast.functions.columns import add, hashed_uniform
 
+PATH = "(PARTITION BY series_key, origin)"
 LONG_HISTORY = 24
-# Fixed blend of the slot ``lstm``, and the two blends of the meta-learner.
+# Fixed blend of the slot ``lstm``, and the blend of the meta-learner for short histories.
 BLEND = {"holt_winters": 0.35, "arima": 0.25, "exp_smoothing": 0.20, "iets": 0.20}
 META_SHORT = {"holt_winters": 0.4, "arima": 0.3, "exp_smoothing": 0.2, "iets": 0.1}
 # Growth calibration.
@@ -23,180 +24,138 @@ GROWING, DECLINING = 0.15, -0.15
 CAP_DECLINE, CAP_GROW, CAP_STABLE = -0.10, (0.03, 0.40), (-0.03, 0.08)
 YEAR2_DAMPING = 0.75
 TOLERANCE = 0.35
-
-
-def path() -> WindowSpec:
-    """All steps of one forecast."""
-    return Window.partitionBy("series_key", "origin")
-
-
-def with_base_methods(wide: DataFrame, cfg: EngineConfig) -> DataFrame:
-    """Add the closed-form methods to rows of steps."""
-    return wide.withColumns({m: f(cfg) for m, f in COLUMNS.items()})
+# Bounds of the optional calibration.
+SMART_RATES = {
+    "dying": "-0.5D",
+    "declining": "least(wg, -0.05D)",
+    "growing": "greatest(least(wg, 0.5D), 0.05D)",
+    "stable": "greatest(least(wg, 0.1D), -0.05D)",
+}
+SMART_DAMPING = 0.7
 
 
 def with_fitted(wide: DataFrame, cfg: EngineConfig) -> DataFrame:
     """Add the fitted methods; short histories use exponential smoothing instead."""
-    n, es = F.col("n"), F.col("exp_smoothing")
-    demand = F.col("nnz") / n
-    silent = hashed_uniform(cfg.seed, F.col("series_key"), F.col("h")) > demand
-    return wide.withColumns(
+    df = wide.withColumn("draw", hashed_uniform(cfg.seed, F.col("series_key"), F.col("h")))
+    return add(
+        df,
         {
-            "iets": F.when(n < 12, es).when(silent, 0.0).otherwise(fitted_step("iets")),
-            "holt_winters": F.when(n < LONG_HISTORY, es).otherwise(fitted_step("holt_winters")),
-            "arima": F.when(n < LONG_HISTORY, es).otherwise(fitted_step("arima")),
-        }
-    )
+            "iets": "CASE WHEN n < 12 THEN exp_smoothing WHEN draw > nnz / n THEN 0D ELSE get(fits.iets, h - 1) END",
+            "holt_winters": f"if(n < {LONG_HISTORY}, exp_smoothing, get(fits.holt_winters, h - 1))",
+            "arima": f"if(n < {LONG_HISTORY}, exp_smoothing, get(fits.arima, h - 1))",
+        },
+    ).drop("draw", "fits")
 
 
-def blend(weights: dict[str, float]) -> Column:
+def blend(weights: dict[str, float]) -> str:
     """Weighted sum of method columns."""
-    total = F.lit(0.0)
-    for method, weight in weights.items():
-        total = total + weight * F.col(method)
-    return total
+    return "(" + " + ".join(f"{weight}D * {method}" for method, weight in weights.items()) + ")"
 
 
 def with_fixed_blend(wide: DataFrame) -> DataFrame:
     """Slot ``lstm``: the fixed blend of four methods."""
-    es = F.col("exp_smoothing")
-    mixed = F.greatest(blend(BLEND), F.lit(0.0))
-    return wide.withColumn("lstm", F.when(F.col("n") < LONG_HISTORY, es).otherwise(mixed))
+    return add(wide, {"lstm": f"if(n < {LONG_HISTORY}, exp_smoothing, greatest({blend(BLEND)}, 0D))"})
 
 
 def with_short_meta(wide: DataFrame) -> DataFrame:
     """Slot ``lightgbm`` without a trained model: the blend meant for short histories."""
-    es = F.col("exp_smoothing")
-    return wide.withColumn("lightgbm", F.when(F.col("n") < LONG_HISTORY, es).otherwise(blend(META_SHORT)))
+    return add(wide, {"lightgbm": f"if(n < {LONG_HISTORY}, exp_smoothing, {blend(META_SHORT)})"})
 
 
 def calibrated(
-    wide: DataFrame,
-    base: Column,
-    growth: Column,
-    year1: Column,
-    year2_damping: float,
-    name: str,
-    open_end: bool = False,
+    wide: DataFrame, name: str, base: str, growth: str, rate: str, damping: float, unfit: str, fallback: str, open_end: bool = False
 ) -> DataFrame:
     """Pull a path to yearly targets where its yearly sum is off by more than the tolerance.
 
-    ``year1`` is the first-year target; the second grows from it by the damped growth. A
-    year that is off becomes target / months times the shape of the last 12 steps. With
-    ``open_end`` the second year takes in all steps past 12, and a history without level
-    gives its own values as the shape; otherwise it ends at step 24 and the shape is flat.
+    The first-year target is the last complete block times ``1 + rate`` (an expression on
+    ``wg``, the growth); the second grows from it by the damped growth. A year that is off
+    becomes target / months times the shape of the last 12 steps. With ``open_end`` the
+    second year takes in all steps past 12, and a history without level gives its own
+    values as the shape; otherwise it ends at step 24 and the shape is flat.
     """
-    h, horizon = F.col("h"), F.col("horizon")
-    months1 = F.least(F.lit(12), horizon)
-    rest = horizon - 12
-    months2 = F.greatest(F.lit(1), rest if open_end else F.least(F.lit(12), rest))
-    second = (h > 12) if open_end else (h > 12) & (h <= 24)
-    df = wide.withColumn("base", base).withColumn("target1", year1)
-    df = df.withColumn("target2", F.col("target1") * (1 + growth * year2_damping))
-    df = df.withColumns(
+    second = "h > 12" if open_end else "h > 12 AND h <= 24"
+    months2 = "greatest(1, horizon - 12)" if open_end else "greatest(1, least(12, horizon - 12))"
+    df = add(wide, {"base": base, "wg": growth})
+    df = add(df, {"target1": f"last_block * (1 + {rate})"})
+    df = add(df, {"target2": f"target1 * (1 + wg * {damping}D)"})
+    last = "coalesce(try_element_at(shape12, CAST(n - 12 + (h - 1) % 12 AS INT)), 0D)"
+    df = add(
+        df,
         {
-            "sum1": F.sum(F.when(h <= 12, F.col("base"))).over(path()),
-            "sum2": F.coalesce(F.sum(F.when(second, F.col("base"))).over(path()), F.lit(0.0)),
-        }
+            "sum1": f"sum(if(h <= 12, base, NULL)) OVER {PATH}",
+            "sum2": f"coalesce(sum(if({second}, base, NULL)) OVER {PATH}, 0D)",
+            "shape": f"if(m12 > 0, {last} / m12, {last if open_end else '1D'})",
+        },
     )
-    at = (F.col("n") - 12 + (h - 1) % 12).cast("int")
-    last = F.coalesce(F.try_element_at("shape12", at), F.lit(0.0))
-    shape = F.when(F.col("m12") > 0, last / F.col("m12")).otherwise(last if open_end else F.lit(1.0))
-
-    def off(total: str, target: str) -> Column:
-        gap = F.try_divide(F.abs(F.col(total) - F.col(target)), F.col(target)) > TOLERANCE
-        return (F.col(total) > 0) & ((F.col(target) == 0) | gap)
-
-    pulled = (
-        F.when((h <= 12) & off("sum1", "target1"), F.col("target1") / months1 * shape)
-        .when(second & off("sum2", "target2"), F.col("target2") / months2 * shape)
-        .otherwise(F.col("base"))
-    )
-    return df.withColumn(name, F.greatest(pulled, F.lit(0.0))).drop("base", "target1", "target2", "sum1", "sum2")
 
+    def off(total: str, target: str) -> str:
+        return f"{total} > 0 AND ({target} = 0 OR try_divide(abs({total} - {target}), {target}) > {TOLERANCE}D)"
 
-def weighted_growth() -> Column:
-    """Mean growth between complete 12-step blocks, later pairs weighing more."""
-    return F.when(F.col("growth_weight") > 0, F.col("growth_sum") / F.col("growth_weight")).otherwise(0.0)
+    pulled = f"""CASE WHEN h <= 12 AND {off('sum1', 'target1')} THEN target1 / least(12, horizon) * shape
+        WHEN {second} AND {off('sum2', 'target2')} THEN target2 / {months2} * shape ELSE base END"""
+    df = add(df, {name: f"if({unfit}, {fallback}, greatest({pulled}, 0D))"})
+    return df.drop("base", "wg", "target1", "target2", "sum1", "sum2", "shape")
 
 
 def with_intelligent_growth(wide: DataFrame) -> DataFrame:
-    """Growth-calibrated blend of croston, sba and tsb."""
-    df = wide.withColumn("wg", weighted_growth())
-    g = F.col("wg")
+    """Growth-calibrated blend of croston, sba and tsb; two complete blocks of history needed."""
 
-    def within(bounds: tuple[float, float]) -> Column:
-        return F.greatest(F.least(g, F.lit(bounds[1])), F.lit(bounds[0]))
+    def within(bounds: tuple[float, float]) -> str:
+        return f"greatest(least(wg, {bounds[1]}D), {bounds[0]}D)"
 
-    rate = (
-        F.when(g > GROWING, within(CAP_GROW))
-        .when(g < DECLINING, F.greatest(g, F.lit(CAP_DECLINE)))
-        .otherwise(within(CAP_STABLE))
+    rate = f"""CASE WHEN wg > {GROWING}D THEN {within(CAP_GROW)}
+        WHEN wg < {DECLINING}D THEN greatest(wg, {CAP_DECLINE}D) ELSE {within(CAP_STABLE)} END"""
+    growth = "if(growth_weight > 0, growth_sum / growth_weight, 0D)"
+    return calibrated(
+        wide, "intelligent_growth", GROWTH_BASE, growth, rate, YEAR2_DAMPING, "floor(n / 12) < 2", "exp_smoothing"
     )
-    target1 = F.col("last_block") * (1 + rate)
-    df = calibrated(df, growth_base(EngineConfig()), g, target1, YEAR2_DAMPING, "intelligent_growth")
-    short = F.floor(F.col("n") / 12) < 2
-    return df.withColumn(
-        "intelligent_growth", F.when(short, F.col("exp_smoothing")).otherwise(F.col("intelligent_growth"))
-    ).drop("wg")
 
 
 def with_smart_calibration(wide: DataFrame, method: str, trend: str = "stable") -> DataFrame:
     """Optional calibration of any method, with its own bounds; ``trend`` picks the bounds."""
-    weight = F.col("growth_age_weight")
-    g = F.when(weight > 0, F.col("growth_age_sum") / weight).otherwise(0.0)
-    rates = {
-        "dying": F.lit(-0.5),
-        "declining": F.least(g, F.lit(-0.05)),
-        "growing": F.greatest(F.least(g, F.lit(0.5)), F.lit(0.05)),
-        "stable": F.greatest(F.least(g, F.lit(0.1)), F.lit(-0.05)),
-    }
-    target1 = F.col("last_block") * (1 + rates[trend])
-    name = f"{method}_calibrated"
-    df = calibrated(wide, F.col(method), g, target1, 0.7, name, open_end=True)
-    unfit = (F.floor(F.col("n") / 12) < 2) | (weight == 0)
-    return df.withColumn(name, F.when(unfit, F.col(method)).otherwise(F.col(name)))
+    growth = "if(growth_age_weight > 0, growth_age_sum / growth_age_weight, 0D)"
+    unfit = "floor(n / 12) < 2 OR growth_age_weight = 0"
+    return calibrated(
+        wide, f"{method}_calibrated", method, growth, SMART_RATES[trend], SMART_DAMPING, unfit, method, open_end=True
+    )
 
 
 def with_ensemble(wide: DataFrame) -> DataFrame:
     """Mean of croston, sba and exponential smoothing."""
-    return wide.withColumn("ensemble", (F.col("croston") + F.col("sba") + F.col("exp_smoothing")) / 3)
+    return add(wide, {"ensemble": "(croston + sba + exp_smoothing) / 3"})
 
 
-def with_advanced_ensemble(wide: DataFrame, name: str = "advanced_ensemble", members: tuple | None = None) -> DataFrame:
+def with_advanced_ensemble(
+    wide: DataFrame, name: str = "advanced_ensemble", members: tuple[str, ...] | None = None
+) -> DataFrame:
     """Weighted mean of the varying members, pulled to their median where it strays from it."""
     members = [m for m in ENSEMBLE_WEIGHTS if m in (members or ENSEMBLE_WEIGHTS)]
     k = len(members)
-    df = wide.withColumns({f"sd_{m}": F.stddev_pop(m).over(path()) for m in members})
-    valid = {m: F.col(f"sd_{m}") >= 1e-6 for m in members}
-    count, weight, total = F.lit(0), F.lit(0.0), F.lit(0.0)
-    for m in members:
-        count = count + valid[m].cast("int")
-        weight = weight + F.when(valid[m], ENSEMBLE_WEIGHTS[m]).otherwise(0.0)
-        total = total + F.when(valid[m], ENSEMBLE_WEIGHTS[m] * F.col(m)).otherwise(0.0)
-    df = df.withColumns(
+    df = add(wide, {f"ok_{m}": f"stddev_pop({m}) OVER {PATH} >= 1e-6" for m in members})
+    total = " + ".join(f"if(ok_{m}, {ENSEMBLE_WEIGHTS[m]}D * {m}, 0D)" for m in members)
+    weight = " + ".join(f"if(ok_{m}, {ENSEMBLE_WEIGHTS[m]}D, 0D)" for m in members)
+    df = add(
+        df,
         {
-            "e_count": count,
-            "e_mean": F.try_divide(total, weight),
-            "e_sorted": F.sort_array(F.array(*[F.when(valid[m], F.col(m)) for m in members])),
-        }
+            "e_count": " + ".join(f"CAST(ok_{m} AS INT)" for m in members),
+            "e_mean": f"try_divide({total}, {weight})",
+            "e_sorted": f"sort_array(array({', '.join(f'if(ok_{m}, {m}, NULL)' for m in members)}))",
+        },
     )
 
-    def median(column: str) -> Column:
+    def median(column: str) -> str:
         # sort_array puts the missing members first
-        low = k - F.col("e_count") + F.floor((F.col("e_count") - 1) / 2).cast("int")
-        high = k - F.col("e_count") + F.floor(F.col("e_count") / 2).cast("int")
-        return (F.get(column, low) + F.get(column, high)) / 2
+        low, high = (f"CAST({k} - e_count + floor({x} / 2) AS INT)" for x in ("(e_count - 1)", "e_count"))
+        return f"(get({column}, {low}) + get({column}, {high})) / 2"
 
-    df = df.withColumn("e_median", median("e_sorted"))
-    off = F.array(*[F.when(valid[m], F.abs(F.col(m) - F.col("e_median"))) for m in members])
-    df = df.withColumn("e_off", F.sort_array(off))
-    df = df.withColumn("e_mad", median("e_off"))
-    pull = F.least(F.abs(F.col("e_mean") - F.col("e_median")) / (3 * F.col("e_mad") + 1e-6), F.lit(1.0))
-    mixed = F.col("e_mean") * (1 - pull) + F.col("e_median") * pull
-    mixed = F.when(F.col("e_count") == 0, F.col("exp_smoothing")).otherwise(F.greatest(mixed, F.lit(0.0)))
-    scratch = ["e_count", "e_mean", "e_sorted", "e_median", "e_off", "e_mad", *[f"sd_{m}" for m in members]]
-    return df.withColumn(name, mixed).drop(*scratch)
+    df = add(df, {"e_median": median("e_sorted")})
+    df = add(df, {"e_off": f"sort_array(array({', '.join(f'if(ok_{m}, abs({m} - e_median), NULL)' for m in members)}))"})
+    df = add(df, {"e_mad": median("e_off")})
+    df = add(df, {"e_pull": "least(abs(e_mean - e_median) / (3 * e_mad + 1e-6), 1D)"})
+    mixed = "greatest(e_mean * (1 - e_pull) + e_median * e_pull, 0D)"
+    df = add(df, {name: f"if(e_count = 0, exp_smoothing, {mixed})"})
+    scratch = ["e_count", "e_mean", "e_sorted", "e_median", "e_off", "e_mad", "e_pull"]
+    return df.drop(*scratch, *[f"ok_{m}" for m in members])
 
 
 # Methods without fitted members, in reporting order.
@@ -205,14 +164,14 @@ CLOSED = tuple(m for m in METHODS if m not in (*FITTED, "lstm", "lightgbm"))
 
 def closed_methods(state: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Every method that stays in the JVM; the ensembles use the closed-form members only."""
-    df = with_intelligent_growth(with_base_methods(steps(levels(state)), cfg))
+    df = with_intelligent_growth(with_closed_forms(steps(levels(state)), cfg))
     return with_ensemble(with_advanced_ensemble(df, members=CLOSED))
 
 
 def all_methods(state: DataFrame, cfg: EngineConfig = EngineConfig(), meta=None) -> DataFrame:
     """Every method at every step. ``meta`` is a function that adds the slot ``lightgbm``."""
     df = fitted_at_end(levels(state)).repartition("series_key")
-    df = with_base_methods(steps(df), cfg)
+    df = with_closed_forms(steps(df), cfg)
     df = with_fixed_blend(with_fitted(df, cfg))
     df = with_short_meta(df) if meta is None else meta(df)
     df = with_intelligent_growth(df)
@@ -221,10 +180,5 @@ def all_methods(state: DataFrame, cfg: EngineConfig = EngineConfig(), meta=None)
 
 def to_long(wide: DataFrame, methods: tuple[str, ...] = METHODS, keys: tuple[str, ...] = ("series_key", "h")) -> DataFrame:
     """Rows ``(keys, method, method_ord, yhat)`` out of the method columns."""
-    entries = F.array(
-        *[
-            F.struct(F.lit(m).alias("method"), F.lit(i).alias("method_ord"), F.col(m).cast("double").alias("yhat"))
-            for i, m in enumerate(methods)
-        ]
-    )
-    return wide.select(*keys, F.inline(entries))
+    entries = ", ".join(f"'{m}', {i}, CAST({m} AS DOUBLE)" for i, m in enumerate(methods))
+    return wide.selectExpr(*keys, f"stack({len(methods)}, {entries}) AS (method, method_ord, yhat)")

@@ -2,63 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.config import METHODS, EngineConfig
-from tallycast.forecast.combine import path
+from tallycast.forecast.combine import PATH
 from tallycast.forecast.profile import with_growth
-from tallycast.functions.columns import hashed_normal
+from tallycast.functions.columns import add, hashed_normal
 
 # Flatness limit, least slope, noise share, scaling limits.
 FLAT_CV, LEAST_SLOPE, NOISE_SHARE = 0.01, 0.001, 0.02
 SCALE_BELOW, SCALE_TO, SCALE_CAP = 0.7, 0.88, 1.5
 
 
-def flat(sd: Column, mean: Column) -> Column:
+def flat(values: str) -> str:
     """Less than two steps, or hardly any spread; a mean of zero or below counts as flat too."""
-    cv = F.when(mean != 0, sd / mean).otherwise(0.0)
-    return (F.col("horizon") < 2) | (cv < FLAT_CV)
+    mean, sd = f"avg({values}) OVER {PATH}", f"stddev_pop({values}) OVER {PATH}"
+    return f"horizon < 2 OR coalesce(try_divide({sd}, {mean}), 0D) < {FLAT_CV}D"
 
 
 def unflatten(wide: DataFrame, methods: tuple[str, ...] = METHODS, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Give flat paths the slope of their history; with ``cfg.noise`` the rest gets seeded noise."""
-    slope = F.col("trend_slope")
-    tilts = (F.col("n") >= 3) & (F.abs(slope) > LEAST_SLOPE * F.col("mean_v"))
-    tilt = F.when(tilts, slope * F.col("h")).otherwise(0.0)
-    df = wide.withColumn("tilt", tilt)
-    spread = {}
-    for m in methods:
-        tilted = F.col(m) + F.col("tilt")
-        spread[f"a_{m}"], spread[f"s_{m}"] = F.avg(m).over(path()), F.stddev_pop(m).over(path())
-        spread[f"ta_{m}"], spread[f"ts_{m}"] = F.avg(tilted).over(path()), F.stddev_pop(tilted).over(path())
-    df = df.withColumns(spread)
+    tilts = f"n >= 3 AND abs(trend_slope) > {LEAST_SLOPE}D * mean_v"
+    df = add(wide, {"tilt": f"if({tilts}, trend_slope * h, 0D)"})
+    df = add(
+        df,
+        {f"flat_{m}": flat(m) for m in methods} | {f"stays_{m}": flat(f"({m} + tilt)") for m in methods},
+    )
+    if cfg.noise:
+        keys = (F.col("series_key"), F.col("h"))
+        df = df.withColumns({f"noise_{m}": hashed_normal(cfg.seed, F.lit(m), *keys) for m in methods})
     fixed = {}
-    for i, m in enumerate(methods):
-        still = F.col(m)
-        if cfg.noise:
-            noise = hashed_normal(cfg.seed, F.col("series_key"), F.lit(i), F.col("h"))
-            still = still + noise * NOISE_SHARE * F.col("mean_v")
-        repaired = F.when(flat(F.col(f"ts_{m}"), F.col(f"ta_{m}")), still).otherwise(F.col(m) + F.col("tilt"))
-        fixed[m] = F.when(flat(F.col(f"s_{m}"), F.col(f"a_{m}")), repaired).otherwise(F.col(m))
-    return df.withColumns(fixed).drop("tilt", *spread)
+    for m in methods:
+        still = f"{m} + noise_{m} * {NOISE_SHARE}D * mean_v" if cfg.noise else m
+        fixed[m] = f"if(flat_{m}, if(stays_{m}, {still}, {m} + tilt), {m})"
+    scratch = [f"{p}_{m}" for m in methods for p in ("flat", "stays", "noise")]
+    return add(df, fixed).drop("tilt", *scratch)
 
 
 def growth_scaling(wide: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFrame:
     """Raise paths of growing series that fall far below the last 12 periods."""
-    df = wide.withColumns({f"sum_{m}": F.sum(m).over(path()) for m in methods})
-    recent = F.col("recent_sum")
-    eligible = F.col("has_growth") & ~F.col("trend_direction").isin("declining", "decelerating")
-    scaled = {}
-    for m in methods:
-        total = F.col(f"sum_{m}")
-        low = eligible & (total > 0) & (total < SCALE_BELOW * recent)
-        factor = F.least(SCALE_TO * recent / F.when(total > 0, total), F.lit(SCALE_CAP))
-        scaled[m] = F.when(low, F.col(m) * factor).otherwise(F.col(m))
-    return df.withColumns(scaled).drop(*[f"sum_{m}" for m in methods])
+    df = add(wide, {f"sum_{m}": f"sum({m}) OVER {PATH}" for m in methods})
+    eligible = "has_growth AND trend_direction NOT IN ('declining', 'decelerating')"
+    scaled = {
+        m: f"if({eligible} AND sum_{m} > 0 AND sum_{m} < {SCALE_BELOW}D * recent_sum,"
+        f" {m} * least({SCALE_TO}D * recent_sum / sum_{m}, {SCALE_CAP}D), {m})"
+        for m in methods
+    }
+    return add(df, scaled).drop(*[f"sum_{m}" for m in methods])
 
 
 def finished(wide: DataFrame, methods: tuple[str, ...] = METHODS, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Flatness repair, growth profile, growth scaling, in this order."""
-    profiled = with_growth(wide) if "trend_slope" not in wide.columns else wide
-    return growth_scaling(unflatten(profiled, methods, cfg), methods)
+    return growth_scaling(unflatten(with_growth(wide), methods, cfg), methods)

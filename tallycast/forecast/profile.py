@@ -2,106 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.config import EngineConfig
 from tallycast.forecast.state import SEASON, series_state
+from tallycast.functions.columns import add
 
 
 def demand_profile(indexed: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Share of periods with demand, average demand interval, CV squared, and the flags they give."""
-    s = series_state(indexed, cfg=cfg)
-    n, nnz = F.col("n"), F.col("nnz")
-    mean = F.col("sum_pos") / nnz
-    adi = F.when(nnz > 1, (F.col("last_pos") - F.col("first_pos")) / (nnz - 1)).otherwise(n.cast("double"))
-    cv2 = F.when(nnz > 1, F.col("sum_sq_dev_pos") / (mean * mean)).otherwise(0.0)
-    out = s.select("series_key", "n", (nnz / n * 100).alias("pct_non_zero"), adi.alias("adi"), cv2.alias("cv2"))
-    rare = (F.col("pct_non_zero") < cfg.intermittent_threshold_pct) | (F.col("adi") > cfg.adi_threshold)
-    return out.withColumn("is_intermittent", rare).withColumn("is_volatile", F.col("cv2") > cfg.volatility_cv2)
+    out = series_state(indexed, cfg=cfg).selectExpr(
+        "series_key",
+        "n",
+        "nnz / n * 100 AS pct_non_zero",
+        "if(nnz > 1, (last_pos - first_pos) / (nnz - 1), CAST(n AS DOUBLE)) AS adi",
+        "if(nnz > 1, var_pos * nnz * nnz / (sum_pos * sum_pos), 0D) AS cv2",
+    )
+    rare = f"pct_non_zero < {cfg.intermittent_threshold_pct} OR adi > {cfg.adi_threshold}"
+    return add(out, {"is_intermittent": rare, "is_volatile": f"cv2 > {cfg.volatility_cv2}"})
 
 
-def line_slope(count: Column, first: Column, s_y: Column, s_ty: Column) -> Column:
-    """Least-squares slope of y on consecutive steps first, first+1, ...; s_ty is sum of t*y."""
-    mean_t = first + (count - 1) / 2.0
-    spread = count * (count * count - 1) / 12.0
-    return F.coalesce(F.try_divide(s_ty - mean_t * s_y, spread), F.lit(0.0))
+def line_slope(count: str, first: str, s_y: str, s_ty: str) -> str:
+    """Least-squares slope of y on the steps first, first+1, ... ; s_ty is the sum of t*y."""
+    mean_t = f"({first} + ({count} - 1) / 2D)"
+    spread = f"({count} * ({count} * {count} - 1) / 12D)"
+    return f"coalesce(try_divide({s_ty} - {mean_t} * {s_y}, {spread}), 0D)"
 
 
 def with_growth(s: DataFrame) -> DataFrame:
     """Add year-over-year growth, slope, trend direction and the growth flag to a state."""
-    n, recent, earlier = F.col("n"), F.col("recent_sum"), F.col("earlier_sum")
-    half = F.floor(n / 2)
-    long = n >= 12
-    yoy = F.when(earlier > 0, (recent - earlier) / earlier * 100).when(recent == 0, 0.0).otherwise(100.0)
-    df = s.withColumns(
+    yoy = "CASE WHEN earlier_sum > 0 THEN (recent_sum - earlier_sum) / earlier_sum * 100 WHEN recent_sum = 0 THEN 0D ELSE 100D END"
+    half, rest = "floor(n / 2)", "(n - floor(n / 2))"
+    df = add(
+        s,
         {
-            "trend_slope": F.when(long, line_slope(n, F.lit(0), F.col("sum_all"), F.col("tv"))).otherwise(0.0),
-            "slope_1": line_slope(half, F.lit(0), F.col("half_v"), F.col("half_tv")),
-            "slope_2": line_slope(
-                n - half, half, F.col("sum_all") - F.col("half_v"), F.col("tv") - F.col("half_tv")
-            ),
-            "yoy_growth_pct": F.when(long, yoy).otherwise(0.0),
-            "mean_v": F.col("sum_all") / n,
-        }
-    )
-    slope, band = F.col("trend_slope"), F.col("mean_v") * 0.01
-    direction = F.when(slope > band, "growing").when(slope < -band, "declining").otherwise("stable")
-    s1, s2 = F.col("slope_1"), F.col("slope_2")
-    df = df.withColumn("whole_direction", direction)
-    turned = (
-        F.when(s2 > s1 * 1.5, "accelerating")
-        .when((s2 < s1 * 0.5) & (F.col("whole_direction") == "growing"), "decelerating")
-        .otherwise(F.col("whole_direction"))
-    )
-    df = df.withColumn(
-        "trend_direction",
-        F.when(~long, "insufficient_data").when(n >= 24, turned).otherwise(F.col("whole_direction")),
-    )
-    rising = F.col("trend_direction").isin("growing", "accelerating")
-    return df.withColumn("has_growth", (F.col("yoy_growth_pct") > 5) & rising).drop(
-        "slope_1", "slope_2", "whole_direction"
+            "trend_slope": f"if(n >= 12, {line_slope('n', '0', 'sum_all', 'tv')}, 0D)",
+            "slope_1": line_slope(half, "0", "half_v", "half_tv"),
+            "slope_2": line_slope(rest, half, "(sum_all - half_v)", "(tv - half_tv)"),
+            "yoy_growth_pct": f"if(n >= 12, {yoy}, 0D)",
+            "mean_v": "sum_all / n",
+        },
     )
+    direction = """CASE WHEN n < 12 THEN 'insufficient_data'
+        WHEN n >= 24 AND slope_2 > slope_1 * 1.5D THEN 'accelerating'
+        WHEN n >= 24 AND slope_2 < slope_1 * 0.5D AND trend_slope > mean_v * 0.01D THEN 'decelerating'
+        WHEN trend_slope > mean_v * 0.01D THEN 'growing'
+        WHEN trend_slope < -mean_v * 0.01D THEN 'declining' ELSE 'stable' END"""
+    df = add(df, {"trend_direction": direction}).drop("slope_1", "slope_2")
+    return add(df, {"has_growth": "yoy_growth_pct > 5 AND trend_direction IN ('growing', 'accelerating')"})
 
 
 def growth_profile(indexed: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Growth columns of every series."""
-    s = with_growth(series_state(indexed, cfg=cfg))
-    short = F.col("trend_direction") == "insufficient_data"
-    return s.select(
+    return with_growth(series_state(indexed, cfg=cfg)).selectExpr(
         "series_key",
         "has_growth",
         "yoy_growth_pct",
         "trend_slope",
         "trend_direction",
-        F.when(short, F.col("sum_all")).otherwise(F.col("recent_sum")).alias("recent_sum"),
-        F.when(short, 0.0).otherwise(F.col("earlier_sum")).alias("earlier_sum"),
+        "if(n < 12, sum_all, recent_sum) AS recent_sum",
+        "if(n < 12, 0D, earlier_sum) AS earlier_sum",
     )
 
 
 def with_season(s: DataFrame) -> DataFrame:
-    """Add ``season``, the 12 smoothed and normalised phase indices (ones below two cycles)."""
-    overall = F.when(F.col("nnz") > 0, F.col("sum_pos") / F.col("nnz")).otherwise(1.0)
-    raw = []
-    for i in range(SEASON):
-        mean = F.col(f"phase_pos{i}") / F.col(f"phase_nnz{i}")
-        raw.append(F.when(F.col(f"phase_nnz{i}") > 0, mean / F.col("overall")).otherwise(1.0))
-    df = s.withColumn("overall", overall).withColumn("raw_index", F.array(*raw))
-
-    def at(i: int) -> Column:
-        return F.col("raw_index")[i] if 0 <= i < SEASON else F.lit(0.0)
-
-    smooth = F.array(*[(at(i - 1) + at(i) + at(i + 1)) / 3 for i in range(SEASON)])
-    df = df.withColumn("smooth_index", smooth)
-    mean = sum((F.col("smooth_index")[i] for i in range(1, SEASON)), F.col("smooth_index")[0]) / SEASON
-    df = df.withColumn("smooth_mean", mean)
-    season = F.array(*[F.col("smooth_index")[i] / F.col("smooth_mean") for i in range(SEASON)])
-    ones = F.array(*[F.lit(1.0)] * SEASON)
-    df = df.withColumn("season", F.when(F.col("n") >= 2 * SEASON, season).otherwise(ones))
-    return df.drop("overall", "raw_index", "smooth_index", "smooth_mean")
+    """Add ``raw_index``, the 12 phase indices, and the mean of their smoothed form.
+
+    Smoothing is a mean of three neighbours with zeros beyond both ends, so inner phases
+    enter the mean of the smoothed indices three times and the two ends twice.
+    """
+    df = add(s, {"mean_pos": "if(nnz > 0, sum_pos / nnz, 1D)"})
+    raw = [f"if(phase_nnz{i} > 0, phase_pos{i} / phase_nnz{i} / mean_pos, 1D)" for i in range(SEASON)]
+    mean = f"(3 * ({' + '.join(raw)}) - {raw[0]} - {raw[-1]}) / {3 * SEASON}"
+    return add(df, {"raw_index": f"array({', '.join(raw)})", "smooth_mean": mean})
+
+
+def season_at(phase: str) -> str:
+    """Smoothed and normalised index of a phase; 1 below two cycles of history."""
+    near = f"(coalesce(get(raw_index, {phase} - 1), 0D) + get(raw_index, {phase}) + coalesce(get(raw_index, {phase} + 1), 0D))"
+    return f"if(n >= {2 * SEASON}, {near} / 3 / smooth_mean, 1D)"
 
 
 def seasonal_index(indexed: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Seasonal index rows ``(series_key, phase, idx)``."""
-    s = with_season(series_state(indexed, cfg=cfg))
-    return s.select("series_key", F.posexplode("season").alias("phase", "idx"))
+    s = with_season(series_state(indexed, cfg=cfg)).select("series_key", "n", "raw_index", "smooth_mean")
+    s = s.withColumn("phase", F.explode(F.sequence(F.lit(0), F.lit(SEASON - 1))))
+    return s.selectExpr("series_key", "phase", f"{season_at('phase')} AS idx")

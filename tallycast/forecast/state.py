@@ -10,10 +10,11 @@ Columns that a query does not use are pruned from the windows and the aggregate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.config import EngineConfig
+from tallycast.functions.columns import add
 
 SEASON = 12
 # Smoothing factors of demand size and interval, and of demand probability.
@@ -50,139 +51,139 @@ def at_origins(indexed: DataFrame, kind: str, horizon: int, cfg: EngineConfig =
     raise ValueError(f"unknown kind of origins {kind!r}")
 
 
-def _zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0.0))
+SIZE_KEEP, PROB_KEEP = 1 - SIZE_ALPHA, 1 - PROB_ALPHA
+WMA_WINDOW = "greatest(3, least(12, floor(n / 4)))"
+
+# Windows over the steps of a (series, origin); the numbered stages build on each other.
+_ALL = "PARTITION BY series_key, origin"
+_BY_T = f"{_ALL} ORDER BY t"
+_BY_BLOCK = f"{_ALL} ORDER BY block"
+
+_STEP_COLUMNS = {
+    "prev_pos": f"coalesce(max(if(v > 0, t, NULL)) OVER ({_BY_T} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)",
+    "j": f"count(if(v > 0 AND t >= 1, 1, NULL)) OVER ({_BY_T} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "prev_t": f"lag(t) OVER ({_BY_T})",
+    "prev_v": f"lag(v) OVER ({_BY_T})",
+    "next_t": f"lead(t) OVER ({_BY_T})",
+    "updates": f"count(if(v > 0 AND t >= 1, 1, NULL)) OVER ({_ALL})",
+    "span": "least(n, 12)",
+    "m12": f"coalesce(sum(if(t >= n - 12, v, NULL)) OVER ({_ALL}), 0D) / least(n, 12)",
+    "c12": f"count(if(t >= n - 12, v, NULL)) OVER ({_ALL})",
+    "block": f"floor(t / {SEASON})",
+    "blocks": f"floor(n / {SEASON})",
+}
+# Steps without a row are zeros: each adds m12 squared to the spread around the mean.
+_SPREAD_COLUMNS = {
+    "d12": f"coalesce(sum(if(t >= n - 12, (v - m12) * (v - m12), NULL)) OVER ({_ALL}), 0D) + (span - c12) * m12 * m12"
+}
+_VOLATILITY_COLUMNS = {"vol12": "coalesce(try_divide(sqrt(d12 / span), m12 + 1), 0D)"}
+_ALPHA_COLUMNS = {"alpha": "if(n >= 12, 0.3D + 0.2D * exp(-vol12), 0.35D)"}
+# Blocks of 12 steps from the start: a block and the next one are range frames on its number.
+_BLOCK_COLUMNS = {
+    "total": f"coalesce(sum(v) OVER ({_BY_BLOCK} RANGE BETWEEN CURRENT ROW AND CURRENT ROW), 0D)",
+    "next_total": f"coalesce(sum(v) OVER ({_BY_BLOCK} RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING), 0D)",
+}
+_GROWS_COLUMNS = {
+    "grows": f"(prev_t IS NULL OR floor(prev_t / {SEASON}) < block) AND block + 1 < blocks AND total > 0"
+}
+_GROWTH_COLUMNS = {
+    "growth": "if(grows, (next_total - total) / total, NULL)",
+    "g_rank": f"count(if(grows, 1, NULL)) OVER ({_BY_BLOCK} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+}
+_WEIGHT_COLUMNS = {
+    "back": "n - 1 - t",
+    "size_w": f"{SIZE_ALPHA}D * pow({SIZE_KEEP}D, updates - j)",
+    "es_w": "if(t = 0, pow(1 - alpha, n - 1), alpha * pow(1 - alpha, n - 1 - t))",
+    "win": WMA_WINDOW,
+    "trend_w": "exp(-2D * (n - 1 - t) / greatest(n - 1, 1))",
+}
+_STAGES = (
+    _STEP_COLUMNS, _SPREAD_COLUMNS, _VOLATILITY_COLUMNS, _ALPHA_COLUMNS,
+    _BLOCK_COLUMNS, _GROWS_COLUMNS, _GROWTH_COLUMNS, _WEIGHT_COLUMNS,
+)
+
+
+def _sum(x: str, where: str | None = None) -> str:
+    return f"coalesce(sum({x if where is None else f'if({where}, {x}, NULL)'}), 0D)"
+
+
+def _aggregates() -> dict[str, str]:
+    """Name -> aggregate over the steps of a (series, origin)."""
+    aggs = {
+        "n": "max(n)",
+        "horizon": "max(horizon)",
+        "holdout": "bool_or(holdout)",
+        "nnz": "count(if(v > 0, 1, NULL))",
+        "sum_pos": _sum("v", "v > 0"),
+        "sum_all": _sum("v"),
+        "var_pos": "coalesce(var_pop(if(v > 0, v, NULL)), 0D)",
+        "first_pos": "min(if(v > 0, t, NULL))",
+        "last_pos": "max(if(v > 0, t, NULL))",
+        "min_v": "min(v)",
+        "last_v": _sum("v", "t = n - 1"),
+        "last6": _sum("v", "t >= n - 6"),
+        "updates": "max(updates)",
+        "size_sum": _sum("size_w * v", "v > 0 AND t >= 1"),
+        "gap_sum": _sum("size_w * (t - prev_pos)", "v > 0 AND t >= 1"),
+        "prob_sum": _sum(f"{PROB_ALPHA}D * pow({PROB_KEEP}D, back)", "v > 0 AND t >= 1"),
+        "es_level": _sum("es_w * v"),
+        "m12": "max(m12)",
+        "vol12": "max(vol12)",
+        "last3": _sum("v", "t >= n - 3"),
+        "prev3": _sum("v", "t >= n - 6 AND t < n - 3"),
+        "wma_sum": _sum("exp(-3D + 3D * (t - (n - win)) / (win - 1)) * v", "t >= n - win"),
+        "wma_recent": _sum("v", "t >= n - win"),
+        "wma_earlier": _sum("v", "t >= n - 2 * win AND t < n - win"),
+        "log_sum": _sum("trend_w * ln(v + 1)"),
+        "log_x_sum": _sum("trend_w * ln(v + 1) * back"),
+        "tv": _sum("t * v"),
+        "half_v": _sum("v", "t < floor(n / 2)"),
+        "half_tv": _sum("t * v", "t < floor(n / 2)"),
+        "recent_sum": _sum("v", "t >= n - 12"),
+        "earlier_sum": _sum("v", "t < n - 12 AND (t >= n - 24 OR n < 24)"),
+        "first12": _sum("v", "t < 12"),
+        "last_block": _sum("v", "block = blocks - 1"),
+        "growth_sum": _sum("growth * g_rank"),
+        "growth_weight": "coalesce(sum(if(grows, g_rank, NULL)), 0)",
+        "growth_age_sum": _sum("growth * (block + 1)"),
+        "growth_age_weight": "coalesce(sum(if(grows, block + 1, NULL)), 0)",
+        # absolute change into each step with a row, and out of it into an empty step
+        "naive_sum": _sum(
+            "if(t >= 1, abs(v - if(prev_t = t - 1, prev_v, 0D)), 0D)"
+            " + if(t + 1 <= n - 1 AND (next_t IS NULL OR next_t > t + 1), abs(v), 0D)"
+        ),
+        "shape12": "map_from_entries(collect_list(if(t >= n - 12 AND t < n, struct(t, v), NULL)))",
+        "actuals": "map_from_entries(collect_list(if(t >= n AND t < n + horizon, struct(t, value), NULL)))",
+        "hist_t": "collect_list(if(t < n, t, NULL))",
+        "hist_v": "collect_list(v)",
+        "positives": "collect_list(if(v > 0, struct(t, v), NULL))",
+    }
+    for level in ADIDA_LEVELS:
+        ends = f"floor(n / {level})"
+        aggs[f"adida{level}"] = _sum("v", f"t >= greatest({ends} - 3, 0) * {level} AND t < {ends} * {level}")
+    for i in range(SEASON):
+        aggs[f"phase_pos{i}"] = _sum("v", f"t % {SEASON} = {i} AND v > 0")
+        aggs[f"phase_nnz{i}"] = f"count(if(t % {SEASON} = {i} AND v > 0, 1, NULL))"
+        aggs[f"phase_all{i}"] = _sum("v", f"t % {SEASON} = {i}")
+    return aggs
 
 
 def series_state(
     indexed: DataFrame, kind: str = "full", horizon: int = 12, cfg: EngineConfig = EngineConfig()
 ) -> DataFrame:
-    """Statistics per (series_key, origin) of an indexed series (sparse or dense)."""
-    key = ["series_key", "origin"]
+    """Statistics per (series_key, origin) of an indexed series (sparse or dense).
+
+    In the aggregates ``n`` is the origin, ``v`` the value of a step before it.
+    """
     dated = ["period_start"] if "period_start" in indexed.columns else []
     df = at_origins(indexed.select("series_key", "t", "n", "value", *dated), kind, horizon, cfg)
-    t, n, v = F.col("t"), F.col("origin"), F.col("v")
-    df = df.withColumn("v", F.when(t < n, F.col("value")))
-
-    whole = Window.partitionBy(*key)
-    by_t = whole.orderBy("t")
-    before = by_t.rowsBetween(Window.unboundedPreceding, -1)
-    upto = by_t.rowsBetween(Window.unboundedPreceding, 0)
-    pos, update = v > 0, (v > 0) & (t >= 1)
-    recent = t >= n - 12
-    span = F.least(n, F.lit(12))
-    block = F.floor(t / SEASON)
-    df = df.withColumns(
-        {
-            "prev_pos": F.coalesce(F.max(F.when(pos, t)).over(before), F.lit(0)),
-            "j": F.count(F.when(update, 1)).over(upto),
-            "prev_t": F.lag("t").over(by_t),
-            "prev_v": F.lag("v").over(by_t),
-            "next_t": F.lead("t").over(by_t),
-            "updates": F.count(F.when(update, 1)).over(whole),
-            "m12": _zero(F.sum(F.when(recent, v)).over(whole)) / span,
-            "c12": F.count(F.when(recent, v)).over(whole),
-            "block": block,
-        }
-    )
-    spread = F.sum(F.when(recent, (v - F.col("m12")) * (v - F.col("m12")))).over(whole)
-    df = df.withColumn("d12", _zero(spread) + (span - F.col("c12")) * F.col("m12") * F.col("m12"))
-    df = df.withColumn("vol12", _zero(F.try_divide(F.sqrt(F.col("d12") / span), F.col("m12") + 1)))
-    df = df.withColumn("alpha", F.when(n >= 12, 0.3 + 0.2 * F.exp(-F.col("vol12"))).otherwise(0.35))
-
-    # Yearly blocks from the start: a block and the next one are range frames on its number.
-    by_block = whole.orderBy("block")
-    blocks = F.floor(n / SEASON)
-    df = df.withColumns(
-        {
-            "total": _zero(F.sum("v").over(by_block.rangeBetween(0, 0))),
-            "next_total": _zero(F.sum("v").over(by_block.rangeBetween(1, 1))),
-        }
-    )
-    opens = F.col("prev_t").isNull() | (F.floor(F.col("prev_t") / SEASON) < F.col("block"))
-    df = df.withColumn("grows", opens & (F.col("block") + 1 < blocks) & (F.col("total") > 0))
-    df = df.withColumn(
-        "g_rank", F.count(F.when(F.col("grows"), 1)).over(by_block.rangeBetween(Window.unboundedPreceding, 0))
-    )
-    growth = F.when(F.col("grows"), (F.col("next_total") - F.col("total")) / F.col("total"))
-
-    back = n - 1 - t
-    alpha = F.col("alpha")
-    size_w = SIZE_ALPHA * F.pow(F.lit(1 - SIZE_ALPHA), F.col("updates") - F.col("j"))
-    es_w = F.when(t == 0, F.pow(1 - alpha, n - 1)).otherwise(alpha * F.pow(1 - alpha, back))
-    window = F.greatest(F.lit(3), F.least(F.lit(12), F.floor(n / 4)))
-    wma_w = F.exp(-3.0 + 3.0 * (t - (n - window)) / (window - 1))
-    trend_w = F.exp(-2.0 * back / F.greatest(n - 1, F.lit(1)))
-    log_v = F.log(v + 1)
-    half = F.floor(n / 2)
-    adjacent = F.when(F.col("prev_t") == t - 1, F.col("prev_v")).otherwise(0.0)
-    step_in = F.when(t >= 1, F.abs(v - adjacent)).otherwise(0.0)
-    alone = (t + 1 <= n - 1) & (F.col("next_t").isNull() | (F.col("next_t") > t + 1))
-    step_out = F.when(alone, F.abs(v)).otherwise(0.0)
-    pair = F.struct(t.alias("t"), v.alias("v"))
-
-    def total(cond: Column | None, x: Column) -> Column:
-        return _zero(F.sum(x if cond is None else F.when(cond, x)))
-
-    aggs = {
-        "horizon": F.max("horizon"),
-        "holdout": F.bool_or("holdout"),
-        "nnz": F.count(F.when(pos, 1)),
-        "sum_pos": total(pos, v),
-        "sum_all": total(None, v),
-        "sum_sq_dev_pos": F.coalesce(F.var_pop(F.when(pos, v)), F.lit(0.0)),
-        "first_pos": F.min(F.when(pos, t)),
-        "last_pos": F.max(F.when(pos, t)),
-        "min_v": F.min("v"),
-        "last_v": total(t == n - 1, v),
-        "last6": total(t >= n - 6, v),
-        "updates": F.max("updates"),
-        "size_sum": total(update, size_w * v),
-        "gap_sum": total(update, size_w * (t - F.col("prev_pos"))),
-        "prob_sum": total(update, PROB_ALPHA * F.pow(F.lit(1 - PROB_ALPHA), back)),
-        "es_level": total(None, es_w * v),
-        "m12": F.max("m12"),
-        "vol12": F.max("vol12"),
-        "last3": total(t >= n - 3, v),
-        "prev3": total((t >= n - 6) & (t < n - 3), v),
-        "wma_sum": total(t >= n - window, wma_w * v),
-        "wma_recent": total(t >= n - window, v),
-        "wma_earlier": total((t >= n - 2 * window) & (t < n - window), v),
-        "log_sum": total(None, trend_w * log_v),
-        "log_x_sum": total(None, trend_w * log_v * back),
-        "tv": total(None, t * v),
-        "half_v": total(t < half, v),
-        "half_tv": total(t < half, t * v),
-        "recent_sum": total(recent, v),
-        "earlier_sum": F.when(F.max(n) >= 24, total((t >= n - 24) & (t < n - 12), v)).otherwise(total(t < n - 12, v)),
-        "first12": total(t < 12, v),
-        "last_block": total(F.col("block") == blocks - 1, v),
-        "growth_sum": total(None, growth * F.col("g_rank")),
-        "growth_weight": F.coalesce(F.sum(F.when(F.col("grows"), F.col("g_rank"))), F.lit(0)),
-        "growth_age_sum": total(None, growth * (F.col("block") + 1)),
-        "growth_age_weight": F.coalesce(F.sum(F.when(F.col("grows"), F.col("block") + 1)), F.lit(0)),
-        "naive_sum": total(None, step_in + step_out),
-        "shape12": F.map_from_entries(F.collect_list(F.when(recent & (t < n), pair))),
-        "actuals": F.map_from_entries(
-            F.collect_list(F.when((t >= n) & (t < n + F.col("horizon")), F.struct(t.alias("t"), F.col("value").alias("v"))))
-        ),
-        "hist_t": F.collect_list(F.when(t < n, t)),
-        "hist_v": F.collect_list(v),
-        "positives": F.collect_list(F.when(pos, pair)),
-    }
+    df = df.selectExpr(
+        "series_key", "origin", "horizon", "holdout", "t", "value", *dated,
+        "origin AS n", "if(t < origin, value, NULL) AS v",
+    )
+    for stage in _STAGES:
+        df = add(df, stage)
+    aggs = _aggregates()
     if dated:
-        aggs["first_start"] = F.min("period_start")
-    for level in ADIDA_LEVELS:
-        buckets = F.floor(n / level)
-        lo = F.greatest(buckets - 3, F.lit(0)) * level
-        aggs[f"adida{level}"] = total((t >= lo) & (t < buckets * level), v)
-    for i in range(SEASON):
-        phase = t % SEASON == i
-        aggs[f"phase_pos{i}"] = total(phase & pos, v)
-        aggs[f"phase_nnz{i}"] = F.count(F.when(phase & pos, 1))
-        aggs[f"phase_all{i}"] = total(phase, v)
-    return (
-        df.groupBy(*key)
-        .agg(*[c.alias(name) for name, c in aggs.items()])
-        .withColumn("n", F.col("origin"))
-    )
+        aggs["first_start"] = "min(period_start)"
+    return df.groupBy("series_key", "origin").agg(*[F.expr(text).alias(name) for name, text in aggs.items()])

@@ -62,6 +62,11 @@ def ratio0(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def add(df: DataFrame, exprs: dict[str, str]) -> DataFrame:
+    """Add or replace columns given as SQL expressions. All of them see the columns of ``df``."""
+    return df.withColumns({name: F.expr(text) for name, text in exprs.items()})
+
+
 def side_by_side(parts: list[DataFrame]) -> DataFrame:
     """One-row frames put together into one row, by union and ``first`` instead of a cross join."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
