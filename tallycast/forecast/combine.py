@@ -78,7 +78,7 @@ def calibrated(
     df = add(wide, {"base": base, "wg": growth})
     df = add(df, {"target1": f"last_block * (1 + {rate})"})
     df = add(df, {"target2": f"target1 * (1 + wg * {damping}D)"})
-    last = "coalesce(try_element_at(shape12, CAST(n - 12 + (h - 1) % 12 AS INT)), 0D)"
+    last = f"get(array({', '.join(f'last12_{i}' for i in range(12))}), CAST((h - 1) % 12 AS INT))"
     df = add(
         df,
         {

@@ -152,7 +152,6 @@ def _aggregates() -> dict[str, str]:
             "if(t >= 1, abs(v - if(prev_t = t - 1, prev_v, 0D)), 0D)"
             " + if(t + 1 <= n - 1 AND (next_t IS NULL OR next_t > t + 1), abs(v), 0D)"
         ),
-        "shape12": "map_from_entries(collect_list(if(t >= n - 12 AND t < n, struct(t, v), NULL)))",
         "actuals": "map_from_entries(collect_list(if(t >= n AND t < n + horizon, struct(t, value), NULL)))",
         "hist_t": "collect_list(if(t < n, t, NULL))",
         "hist_v": "collect_list(v)",
@@ -162,6 +161,7 @@ def _aggregates() -> dict[str, str]:
         ends = f"floor(n / {level})"
         aggs[f"adida{level}"] = _sum("v", f"t >= greatest({ends} - 3, 0) * {level} AND t < {ends} * {level}")
     for i in range(SEASON):
+        aggs[f"last12_{i}"] = _sum("v", f"t = n - {SEASON - i}")
         aggs[f"phase_pos{i}"] = _sum("v", f"t % {SEASON} = {i} AND v > 0")
         aggs[f"phase_nnz{i}"] = f"count(if(t % {SEASON} = {i} AND v > 0, 1, NULL))"
         aggs[f"phase_all{i}"] = _sum("v", f"t % {SEASON} = {i}")

@@ -57,10 +57,10 @@ def order_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
         df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     if "customer" in needed:
         customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-        if "nation" in needed:
-            nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-            customer = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         df = df.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    if "nation" in needed:
+        nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+        df = df.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     if "part" in needed:
         part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
         df = df.join(part, F.col("l_partkey") == F.col("p_partkey"))
