@@ -567,10 +567,12 @@ def backtest_all_methods(spark, sf):
 
 
 def closed_report(spark, sf, level: str = "item") -> DataFrame:
-    final = post.finished(closed_wide(spark, sf, level), combine.CLOSED)
-    best = backtest.best_method(closed_metrics(spark, sf, level))
-    paths = report.chosen(final, best, combine.CLOSED)
-    return report.forecast_report(sparse(spark, sf, level), paths)
+    demand = sparse(spark, sf, level)
+    steps = series.forecastable(series.index_series(demand))
+    final = post.finished(combine.closed_methods(series_state(steps)), combine.CLOSED)
+    holdout = combine.closed_methods(series_state(steps, "holdout"))
+    best = backtest.best_method(backtest.backtest_metrics(holdout, combine.CLOSED))
+    return report.forecast_report(demand, report.chosen(final, best, combine.CLOSED))
 
 
 @query

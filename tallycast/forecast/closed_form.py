@@ -46,7 +46,12 @@ def levels(state: DataFrame) -> DataFrame:
         },
     )
     df = add(df, {"wma_trend": _clip("wma_drift", "wma_level * -0.1D", "wma_level * 0.15D")})
-    return _log_line(_straight_line(df))
+    # Narrow rows keep the later stages cheap to plan and to sort.
+    used = [f"phase_{kind}{i}" for kind in ("pos", "nnz", "all") for i in range(SEASON)]
+    used += [f"adida{level}" for level in ADIDA_LEVELS]
+    used += ["size_sum", "gap_sum", "prob_sum", "wma_sum", "wma_recent", "wma_earlier", "wma_ratio", "wma_drift"]
+    used += ["log_sum", "log_x_sum", "first12", "prev3", "mean_pos", "updates", "gap", "win", "var_pos"]
+    return _log_line(_straight_line(df)).drop(*used)
 
 
 def _adida_level() -> str:

@@ -13,6 +13,7 @@ from tallycast.config import ENSEMBLE_WEIGHTS, METHODS, EngineConfig
 from tallycast.forecast.closed_form import GROWTH_BASE, levels, steps, with_closed_forms
 from tallycast.forecast.fits import FITTED, fitted_at_end
 from tallycast.functions.columns import add, hashed_uniform
+from tallycast.operators.series import by_series
 
 PATH = "(PARTITION BY series_key, origin)"
 LONG_HISTORY = 24
@@ -170,7 +171,8 @@ def closed_methods(state: DataFrame, cfg: EngineConfig = EngineConfig()) -> Data
 
 def all_methods(state: DataFrame, cfg: EngineConfig = EngineConfig(), meta=None) -> DataFrame:
     """Every method at every step. ``meta`` is a function that adds the slot ``lightgbm``."""
-    df = fitted_at_end(levels(state)).repartition("series_key")
+    # Spark does not know that the Python stage keeps rows in their partitions.
+    df = by_series(fitted_at_end(levels(state)))
     df = with_closed_forms(steps(df), cfg)
     df = with_fixed_blend(with_fitted(df, cfg))
     df = with_short_meta(df) if meta is None else meta(df)

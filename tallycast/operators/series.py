@@ -40,6 +40,15 @@ def build_series(lines: DataFrame, level: str, metric: str, freq: str = "M") ->
     )
 
 
+def by_series(df: DataFrame) -> DataFrame:
+    """Hash rows by series into the session's number of shuffle partitions.
+
+    A plain shuffle would be joined into few partitions by bytes; forecasting is bound by
+    CPU per row, so the full number of tasks is kept. Series are short, so partitions are even.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_key")
+
+
 def index_series(series: DataFrame, freq: str = "M") -> DataFrame:
     """Add the step number ``t`` from the first period of the series and its length ``n``.
 
@@ -50,24 +59,27 @@ def index_series(series: DataFrame, freq: str = "M") -> DataFrame:
     o = ordinal(F.col("period_start"), freq)
     first, last = F.min("o").over(whole), F.max("o").over(whole)
     return (
-        series.withColumn("o", o)
+        by_series(series)
+        .withColumn("o", o)
         .withColumn("t", F.col("o") - first)
         .withColumn("n", last - first + 1)
         .drop("o")
     )
 
 
-def densify(series: DataFrame, freq: str = "M") -> DataFrame:
+def densify(series: DataFrame, freq: str = "M", min_periods: int = 1) -> DataFrame:
     """Dense series ``(level, series_key, t, period_start, value)`` with zeros in the gaps.
 
     Every row is unfolded into itself and the empty periods up to the next row of its
     series. That is the calendar left join without the join: one shuffle, by series.
+    Series shorter than ``min_periods`` are left out.
     """
     order = Window.partitionBy("series_key").orderBy("t")
     following = F.coalesce(F.lead("t").over(order), F.col("t") + 1)
     gap = F.sequence(F.lit(0), following - F.col("t") - 1)
     return (
         index_series(series, freq)
+        .where(F.col("n") >= min_periods)
         .withColumn("gap", gap)
         .select("level", "series_key", "t", "period_start", "value", F.explode("gap").alias("k"))
         .select(
