@@ -8,11 +8,13 @@ so the best set is known at *any* origin after one pass.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from itertools import product
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -247,3 +249,7 @@ def _rolling_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fitted_rolling(state: DataFrame) -> DataFrame:
     """Forecasts of the fitted methods at every rolling origin, in one pass per series."""
     return state.select("series_key", "n", "hist_t", "hist_v").mapInPandas(_rolling_batches, ROLLING_SCHEMA)
+
+
+# The functions travel to the executors by value, so nothing has to be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

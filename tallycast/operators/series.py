@@ -45,8 +45,13 @@ def by_series(df: DataFrame) -> DataFrame:
 
     A plain shuffle would be joined into few partitions by bytes; forecasting is bound by
     CPU per row, so the full number of tasks is kept. Series are short, so partitions are even.
+    In local mode, where the cores are fixed, three tasks per core are enough.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_key")
+    spark = df.sparkSession
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if spark.conf.get("spark.master", "").startswith("local"):
+        count = min(count, 3 * spark.sparkContext.defaultParallelism)
+    return df.repartition(count, "series_key")
 
 
 def index_series(series: DataFrame, freq: str = "M") -> DataFrame:
