@@ -27,12 +27,16 @@ LOWER[65:91] += 32
 _LANE = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder of spark.checkpoint.dir; a folder of its own only where that is unset."""
-    spark = df.sparkSession
+def checkpoints(spark: SparkSession) -> None:
+    """Use the shared folder of spark.checkpoint.dir for checkpoints; a folder of its own only where that is unset."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpointed copy of the frame."""
+    checkpoints(df.sparkSession)
     return df.checkpoint()
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycast.llm import decontaminate, language, quality
+from tallycast.llm import decontaminate, language, quality, tokens
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -17,6 +18,18 @@ def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
+def op4_token_id_output(spark: SparkSession, sf: str) -> DataFrame:
+    path = tokens.scratch(spark, "tokens")
+    tokens.write(_table(spark, sf, "documents"), path, _tokenizer("byte_bpe_50k.json"))
+    return tokens.read(spark, path)
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
@@ -29,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_quality_classifier,
+        op4_token_id_output,
         op6_benchmark_decontamination,
         op7_language_id,
     )
