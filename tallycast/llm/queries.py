@@ -7,13 +7,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycast.llm import decontaminate, language, quality, tokens
+from tallycast.llm import decontaminate, language, quality, substring, suffix, tokens
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix.repeats(_table(spark, sf, "documents")).drop("spans", "kept")
+
+
 def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
@@ -38,13 +42,20 @@ def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(_table(spark, sf, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that lose something; the others lose nothing."""
+    return substring.deduplicate(_table(spark, sf, "documents")).where("n_removed > 0").drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_suffix_array_dedup,
         op2_quality_classifier,
         op4_token_id_output,
         op6_benchmark_decontamination,
         op7_language_id,
+        op9_substring_dedup,
     )
 }
 
