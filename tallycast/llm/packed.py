@@ -77,15 +77,16 @@ def megabytes(packed: DataFrame) -> float:
     return (packed.agg(F.sum("n_bytes")).first()[0] or 0) / 1e6
 
 
-def ask(packed: DataFrame, keys: Callable[[Batch, dict], tuple[np.ndarray, np.ndarray]], answer: Callable[[list[tuple[int, np.ndarray]]], list[bytes]], buckets: int, extra: tuple[str, ...] = ()) -> DataFrame:
+def ask(packed: DataFrame, keys: Callable[[Batch, dict], tuple[np.ndarray | list[bytes], np.ndarray]], answer: Callable[[list[tuple[int, np.ndarray]]], list[bytes]], buckets: int, extra: tuple[str, ...] = ()) -> DataFrame:
     """`packed` with a column `replies`, of (bucket, reply) pairs.
 
-    keys: of a batch, what it asks (an array of fixed-size records) and a hash of each record's key; the records with
-    equal hash modulo the number of buckets go to one bucket, in their order. answer: for what all batches ask of a
+    keys: of a batch, what it asks (an array of fixed-size records, or words, which go with line feeds between them) and
+    a hash of each record's key; the records with equal hash modulo the number of buckets go to one bucket, in their order. answer: for what all batches ask of a
     bucket, (batch, records) in any order, the reply to each. extra: columns that `keys` needs besides the batch.
     """
 
     def asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
         for b in batches:
             for row in b.to_pylist():
                 records, h = keys(opened(row), row)
@@ -93,9 +94,12 @@ def ask(packed: DataFrame, keys: Callable[[Batch, dict], tuple[np.ndarray, np.nd
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
                 full = np.flatnonzero(np.diff(cuts))
-                raw, item = records[order].tobytes(), records.dtype.itemsize
-                if len(full):
+                if isinstance(records, list):
+                    parts = [small.compress(b"\n".join([records[i] for i in order[cuts[k] : cuts[k + 1]]])) for k in full]
+                else:
+                    raw, item = records[order].tobytes(), records.dtype.itemsize
                     parts = [raw[cuts[k] * item : cuts[k + 1] * item] for k in full]
+                if len(full):
                     yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["batch"]] * len(full), pa.int64()), pa.array(parts, pa.binary())], ["bucket", "batch", "records"])
 
     def replied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

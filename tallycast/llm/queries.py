@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycast.llm import decontaminate, language, quality, substring, suffix, tokens
+from tallycast.llm import bpe, decontaminate, language, quality, substring, suffix, tokens
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return language.identify(_table(spark, sf, "documents"))
 
 
+def op8_bpe_encode_decode(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf, "documents"), _tokenizer("word_bpe_49k.json")).drop("ids", "decoded")
+
+
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that lose something; the others lose nothing."""
     return substring.deduplicate(_table(spark, sf, "documents")).where("n_removed > 0").drop("kept")
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_token_id_output,
         op6_benchmark_decontamination,
         op7_language_id,
+        op8_bpe_encode_decode,
         op9_substring_dedup,
     )
 }
