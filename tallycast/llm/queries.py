@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycast.llm import bpe, decontaminate, language, quality, substring, suffix, tokens
+from tallycast.llm import bpe, decontaminate, fingerprint, jaccard, language, lines, quality, substring, suffix, tokens
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return quality.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
 
 
+def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.repeated(_table(spark, sf, "documents")).drop("text_hash")
+
+
 def _tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -34,6 +38,10 @@ def op4_token_id_output(spark: SparkSession, sf: str) -> DataFrame:
     return tokens.read(spark, path)
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.classes(_table(spark, sf, "documents")).drop("batch", "at")
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.search(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
 
@@ -51,16 +59,23 @@ def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substring.deduplicate(_table(spark, sf, "documents")).where("n_removed > 0").drop("kept")
 
 
+def op10_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint.edited(_table(spark, sf, "documents")).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_suffix_array_dedup,
         op2_quality_classifier,
+        op3_line_dedup,
         op4_token_id_output,
+        op5_ngram_jaccard_join,
         op6_benchmark_decontamination,
         op7_language_id,
         op8_bpe_encode_decode,
         op9_substring_dedup,
+        op10_document_fingerprints,
     )
 }
 
