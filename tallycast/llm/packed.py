@@ -77,19 +77,19 @@ def megabytes(packed: DataFrame) -> float:
     return (packed.agg(F.sum("n_bytes")).first()[0] or 0) / 1e6
 
 
-def ask(packed: DataFrame, keys: Callable[[Batch, dict], tuple[np.ndarray | list[bytes], np.ndarray]], answer: Callable[[list[tuple[int, np.ndarray]]], list[bytes]], buckets: int, extra: tuple[str, ...] = ()) -> DataFrame:
+def ask(packed: DataFrame, keys: Callable[[Batch, dict], tuple[np.ndarray | list[bytes], np.ndarray]], answer: Callable[[list[tuple[int, np.ndarray]]], list[bytes]], buckets: int, extra: tuple[str, ...] = (), bodies: bool = True) -> DataFrame:
     """`packed` with a column `replies`, of (bucket, reply) pairs.
 
     keys: of a batch, what it asks (an array of fixed-size records, or words, which go with line feeds between them) and
     a hash of each record's key; the records with equal hash modulo the number of buckets go to one bucket, in their order. answer: for what all batches ask of a
-    bucket, (batch, records) in any order, the reply to each. extra: columns that `keys` needs besides the batch.
+    bucket, (batch, records) in any order, the reply to each. extra: columns that `keys` needs besides the batch; bodies: whether it needs the batch.
     """
 
     def asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=3)
         for b in batches:
             for row in b.to_pylist():
-                records, h = keys(opened(row), row)
+                records, h = keys(opened(row) if bodies else None, row)
                 bucket = (h >> base.U(20)) % base.U(buckets)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
@@ -112,7 +112,7 @@ def ask(packed: DataFrame, keys: Callable[[Batch, dict], tuple[np.ndarray | list
             replies = answer(got)
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in got], pa.int64()), pa.array([k] * len(got), pa.int32()), pa.array(replies, pa.binary())], ["batch", "bucket", "reply"])
 
-    questions = packed.select("batch", "n_bytes", "doc_ids", "ends", "body", *extra).mapInArrow(asked, "bucket int, batch long, records binary")
+    questions = packed.select("batch", *(("n_bytes", "doc_ids", "ends", "body") if bodies else ()), *extra).mapInArrow(asked, "bucket int, batch long, records binary")
     replies = questions.repartition(buckets, "bucket").mapInArrow(replied, "batch long, bucket int, reply binary")
     gathered = replies.groupBy("batch").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
     return packed.join(gathered, "batch", "left")

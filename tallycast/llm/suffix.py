@@ -9,7 +9,8 @@ of times. Merging scans both arrays side by side and notes for each suffix wheth
 around it, over all windows that kept it, were the same.
 
 Suffixes that came again with the same surroundings have all their windows repeated. For those that came again with
-other surroundings, at the ends of repeats, every window is asked for by itself in a second family.
+other surroundings, a second family finds the surroundings that came again. What is left, at the ends of repeats, is
+asked for window by window in a third, where one batch speaks for each surroundings that came again.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ GRAM = 64
 SEGMENT = 1 << 20
 _PLACE = base.U((1 << 24) - 1)
 _SUFFIX = np.dtype([("a", "<u8"), ("b", "<u8"), ("state", "u1")])
+_RUN = np.dtype([("first", "<u4"), ("n", "<u4"), ("around", "<u8")])
 #: States of a suffix: seen once, seen again with the same surroundings, with other surroundings.
 ONCE, SAME, OTHER = 0, 1, 2
 
@@ -66,8 +68,8 @@ class Levels:
         out["state"] = np.where(several, np.maximum(np.where(other, OTHER, SAME), state), state)
         return out
 
-    def state(self, rows: np.ndarray) -> np.ndarray:
-        """States of the keys of rows, all of which are in the index."""
+    def found(self, rows: np.ndarray) -> np.ndarray:
+        """The index's entries for the keys of rows, all of which are in it."""
         while len(self.levels) > 1:
             self.levels.append(self.merged(self.levels.pop(), self.levels.pop()))
         top = self.levels[0]
@@ -77,23 +79,33 @@ class Levels:
             while len(wrong):  # equal a, other b
                 at[wrong] += 1
                 wrong = wrong[top["b"][at[wrong]] != rows["b"][wrong]]
-        return top["state"][at]
+        return top[at]
 
 
-def _answer(whole_key: bool):
+def _answer(whole_key: bool, spoken_for: bool = False):
+    """Two bits for each entry: its state, or if spoken_for whether it came again and whether the asker speaks for it."""
+
     def answer(asked: list[tuple[int, bytes]]) -> list[bytes]:
         index = Levels(whole_key)
         for _, x in asked:
             index.add(np.frombuffer(x, _SUFFIX))
-        states = (index.state(np.frombuffer(x, _SUFFIX)) for _, x in asked)
-        return [np.packbits(np.stack((s == SAME, s == OTHER), 1).ravel()).tobytes() for s in states]
+        out = []
+        for _, x in asked:
+            rows = np.frombuffer(x, _SUFFIX)
+            top = index.found(rows)
+            bits = (top["state"] > ONCE, top["b"] == rows["b"]) if spoken_for else (top["state"] == SAME, top["state"] == OTHER)
+            out.append(np.packbits(np.stack(bits, 1).ravel()).tobytes())
+        return out
 
     return answer
 
 
-def _states(reply: bytes, n: int) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(reply, np.uint8), count=2 * n).reshape(-1, 2)
-    return bits[:, 0] * SAME + bits[:, 1] * OTHER
+def _bits(replies: list[dict] | None, array: np.ndarray, buckets: int) -> np.ndarray:
+    """The two bits that a batch has got for each entry of its array."""
+    out = np.zeros((len(array), 2), np.uint8)
+    for slot, reply in packed.slots(array["a"], buckets, replies):
+        out[slot] = np.unpackbits(np.frombuffer(reply, np.uint8), count=2 * len(slot)).reshape(-1, 2)
+    return out
 
 
 def _doubled(h: np.ndarray, k: int) -> np.ndarray:
@@ -208,9 +220,8 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
     rows = packed.pack(docs)
-    mb = packed.megabytes(rows)
     n_parts, spark = rows.rdd.getNumPartitions(), docs.sparkSession
-    first_buckets = second_buckets = base.tasks(spark, mb, 100)
+    buckets = base.tasks(spark, packed.megabytes(rows), 100)
 
     def suffixes(batch: packed.Batch, _: dict) -> tuple[np.ndarray, np.ndarray]:
         key, around, _, _ = _runs(batch.texts, length)
@@ -222,16 +233,34 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             for row in b.to_pylist():
                 key, around, first, n = _runs(packed.opened(row).texts, length)
                 array = _sorted(key, around, False)
-                state = np.zeros(len(array), np.uint8)
-                for slot, reply in packed.slots(array["a"], first_buckets, row["replies"]):
-                    state[slot] = _states(reply, len(slot))
-                state = state[np.searchsorted(array["a"], key)]
-                found = [np.stack((first[state == s], n[state == s])).astype(np.int64).tobytes() for s in (SAME, OTHER)]
-                yield pa.RecordBatch.from_arrays([pa.array([row["batch"]], pa.int64()), *(pa.array([x], pa.binary()) for x in found)], ["batch", "sure", "doubt"])
+                bits = _bits(row["replies"], array, buckets)[np.searchsorted(array["a"], key)] > 0
+                runs = np.rec.fromarrays([first, n, around], dtype=_RUN)
+                yield pa.RecordBatch.from_arrays([pa.array([row["batch"]], pa.int64()), *(pa.array([runs[bits[:, k]].tobytes()], pa.binary()) for k in (0, 1))], ["batch", "sure", "other"])
+
+    def around(_: None, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        other = np.frombuffer(row["other"], _RUN)
+        array = _sorted(other["around"], np.full(len(other), row["batch"], np.uint64), False)
+        return array, array["a"]
+
+    def divided(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                other = np.frombuffer(row["other"], _RUN)
+                array, _ = around(None, row)
+                at = np.searchsorted(array["a"], other["around"])
+                again, speaks = _bits(row["replies"], array, buckets)[at].T > 0
+                one = np.zeros(len(other), bool)
+                one[np.unique(at, return_index=True)[1]] = True
+                sure = row["sure"] + other[again].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([row["batch"]], pa.int64()), pa.array([sure], pa.binary()), pa.array([other[~again | (speaks & one)].tobytes()], pa.binary())], ["batch", "sure", "doubt"])
+
+    def windows(batch: packed.Batch, row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        doubt = np.frombuffer(row["doubt"], _RUN)
+        place, a, b = _doubtful(b"".join(batch.texts), doubt["first"].astype(np.int64), doubt["n"].astype(np.int64), length)
+        return place, a, b, _sorted(a, b, True)
 
     def doubtful(batch: packed.Batch, row: dict) -> tuple[np.ndarray, np.ndarray]:
-        _, a, b = _doubtful(b"".join(batch.texts), *np.frombuffer(row["doubt"], np.int64).reshape(2, -1), length)
-        array = _sorted(a, b, True)
+        array = windows(batch, row)[-1]
         return array, array["a"]
 
     def removed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,17 +268,16 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             for row in b.to_pylist():
                 batch = packed.opened(row)
                 text = b"".join(batch.texts)
-                place, a, c = _doubtful(text, *np.frombuffer(row["doubt"], np.int64).reshape(2, -1), length)
-                array = _sorted(a, c, True)
-                again = np.zeros(len(array), bool)
-                for slot, reply in packed.slots(array["a"], second_buckets, row["replies"]):
-                    again[slot] = _states(reply, len(slot)) > 0
+                place, a, c, array = windows(batch, row)
+                again = array.copy()
+                again["state"] = _bits(row["replies"], array, buckets).any(1)
                 index = Levels(True)
-                index.levels = [np.rec.fromarrays([array["a"], array["b"], again.view(np.uint8)], dtype=_SUFFIX)]
+                index.add(again)
                 asked = np.zeros(len(a), _SUFFIX)
                 asked["a"], asked["b"] = a, c
-                hit = place[index.state(asked) > 0] if len(a) else place
-                first, n = np.frombuffer(row["sure"], np.int64).reshape(2, -1)
+                hit = place[index.found(asked)["state"] > 0] if len(a) else place
+                sure = np.frombuffer(row["sure"], _RUN)
+                first, n = sure["first"].astype(np.int64), sure["n"].astype(np.int64)
                 edge = np.zeros(len(text) + 1, np.int32)
                 np.add.at(edge, np.concatenate((first, hit)), 1)
                 np.add.at(edge, np.concatenate((first + n - 1 + length, hit + length)), -1)
@@ -265,7 +293,9 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(out, shape)
 
     shape = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
-    known = packed.ask(rows, suffixes, _answer(False), first_buckets)
-    known = base.cut(known.mapInArrow(judged, "batch long, sure binary, doubt binary").repartition(n_parts, "batch"))
-    found = packed.ask(rows.join(known, "batch"), doubtful, _answer(True), second_buckets, ("doubt",))
+    known = packed.ask(rows, suffixes, _answer(False), buckets)
+    known = base.cut(known.mapInArrow(judged, "batch long, sure binary, other binary").repartition(n_parts, "batch"))
+    known = packed.ask(known, around, _answer(False, True), buckets, ("other",), bodies=False)
+    known = base.cut(known.mapInArrow(divided, "batch long, sure binary, doubt binary").repartition(n_parts, "batch"))
+    found = packed.ask(rows.join(known, "batch"), doubtful, _answer(True), buckets, ("doubt",))
     return found.mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
