@@ -8,6 +8,7 @@ be read by itself, and a block is unpacked by a few NumPy operations. Parts are
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -25,6 +26,12 @@ _FORMAT = "part int, block int, width int, ids_before long, n_ids long, doc_ids
 #: Bytes that are no white space and start no white-space character (those start with C2, E1, E2 or E3).
 _OPEN = np.zeros(256, bool)
 _OPEN[[*range(0x21, 0x7F), *range(0xC3, 0xE0), *range(0xE4, 0xF5)]] = True
+#: ASCII letters 1; marks that neither an added token nor a contraction has 2.
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = 1
+_KIND[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = 2
+#: A piece without white space but for one space before it.
+_PLAIN = re.compile(rb" ?[\x21-\x7e\xc3-\xdf\x80-\xbf]+")
 
 
 def pack(ids: np.ndarray, width: int) -> bytes:
@@ -51,61 +58,97 @@ def unpack(payload: bytes, width: int, start: int, end: int) -> np.ndarray:
 class Pieces:
     """Encodes texts piece by piece, each distinct piece once as long as the table of pieces holds.
 
-    A text is cut before single spaces that stand between two characters of which neither is white space. The
-    tokenizer splits there as well, and nothing it does on one side looks at the other. The table is emptied when it is
-    full, which only costs time.
+    A text is cut before single spaces that stand between two characters of which neither is white space, and between
+    letters and marks. The tokenizer splits there as well, and nothing it does on one side looks at the other. The table
+    knows pieces by a 64-bit hash; it is emptied when it is full, which only costs time.
     """
 
-    def __init__(self, tokenizer: str, most: int = 300_000):
+    def __init__(self, tokenizer: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_str(tokenizer), most
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.feed = feed[0] if len(feed) == 1 else None
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.end, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def numbers(self, pieces: list[bytes]) -> np.ndarray:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if len(self.known) + len(new) > self.most and self.known:
+        self.known, self.low, self.n, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def ids_of(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has. Plain pieces go to the tokenizer many at once, with line feeds between them."""
+        plain = np.array([_PLAIN.fullmatch(p) is not None for p in pieces]) if self.feed is not None else np.zeros(len(pieces), bool)
+        easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
+        n = np.zeros(len(pieces), np.int64)
+        texts = [b"\n".join([pieces[k] for k in easy[i : i + 1000]]).decode() + "\n" for i in range(0, len(easy), 1000)]
+        runs = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        run = np.concatenate([np.zeros(0, np.uint32), *runs])
+        ends = np.flatnonzero(run == self.feed) if len(easy) else np.zeros(0, np.int64)
+        n[easy] = np.diff(ends, prepend=-1) - 1
+        others = [x.ids for x in self.tokenizer.encode_batch_fast([pieces[k].decode() for k in hard], add_special_tokens=False)]
+        n[hard] = [len(x) for x in others]
+        low, out = np.cumsum(n) - n, np.zeros(n.sum(), np.uint32)
+        out[_spread(low[easy], n[easy])] = run[run != self.feed] if len(easy) else run
+        out[_spread(low[hard], n[hard])] = np.fromiter((i for x in others for i in x), np.uint32)
+        return out, n
+
+    def places(self, h: np.ndarray, start: np.ndarray, stop: np.ndarray, raw: bytes) -> np.ndarray:
+        """Numbers in the table of the pieces with distinct hashes h, in ascending order, after those it lacks were encoded."""
+        at = np.searchsorted(self.known, h)
+        new = np.ones(len(h), bool)
+        if len(self.known):
+            new = self.known[np.minimum(at, len(self.known) - 1)] != h
+        if len(self.known) + new.sum() > self.most and len(self.known):
             self.clear()
-            new = list(dict.fromkeys(pieces))
-        if new:
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False)]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.end = np.concatenate((self.end, self.end[-1] + np.cumsum([len(x) for x in ids])))
-            self.pool = np.concatenate((self.pool, np.fromiter((i for x in ids for i in x), np.uint32)))
-        return np.array([self.known[p] for p in pieces], np.int64)
+            new[:] = True
+        if new.any():
+            pool, n = self.ids_of([raw[a:b] for a, b in zip(start[new].tolist(), stop[new].tolist(), strict=True)])
+            into = np.searchsorted(self.known, h[new])
+            low = len(self.pool) + np.cumsum(n) - n
+            self.known, self.low, self.n = (np.insert(x, into, y) for x, y in ((self.known, h[new]), (self.low, low), (self.n, n)))
+            self.pool = np.concatenate((self.pool, pool))
+        return np.searchsorted(self.known, h)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and how many each has."""
         buf, at = base.joined(texts)
         body = buf[: at[-1]]
+        full = np.flatnonzero(np.diff(at) > 1)
+        if not len(full):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         gap = np.flatnonzero(body == 32)
         gap = gap[(gap > 1) & (gap < len(body) - 1)]
         before, lead = body[gap - 1], body[gap - 2]
         wide = (before >= 0x80) & (lead >= 0xC3) & (lead <= 0xDF)
         gap = gap[_OPEN[body[gap + 1]] & (wide | (before > 0x20) & (before < 0x7F))]
-        full = np.flatnonzero(np.diff(at) > 1)
-        start = np.union1d(gap, at[:-1][full])
+        kind = _KIND[body]
+        turn = np.flatnonzero((kind[1:] + kind[:-1] == 3) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+        mark = np.zeros(at[-1] + 1, bool)
+        mark[gap] = mark[turn] = mark[at[:-1][full]] = True
+        start = np.flatnonzero(mark)
         first = np.searchsorted(start, at)
         stop = np.append(start[1:], at[-1])
         stop[first[1:][full] - 1] = at[1:][full] - 1
-        if not len(start):
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        _, one, which = np.unique(base.hashes(buf, start, stop), return_index=True, return_inverse=True)
-        raw = body.tobytes()
-        number = self.numbers([raw[a:b] for a, b in zip(start[one].tolist(), stop[one].tolist(), strict=True)])[which]
-        n = self.end[number + 1] - self.end[number]
+        h = base.hashes(buf, start, stop)
+        order = np.argsort(h)
+        new = np.ones(len(h), bool)
+        new[1:] = h[order[1:]] != h[order[:-1]]
+        one = order[new]
+        place = np.empty(len(h), np.int64)
+        place[order] = self.places(h[one], start[one], stop[one], body.tobytes())[np.cumsum(new) - 1]
+        n = self.n[place]
         out = np.concatenate(([0], np.cumsum(n)))
-        src = np.repeat(self.end[number] - out[:-1], n) + np.arange(out[-1])
-        return self.pool[src], out[first[1:]] - out[first[:-1]]
+        return self.pool[_spread(self.low[place], n)], out[first[1:]] - out[first[:-1]]
+
+
+def _spread(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each low on, n of them."""
+    out = np.concatenate(([0], np.cumsum(n)))
+    return np.repeat(low - out[:-1], n) + np.arange(out[-1])
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
-    """Write the ids of all rows to `path` in ascending order of doc_id (null first), equal ids ordered by text.
+    """Write the ids of all rows to `path` in ascending order of doc_id (null first), equal ids by a hash of the text.
 
     tokenizer: the JSON text of a tokenizers file. Each document gets end_id after its ids; null counts as empty text.
     """
@@ -134,7 +177,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
                     block, before = block + 1, before + n_ids
 
     shape = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("width", pa.int32()), ("ids_before", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_ends", pa.list_(pa.int64())), ("payload", pa.binary())])
-    dealt = rows.repartitionByRange(base.tasks(spark, mb), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    dealt = rows.withColumn("text_hash", F.xxhash64("text")).repartitionByRange(base.tasks(spark, mb), "doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "text")
     dealt.mapInArrow(run, _FORMAT).write.mode("overwrite").parquet(path)
 
 
