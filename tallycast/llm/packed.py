@@ -32,10 +32,12 @@ class Batch:
     texts: list[bytes]
 
 
-def pack(docs: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
-    """Checkpointed rows (batch, n_bytes, doc_ids, ends, body): whole documents of about `size` bytes together, compressed.
+def pack(docs: DataFrame, size: int = BATCH_BYTES, keep: bool = True) -> DataFrame:
+    """Rows (batch, n_bytes, doc_ids, ends, body): whole documents of about `size` bytes together, compressed.
 
-    They are dealt out by batch before, and Spark knows it: joins by batch move no body again.
+    They are dealt out by batch, and Spark knows it: joins by batch move no body again. They are checkpointed if keep,
+    for use in several queries; without, one query that uses them twice computes and moves them once, which saves the
+    copy but takes documents that come in the same order each time, as from files (ask checks the replies' lengths).
     """
     shape = "n_bytes long, doc_ids binary, ends binary, body binary"
 
@@ -63,7 +65,8 @@ def pack(docs: DataFrame, size: int = BATCH_BYTES) -> DataFrame:
 
     rows = base.id_and_text(docs)
     n = base.tasks(docs.sparkSession, (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 1e6)
-    return base.cut(rows.mapInArrow(run, shape).withColumn("batch", F.monotonically_increasing_id()).repartition(n, "batch"))
+    dealt = rows.mapInArrow(run, shape).withColumn("batch", F.monotonically_increasing_id()).repartition(n, "batch")
+    return base.cut(dealt) if keep else dealt
 
 
 def opened(row: dict) -> Batch:
@@ -72,9 +75,10 @@ def opened(row: dict) -> Batch:
     return Batch(row["batch"], np.frombuffer(row["doc_ids"], np.int64), [body[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
 
 
-def megabytes(packed: DataFrame) -> float:
-    """Text in all batches."""
-    return (packed.agg(F.sum("n_bytes")).first()[0] or 0) / 1e6
+def megabytes(rows: DataFrame) -> float:
+    """Text in all batches, or in all documents that are not packed yet."""
+    size = F.sum("n_bytes") if "n_bytes" in rows.columns and "body" in rows.columns else F.sum(F.octet_length(F.col("text").cast("string")))
+    return (rows.agg(size).first()[0] or 0) / 1e6
 
 
 def ask(packed: DataFrame, keys: Callable[[Batch, dict], tuple[np.ndarray | list[bytes], np.ndarray]], answer: Callable[[list[tuple[int, np.ndarray]]], list[bytes]], buckets: int, extra: tuple[str, ...] = (), bodies: bool = True) -> DataFrame:

@@ -51,7 +51,8 @@ def op7_language_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op8_bpe_encode_decode(spark: SparkSession, sf: str) -> DataFrame:
-    return bpe.encode(_table(spark, sf, "documents"), _tokenizer("word_bpe_49k.json")).drop("ids", "decoded")
+    columns = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    return bpe.encode(_table(spark, sf, "documents"), _tokenizer("word_bpe_49k.json"), columns)
 
 
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
