@@ -98,16 +98,19 @@ def search(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFra
     shingles in the whole document's. Null and empty texts hold nothing and are in nothing. Repeated rows of a document
     give repeated results, items with equal text one result each, repeated rows of an item one.
     """
-    listed = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
     shape = "doc_id long, item_id long, n_shared long, n_item long, containment double"
     out = None
-    for part in _parts(listed):
+    for part in _parts(_listed(benchmark)):
         items = _Items([r[0] for r in part], [r[1].encode() for r in part])
         found = base.id_and_text(docs).where("text is not null").mapInArrow(_searcher(items, least), shape)
         out = found if out is None else out.unionAll(found)
     return docs.sparkSession.createDataFrame([], shape) if out is None else out
 
 
+def _listed(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+
+
 def _parts(listed: DataFrame) -> Iterator[list]:
     """The items in blocks of at most ITEMS_AT_ONCE, dealt out by hash."""
     n = -(-listed.count() // (ITEMS_AT_ONCE // 2))
@@ -115,33 +118,49 @@ def _parts(listed: DataFrame) -> Iterator[list]:
         yield listed.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
 
 
+def _held(texts: list[bytes], items: _Items, least: float) -> Iterator[tuple[int, int, int]]:
+    """Document, item number and number of shared shingles of every verified pair."""
+    for i, j in base.blocks(texts) if items.ids else ():
+        buf, at = base.joined(texts[i:j])
+        buf = base.LOWER[buf]
+        start, end, first = base.words(buf, at)
+        s, out = base.shingles(base.hashes(buf, start, end), first)
+        last, own = -1, None
+        for doc, item in zip(*(x.tolist() for x in np.divmod(_candidates(s, out, items), len(items.ids))), strict=True):
+            if doc != last:
+                last, own = doc, np.unique(s[out[doc] : out[doc + 1]])
+            want = items.sets[item]
+            shared = int((own[np.minimum(np.searchsorted(own, want), len(own) - 1)] == want).sum())
+            if shared >= least * len(want):
+                yield i + doc, item, shared
+
+
 def _searcher(items: _Items, least: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = base.texts_of(b.column(1))
-            rows: list[tuple[int, int, int, int]] = []
-            for i, j in base.blocks(texts) if items.ids else ():
-                buf, at = base.joined(texts[i:j])
-                buf = base.LOWER[buf]
-                start, end, first = base.words(buf, at)
-                s, out = base.shingles(base.hashes(buf, start, end), first)
-                pairs = _candidates(s, out, items)
-                last, own = -1, None
-                for doc, item in zip(*(x.tolist() for x in np.divmod(pairs, len(items.ids))), strict=True):
-                    if doc != last:
-                        last, own = doc, np.unique(s[out[doc] : out[doc + 1]])
-                    want = items.sets[item]
-                    shared = int((own[np.minimum(np.searchsorted(own, want), len(own) - 1)] == want).sum())
-                    if shared >= least * len(want):
-                        rows.append((i + doc, items.ids[item], shared, len(want)))
-            at_, item, shared, size = (np.array(x, np.int64) for x in (zip(*rows, strict=True) if rows else [()] * 4))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at_)), pa.array(item), pa.array(shared), pa.array(size), pa.array(shared / np.maximum(size, 1))], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
+            found = list(_held(base.texts_of(b.column(1)), items, least))
+            doc, item, shared = zip(*found, strict=True) if found else ((), (), ())
+            size = [len(items.sets[k]) for k in item]
+            ids = pa.array([items.ids[k] for k in item], pa.int64())
+            share = pa.array([n / m for n, m in zip(shared, size, strict=True)], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc, pa.int64())), ids, pa.array(shared, pa.int64()), pa.array(size, pa.int64()), share], ["doc_id", "item_id", "n_shared", "n_item", "containment"])
 
     return run
 
 
 def stage(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
-    """The documents that hold no item, with their columns. A row is known by its doc_id (null: kept unless equal ids hold one)."""
-    key = base.fresh(docs, "held")
-    held = search(docs, benchmark, least).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_anti")
+    """The rows whose text holds no item, with their columns; rows are judged where they are read, without a join."""
+    at = docs.columns.index("text")
+
+    def kept(items: _Items):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                clean[[i for i, _, _ in _held(base.texts_of(b.column(at)), items, least)]] = False
+                yield b.filter(pa.array(clean))
+
+        return run
+
+    for part in _parts(_listed(benchmark)):
+        docs = docs.mapInArrow(kept(_Items([r[0] for r in part], [r[1].encode() for r in part])), docs.schema)
+    return docs

@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def _sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _members(rows: DataFrame) -> DataFrame:
-    """batch, at, doc_id, n_shingles, node (digest of the set, null if it is empty) of each document."""
+    """batch, at, doc_id, text_hash (as Spark's xxhash64), n_shingles, node (digest of the set, null if it is empty) of each document."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -56,10 +57,10 @@ def _members(rows: DataFrame) -> DataFrame:
                 s, first = _sets(batch.texts)
                 raw, cut = s.tobytes(), (first * 8).tolist()
                 node = [hashlib.blake2b(raw[a:z], digest_size=16).digest() if z > a else None for a, z in zip(cut[:-1], cut[1:], strict=True)]
-                n = len(node)
-                yield pa.RecordBatch.from_arrays([pa.array([row["batch"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(batch.doc_ids), pa.array(np.diff(first)), pa.array(node, pa.binary())], ["batch", "at", "doc_id", "n_shingles", "node"])
+                n, text_hash = len(node), np.array([xxhash.xxh64_intdigest(x, 42) for x in batch.texts], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([row["batch"]] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(batch.doc_ids), pa.array(text_hash), pa.array(np.diff(first)), pa.array(node, pa.binary())], ["batch", "at", "doc_id", "text_hash", "n_shingles", "node"])
 
-    return rows.mapInArrow(run, "batch long, at int, doc_id long, n_shingles long, node binary")
+    return rows.mapInArrow(run, "batch long, at int, doc_id long, text_hash long, n_shingles long, node binary")
 
 
 def _answer(asked: list[tuple[int, bytes]]) -> list[bytes]:
@@ -210,30 +211,39 @@ def connected(sets: DataFrame, threshold: int = 80) -> DataFrame:
     return labels if labels is not None else sets.select(F.col("node").alias("x"), F.col("node").alias("label"))
 
 
+def _rooted(docs: DataFrame, threshold: int) -> DataFrame:
+    """Members with root, the label of their component; null without shingles."""
+    rows = packed.pack(docs)
+    members = base.cut(_members(rows))
+    labels = connected(nodes(rows, members, threshold), threshold)
+    return members.join(labels.withColumnRenamed("x", "node"), "node", "left").withColumn("root", F.coalesce("label", "node"))
+
+
 def classes(docs: DataFrame, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, batch, at of each row; threshold in percent.
+    """doc_id, n_shingles, component_id of each row; threshold in percent.
 
     component_id is the smallest doc_id that links lead to, the own included; a null doc_id is the smallest. Documents
     with equal sets are linked. A text without words, or null, has no shingles and no links; one with fewer than five
     words has one shingle, all of them. Repeated rows are linked like any copies.
     """
-    rows = packed.pack(docs)
-    members = base.cut(_members(rows))
-    labels = connected(nodes(rows, members, threshold), threshold)
-    rooted = members.join(labels.withColumnRenamed("x", "node"), "node", "left").withColumn("root", F.coalesce("label", "node"))
+    rooted = _rooted(docs, threshold)
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
-    out = rooted.join(least, "root", "left")
     real = lambda c: F.when(c != packed.NO_ID, c)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.coalesce("component", "doc_id")).alias("component_id"), "batch", "at")
+    out = rooted.join(least, "root", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.col("component")).alias("component_id"))
 
 
 def stage(docs: DataFrame, threshold: int = 80) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with its columns; of repeated rows one.
+    """One document of each component with its columns: the one with the smallest doc_id (null first), then text hash.
 
-    Documents without words are linked with nothing and stay, one of each repeated row.
+    Of rows with equal doc_id and text one stays, whatever their other columns. Documents without words are linked with
+    nothing and stay.
     """
-    found = classes(docs, threshold)
-    kept = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    key = base.fresh(docs, "kept_id")
-    kept = kept.select(F.col("doc_id").alias(key))
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_semi").dropDuplicates()
+    rooted = _rooted(docs, threshold)
+    me = F.struct("doc_id", "text_hash").alias("me")
+    kept = rooted.where("root is not null").groupBy("root").agg(F.min(me).alias("me")).select("me").unionAll(rooted.where("root is null").select(me)).distinct()
+    name = base.fresh(docs, "row_key")
+    key = lambda i, h: F.concat_ws(":", i.cast("string"), h.cast("string"))
+    kept = kept.select(key(F.col("me.doc_id"), F.col("me.text_hash")).alias(name))
+    own = key(F.coalesce(F.col("doc_id").cast("long"), F.lit(packed.NO_ID)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs.withColumn(name, own).join(kept, name).dropDuplicates([name]).select(*docs.columns)

@@ -39,7 +39,7 @@ def op4_token_id_output(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
-    return jaccard.classes(_table(spark, sf, "documents")).drop("batch", "at")
+    return jaccard.classes(_table(spark, sf, "documents"))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:

@@ -276,7 +276,8 @@ def test_decontamination_equals_exact_containment(spark, odd, none, real):
     assert decontaminate.search(none, small).count() == 0 and decontaminate.search(odd, small.limit(0)).count() == 0
     kept = decontaminate.stage(odd, small)
     assert kept.columns == odd.columns
-    assert not {9, 10, 18, 16, 7} & {r["doc_id"] for r in kept.collect()}
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert not {9, 18, 16, 7} & set(ids) and ids.count(10) == 1 and ids.count(12) == 2
     assert decontaminate.stage(odd, small.limit(0)).count() == odd.count()
 
 
@@ -467,7 +468,7 @@ def test_fingerprints_native_and_small(spark, none, odd):
     assert one["near_next"] == 1.0 and one["n_chars"] == len(sentence(50, 40))
     plan = fingerprint.edited(odd)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
-    assert fingerprint.edited(odd).count() == odd.count() + 2  # the repeated row is one document, given twice
+    assert fingerprint.edited(odd).count() == odd.count()
 
 
 # pipeline
