@@ -19,64 +19,97 @@ MIN_CHARS = 16
 
 def split_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """place (doc_id, line_no, text_hash), a, b (two hashes of the line), line: the lines of min_chars or more."""
-    rows = base.id_and_text(docs).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+    rows = _rows(docs)
     lines = rows.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.where(F.char_length("line") >= min_chars)
     return lines.select(F.struct("doc_id", "line_no", "text_hash").alias("place"), F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "line")
 
 
-def _quarter(length: Column, k: Column | int) -> tuple[Column, Column, Column]:
-    """Of lines of `length`: step, characters before, and characters after what the k-th variant leaves out."""
-    step = F.floor((length + 4) / 4).cast("int")
-    before = (step * k).cast("int")
-    after = (F.greatest(F.lit(0), F.floor((length - before - step) / step)) * step).cast("int")
-    return step, before, after
+def _rows(docs: DataFrame) -> DataFrame:
+    return base.id_and_text(docs).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
 
 
-def _keys(line: Column) -> Column:
-    """Array of (key, longer, k): variants without a quarter, of a line as it is and as the longer one of a pair."""
+def _block(length: Column, parts: int, k: Column | int) -> tuple[Column, Column]:
+    """Of the k-th of so many parts of a line of `length`: characters before it, and its size."""
+    step = F.floor((length + parts) / parts).cast("int")
+    return (step * k).cast("int"), step
+
+
+def _halves(line: Column) -> list[Column]:
+    """Keys of the variants without a half: of the line as it is (0, 1), and as the longer one of a pair (2, 3)."""
     out = []
     for longer in (0, 1):
         length = F.char_length(line) - longer
-        for k in range(4):
-            _, before, after = _quarter(length, k)
-            key = F.xxhash64(F.left(line, before), F.right(line, after), length, F.lit(k))
-            out.append(F.struct(key.alias("key"), F.lit(bool(longer)).alias("longer"), F.lit(k).alias("k")))
-    return F.array(*out)
+        for k in (0, 1):
+            before, step = _block(length, 2, k)
+            after = F.greatest(F.lit(0), length - before - step)
+            out.append(F.xxhash64(F.left(line, before), F.right(line, after), length, F.lit(k)))
+    return out
 
 
-def _variants(cand: DataFrame) -> DataFrame:
-    """a, b, place, role, variant: hashes of the line's left-out part without one of its characters, or as it is.
+def _shared(keyed: DataFrame) -> DataFrame:
+    """Keys that two lines at least have, one of them as the shorter one."""
+    counts = keyed.groupBy("key").agg(F.count_if(~F.col("longer")).alias("shorter"), F.count("*").alias("n"))
+    return counts.where("shorter >= 1 and n >= 2").select("key")
 
-    role: `same` (replaced at this place, lines of equal length), `short` (as it is), `long` (one character taken out).
-    """
-    step, before, after = _quarter(F.char_length("line") - F.col("longer").cast("int"), F.col("k"))
-    part = F.expr("substring(line, before + 1, char_length(line) - before - after)")
-    rows = cand.withColumn("step", step).withColumn("before", before).withColumn("after", after).withColumn("part", part)
-    at = F.sequence(F.lit(0), F.greatest(F.lit(0), F.least(F.col("step"), F.char_length("part")) - 1 + F.col("longer").cast("int")))
-    rows = rows.withColumn("at", F.explode(at)).where(F.col("at") < F.char_length("part"))
-    without = F.expr("concat(left(part, at), substring(part, at + 2))")
-    who = ["a", "b", "place"]
-    long = rows.where("longer").select(*who, F.lit("long").alias("role"), F.xxhash64("key", F.lit(-1), without).alias("variant"))
-    same = rows.where("not longer").select(*who, F.lit("same").alias("role"), F.xxhash64("key", "at", without).alias("variant"))
-    short = cand.withColumn("before", before).withColumn("after", after).where("not longer").select(*who, F.lit("short").alias("role"), F.xxhash64("key", F.lit(-1), part).alias("variant"))
-    return long.unionByName(same).unionByName(short).distinct()
 
+def _fetched(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """named (place, and more) with the line at its place."""
+    rest = [c for c in named.columns if c != "place"]
+    by_doc = named.select("place.doc_id", "place.text_hash", F.struct("place.line_no", *rest).alias("one")).groupBy("doc_id", "text_hash").agg(F.collect_list("one").alias("ones"))
+    by_doc = by_doc.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
+    found = _rows(docs).join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")))
+    found = found.select("doc_id", "text_hash", F.split("text", "\n").alias("parts"), F.explode("ones").alias("one"))
+    place = F.struct("doc_id", F.col("one.line_no").alias("line_no"), "text_hash").alias("place")
+    return found.select(place, *(F.col(f"one.{c}").alias(c) for c in rest), F.get("parts", F.col("one.line_no")).alias("line")).distinct()
 
-def _near(distinct: DataFrame) -> DataFrame:
+
+def _without(cand: DataFrame, parts: int) -> DataFrame:
+    """cand (who, key, longer, part: what a named variant leaves out, size: of what is left out where the edit is) with variants that leave out less.
+
+    A row for each of so many parts, with the key of the variant without that part, or for parts = 0 for each character.
+    """
+    if not parts:
+        at = F.explode(F.sequence(F.lit(0), F.col("size") - 1))
+        return cand.withColumn("at", at).where(F.col("at") < F.char_length("part"))
+    length = F.char_length("part") - F.col("longer").cast("int")
+    rows = cand.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    before, step = _block(F.least(F.col("size"), length), parts, F.col("k"))
+    rows = rows.withColumn("before", before).withColumn("step", step).where(F.col("before") <= length)
+    after = F.greatest(F.lit(0), length - F.col("before") - F.col("step"))
+    rows = rows.withColumn("after", after)
+    key = F.xxhash64("key", F.expr("left(part, before)"), F.expr("right(part, after)"), "k")
+    inner = F.expr("substring(part, before + 1, char_length(part) - before - after)")
+    return rows.select("who", key.alias("key"), "longer", inner.alias("part"), (F.col("step") + F.col("longer").cast("int")).alias("size"))
+
+
+def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """a, b, kept: of each line that has an earlier line one edit away, the earliest such line's place."""
-    keyed = distinct.select("a", "b", F.inline(_keys(F.col("line"))))
-    counts = keyed.groupBy("key").agg(F.count_if(~F.col("longer")).alias("shorter"), F.count("*").alias("n"))
-    named = keyed.join(counts.where("shorter >= 1 and n >= 2").select("key"), "key")
-    cand = base.cut(distinct.join(named, ["a", "b"]))
-    variants = base.cut(_variants(cand))
-    me = F.struct("place", "a", "b")
-    groups = variants.groupBy("variant").agg(*(F.min(F.when(F.col("role") == r, me)).alias(f"first_{r}") for r in ("same", "short", "long")), F.count("*").alias("n")).where("n >= 2").drop("n")
+    keys = F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(i >= 2).alias("longer"), F.lit(i % 2).alias("k")) for i in range(4)))
+    keyed = distinct.select("a", "b", "place", F.inline(keys))
+    named = keyed.join(_shared(keyed.select("key", "longer")), "key")
+    cand = _fetched(docs, named)
+    length = F.char_length("line") - F.col("longer").cast("int")
+    before, step = _block(length, 2, F.col("k"))
+    cand = cand.withColumn("before", before).withColumn("step", step).withColumn("after", F.greatest(F.lit(0), length - F.col("before") - F.col("step")))
+    part = F.expr("substring(line, before + 1, char_length(line) - before - after)")
+    who = F.struct("place", "a", "b").alias("who")
+    cand = base.cut(cand.select(who, "key", "longer", part.alias("part"), (F.col("step") + F.col("longer").cast("int")).alias("size"), "line"))
+    parts = _without(cand, 8)
+    parts = base.cut(parts.join(_shared(parts), "key").distinct())
+    single = _without(parts, 0)
+    without = F.expr("concat(left(part, at), substring(part, at + 2))")
+    long = single.where("longer").select("who", F.lit("long").alias("role"), F.xxhash64("key", F.lit(-1), without).alias("variant"))
+    same = single.where("not longer").select("who", F.lit("same").alias("role"), F.xxhash64("key", "at", without).alias("variant"))
+    short = parts.where("not longer").select("who", F.lit("short").alias("role"), F.xxhash64("key", F.lit(-1), "part").alias("variant"))
+    variants = long.unionByName(same).unionByName(short).distinct()
+    firsts = [F.min(F.when(F.col("role") == r, F.col("who"))).alias(f"first_{r}") for r in ("same", "short", "long")]
+    groups = variants.groupBy("variant").agg(*firsts, F.count("*").alias("n")).where("n >= 2").drop("n")
     other = F.when(F.col("role") == "same", F.col("first_same")).when(F.col("role") == "short", F.col("first_long")).otherwise(F.col("first_short"))
-    pairs = variants.join(groups, "variant").withColumn("other", other).where("other.place < place").select("a", "b", F.col("other.a").alias("a2"), F.col("other.b").alias("b2"), F.col("other.place").alias("kept")).distinct()
-    texts = cand.select("a", "b", "line").distinct()
-    both = pairs.join(texts, ["a", "b"]).join(texts.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("line").alias("other")), ["a2", "b2"])
-    return both.where(F.levenshtein("line", "other", 1) >= 0).groupBy("a", "b").agg(F.min("kept").alias("near"))
+    pairs = variants.join(groups, "variant").withColumn("other", other).where("other.place < who.place").select("who", "other").distinct()
+    texts = cand.select("who", "line").distinct()
+    both = pairs.join(texts, "who").join(texts.toDF("other", "other_line"), "other").where(F.levenshtein("line", "other_line", 1) >= 0)
+    return both.groupBy("who").agg(F.min("other.place").alias("near")).select("who.a", "who.b", "near")
 
 
 def repeated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -90,7 +123,8 @@ def repeated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     if min_chars < 16:
         raise ValueError("min_chars must be 16 at least")
     lines = split_lines(docs, min_chars)
-    near = _near(lines.groupBy("a", "b").agg(F.min("place").alias("place"), F.first("line").alias("line")))
+    halves = [h.alias(f"k{i}") for i, h in enumerate(_halves(F.col("line")))]
+    near = _near(docs, lines.select("place", "a", "b", *halves).groupBy("a", "b").agg(F.min("place").alias("place"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))))
     firsts = lines.groupBy("a", "b").agg(F.min("place").alias("first"), F.max("place").alias("last")).join(near, ["a", "b"], "left")
     firsts = firsts.where("first != last or near is not null")
     found = lines.select("place", "a", "b").distinct().join(firsts, ["a", "b"]).where("place != first or near is not null")
