@@ -118,8 +118,25 @@ def nodes(rows: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     return base.cut(asked.mapInArrow(run, "node binary, n int, signature array<long>, grams binary, hs array<long>, ps array<int>"))
 
 
+def _possible(x: str, y: str, threshold: int) -> Column:
+    """Whether two entries of a group (structs or aliases with n, place, signature) can be of similar sets.
+
+    By length; by place: no more can be shared than stands before the shared 5-gram in both, it, and after it in both;
+    and by the parity of hashed elements: sets differ in at least as many elements as their bitmaps in bits.
+    """
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    need = F.ceil((n + m) * threshold / float(100 + threshold) - 1e-9)
+    most = 1 + F.least(f"{x}.place", f"{y}.place") + F.least(n - 1 - F.col(f"{x}.place"), m - 1 - F.col(f"{y}.place"))
+    apart = sum((F.bit_count(F.get(f"{x}.signature", F.lit(i)).bitwiseXOR(F.get(f"{y}.signature", F.lit(i)))) for i in range(_SIGNATURE // 64)), F.lit(0))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * threshold) & (most >= need) & (apart <= n + m - 2 * need)
+
+
 def _candidates(entries: DataFrame, labels: DataFrame | None, hubs: int, before: int, threshold: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of which one is a hub of a common group, of different labels, that pass the filters."""
+    """Distinct pairs (a, b) of nodes of which one is a hub of a common group, of different labels, that pass the filters.
+
+    Pairs of which one was a hub before are left out, and so are groups all of whose nodes were.
+    """
+    entries = entries.where(F.col("m") > before)
     if labels is not None:
         entries = entries.join(labels.withColumnRenamed("x", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:
@@ -130,21 +147,9 @@ def _candidates(entries: DataFrame, labels: DataFrame | None, hubs: int, before:
         return F.lit(False) if not number else (F.col(f"{of}.u") == F.col(f"{of}.least")) | (draw if number > 1 else F.lit(False))
 
     x, y = entries.alias("x"), entries.alias("y")
-    n, m = F.col("x.n"), F.col("y.n")
-    need = F.ceil((n + m) * threshold / float(100 + threshold) - 1e-9)
-    possible = 1 + F.least("x.place", "y.place") + F.least(n - 1 - F.col("x.place"), m - 1 - F.col("y.place"))
-    apart = sum((F.bit_count(F.get("x.signature", F.lit(i)).bitwiseXOR(F.get("y.signature", F.lit(i)))) for i in range(_SIGNATURE // 64)), F.lit(0))
-    pairs = x.where(hub("x", hubs)).join(
-        y,
-        (F.col("x.h") == F.col("y.h"))
-        & (F.col("x.label") != F.col("y.label"))
-        & (~hub("y", hubs) | (F.col("x.node") < F.col("y.node")))
-        & ~(hub("x", before) | hub("y", before))
-        & (F.least(n, m) * 100 >= F.greatest(n, m) * threshold)
-        & (possible >= need)
-        & (apart <= n + m - 2 * need),
-    )
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    new = (~hub("y", hubs) | (F.col("x.node") < F.col("y.node"))) & ~(hub("x", before) | hub("y", before))
+    pairs = x.where(hub("x", hubs)).join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & new & _possible("x", "y", threshold))
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -162,15 +167,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in good], pa.binary()) for v in (a, b)] + [pa.array([sizes[i][k] for i in good], pa.int64()) for k in (0, 1)], ["a", "b", "n_shared", "n_union"])
 
     grams = sets.select("node", "grams")
-    both = pairs.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
+    both = pairs.distinct().join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b").select("a", "b", "ga", "gb")
     return base.cut(both.mapInArrow(run, "a binary, b binary, n_shared long, n_union long"))
 
 
-def _entries(sets: DataFrame) -> DataFrame:
-    """A row for each node and 5-gram of its prefix that it shares there with another node; m, least: size and least draw of the group."""
+def _groups(sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of the groups of two that pass the filters, and the entries of larger groups.
+
+    A group is what has a 5-gram in its prefixes. An entry is a row for each of its nodes: h, node, n, place, signature,
+    a draw u, and m, least: size and least draw of the group. Groups of two, which most are, come from one aggregate.
+    """
     rows = sets.select("node", "n", "signature", F.xxhash64("node").alias("u"), F.inline(F.arrays_zip("hs", "ps"))).withColumnsRenamed({"hs": "h", "ps": "place"})
-    groups = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("u").alias("least")).where("m >= 2")
-    return base.cut(rows.join(groups, "h"))
+    entry = F.struct("node", "n", "place", "signature")
+    groups = base.cut(rows.groupBy("h").agg(F.count("*").alias("m"), F.min("u").alias("least"), F.min(entry).alias("x"), F.max(entry).alias("y")).where("m >= 2"))
+    two = groups.where("m = 2").where(_possible("x", "y", threshold)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return two, base.cut(rows.join(groups.where("m > 2").select("h", "m", "least"), "h"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -189,26 +200,24 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame, threshold: int = 80) -> DataFrame:
     """a, b, n_shared, n_union of all pairs of similar nodes (see nodes), each once."""
-    entries = _entries(sets)
+    two, entries = _groups(sets, threshold)
     largest = entries.agg(F.max("m")).first()[0] or 1
-    return _verified(_candidates(entries, None, largest + 1, 0, threshold), sets, threshold)
+    return _verified(two.unionAll(_candidates(entries, None, largest + 1, 0, threshold)), sets, threshold)
 
 
 def connected(sets: DataFrame, threshold: int = 80) -> DataFrame:
     """x, label of each node that is linked with another, by as few verified pairs as the groups allow."""
-    entries = _entries(sets)
-    largest = entries.agg(F.max("m")).first()[0]
-    edges = labels = None
-    hubs, before = 1, 0
-    while largest:
+    two, entries = _groups(sets, threshold)
+    largest = entries.agg(F.max("m")).first()[0] or 1
+    edges = _verified(two.unionAll(_candidates(entries, None, 1, 0, threshold)), sets, threshold)
+    labels, hubs = components(edges), 1
+    while hubs < largest:
+        hubs, before = hubs * GROWTH, hubs
         found = _verified(_candidates(entries, labels, hubs, before, threshold), sets, threshold)
-        edges = found if edges is None else edges.unionAll(found)
         if not found.isEmpty():
+            edges = edges.unionAll(found)
             labels = components(edges)
-        if hubs >= largest:
-            break
-        hubs, before = hubs * GROWTH, hubs
-    return labels if labels is not None else sets.select(F.col("node").alias("x"), F.col("node").alias("label"))
+    return labels
 
 
 def _rooted(docs: DataFrame, threshold: int) -> DataFrame:
