@@ -52,8 +52,8 @@ def positions(kept: Column) -> Column:
 
 
 def hashes(kept: Column) -> Column:
-    """Set of the hashes, without positions."""
-    return F.array_distinct(F.transform(kept, lambda x: F.shiftright(x, POSITION_BITS)))
+    """Set of the hashes (their upper 32 bits), without positions."""
+    return F.array_distinct(F.transform(kept, lambda x: F.shiftright(x, 32).cast("int")))
 
 
 def likeness(left: Column, right: Column) -> Column:
@@ -90,12 +90,13 @@ def edited(docs: DataFrame) -> DataFrame:
     """
     rows = base.id_and_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    order = neighbours(rows).select("doc_id", "text_hash", F.expr("n_chars div 4").cast("int").alias("cut"), "next_id", "next_hash")
-    theirs = order.select(F.col("doc_id").alias("own_id"), F.col("text_hash").alias("own_hash"), "cut", "next_id", "next_hash")
-    theirs = rows.join(theirs, rows["doc_id"].eqNullSafe(F.col("next_id")) & (rows["text_hash"] == F.col("next_hash")))
-    theirs = with_fingerprint(theirs, "text", "next_kept").select("own_id", "own_hash", "cut", F.left("text", "cut").alias("start"), hashes(F.col("next_kept")).alias("next_set"))
-    theirs = theirs.groupBy("own_id", "own_hash").agg(*(F.first(c).alias(c) for c in ("cut", "start", "next_set")))
-    both = rows.join(theirs, rows["doc_id"].eqNullSafe(F.col("own_id")) & (rows["text_hash"] == F.col("own_hash")))
+    key = lambda i, h: F.concat_ws(":", F.coalesce(F.col(i).cast("string"), F.lit("none")), h)
+    order = neighbours(rows)
+    order = order.select(key("doc_id", "text_hash").alias("own"), F.expr("n_chars div 4").cast("int").alias("cut"), key("next_id", "next_hash").alias("key"))
+    rows = rows.withColumn("key", key("doc_id", "text_hash")).drop("text_hash")
+    theirs = with_fingerprint(rows.join(order, "key"), "text", "next_kept")
+    theirs = theirs.select(F.col("own").alias("key"), "cut", F.left("text", "cut").alias("start"), hashes(F.col("next_kept")).alias("next_set"))
+    both = rows.join(theirs.groupBy("key").agg(*(F.first(c).alias(c) for c in ("cut", "start", "next_set"))), "key")
     n = F.char_length("text")
     both = both.select("doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.left("text", n - F.col("cut")), "start").alias("edited"), "next_set")
     both = with_fingerprint(with_fingerprint(both, "text", "kept"), "edited", "edited_kept")
