@@ -69,6 +69,13 @@ def pack(docs: DataFrame, size: int = BATCH_BYTES, keep: bool = True) -> DataFra
     return base.cut(dealt) if keep else dealt
 
 
+def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows one by one: a row can be megabytes, and Arrow brings many at a time."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
 def opened(row: dict) -> Batch:
     ends = np.frombuffer(row["ends"], np.int64).tolist()
     body = zstandard.ZstdDecompressor().decompress(row["body"])
@@ -91,20 +98,19 @@ def ask(packed: DataFrame, keys: Callable[[Batch, dict], tuple[np.ndarray | list
 
     def asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            for row in b.to_pylist():
-                records, h = keys(opened(row) if bodies else None, row)
-                bucket = (h >> base.U(20)) % base.U(buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                full = np.flatnonzero(np.diff(cuts))
-                if isinstance(records, list):
-                    parts = [small.compress(b"\n".join([records[i] for i in order[cuts[k] : cuts[k + 1]]])) for k in full]
-                else:
-                    raw, item = records[order].tobytes(), records.dtype.itemsize
-                    parts = [raw[cuts[k] * item : cuts[k + 1] * item] for k in full]
-                if len(full):
-                    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["batch"]] * len(full), pa.int64()), pa.array(parts, pa.binary())], ["bucket", "batch", "records"])
+        for row in rows_of(batches):
+            records, h = keys(opened(row) if bodies else None, row)
+            bucket = (h >> base.U(20)) % base.U(buckets)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+            full = np.flatnonzero(np.diff(cuts))
+            if isinstance(records, list):
+                parts = [small.compress(b"\n".join([records[i] for i in order[cuts[k] : cuts[k + 1]]])) for k in full]
+            else:
+                raw, item = records[order].tobytes(), records.dtype.itemsize
+                parts = [raw[cuts[k] * item : cuts[k + 1] * item] for k in full]
+            if len(full):
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([row["batch"]] * len(full), pa.int64()), pa.array(parts, pa.binary())], ["bucket", "batch", "records"])
 
     def replied(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_bucket: dict[int, list[tuple[int, bytes]]] = {}
