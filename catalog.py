@@ -11,7 +11,7 @@ from tallycast.config import EngineConfig, Filters
 from tallycast.forecast import backtest, closed_form, combine, meta, post, profile, report
 from tallycast.forecast.state import series_state
 from tallycast.functions.periods import period_label
-from tallycast.operators import cleaning, filters, quality, rollups, series
+from tallycast.operators import cleaning, filters, lookups, quality, rollups, series
 from tallycast.plans import forecasting, ingest
 from tallycast.sources import orders, star
 
@@ -98,7 +98,8 @@ def merge_splits(spark, sf):
 
 @query
 def processed_fact(spark, sf):
-    df = ingest.process(raw(spark, sf), flags(spark, sf), aliases(spark), CFG)
+    texts = star.order_lines(spark, sf, cleaning.raw_columns_for(["sku", "description"]))
+    df = ingest.process(raw(spark, sf), flags(spark, sf), aliases(spark), CFG, texts)
     return rounded(df, 9, "fulfillment_rate", "unit_price_egp", "unit_price_usd")
 
 
@@ -126,6 +127,22 @@ def system_names(spark, sf):
     return lines(spark, sf, "system").groupBy("system").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def system_aliases(spark, sf):
+    """Aliases of the system that most lines have."""
+    counted = system_names(spark, sf)
+    top = counted.where("system LIKE 'SYS%'").agg(F.max_by("system", F.struct("n", "system")).alias("canonical"))
+    return lookups.aliases_of(aliases(spark), top)
+
+
+@query
+def weight_sum_small(spark, sf):
+    """Sums of weights far below a gram."""
+    df = star.order_lines(spark, sf, ["Calculated Weight (Kg)", "Cell Columns"])
+    small = df.select(F.col("`Cell Columns`").alias("cell"), (F.coalesce(F.col("`Calculated Weight (Kg)`"), F.lit(0.0)) * 1e-7).alias("tons"))
+    return rounded(rollups.totals_by(small, ["cell"], ["tons"]), 9, "tons")
+
+
 @query
 def view_monthly_sku(spark, sf):
     return rollups.monthly_sku_view(
@@ -209,7 +226,28 @@ def quality_split_groups(spark, sf):
 
 @query
 def quality_rules(spark, sf):
-    return quality.quality_rules(quality.validation(raw(spark, sf), flags(spark, sf)))
+    narrow = star.order_lines(spark, sf, ["Ordered Item", "SO Remaining Qty", "Booked Date"])
+    return quality.quality_rules(quality.rule_inputs(narrow))
+
+
+DIRTY = EngineConfig(date_format=("yyyy-MM-dd", "dd/MM/yyyy", "yyyyMMdd"))
+
+
+@query
+def quality_unreadable(spark, sf):
+    return quality.unreadable_values(star.dirty_lines(spark, sf), DIRTY)
+
+
+@query
+def clean_dirty_lines(spark, sf):
+    columns = ("order_number", "sku", "booked_date", "country", "system", "qty")
+    return cleaning.clean_lines(star.dirty_lines(spark, sf), DIRTY, aliases(spark), columns)
+
+
+@query
+def quality_dirty(spark, sf):
+    raw = star.dirty_lines(spark, sf)
+    return quality.validation_long(quality.side_by_side([quality.missing_values(raw), quality.split_groups(raw), quality.date_range(raw, DIRTY)]))
 
 
 @query
@@ -511,7 +549,7 @@ def rolling_origins(spark, sf):
 
 @query
 def fc_meta_learner(spark, sf):
-    idx = indexed(spark, sf, "cell")
+    idx = indexed(spark, sf)
     wide = combine.all_methods(series_state(idx), CFG, meta.trained_meta(idx))
     return rounded(wide.select("series_key", "h", F.col("lightgbm").alias("yhat")), 6, "yhat")
 
@@ -560,9 +598,19 @@ def accuracy_ranking(spark, sf):
     return rounded(df, 6, "score_pct", "mean_mae")
 
 
+def _ranking(by: str, *skip: str) -> Query:
+    return lambda spark, sf: rounded(backtest.method_ranking(closed_metrics(spark, sf), by, 12, skip), 6, *dict.fromkeys((by, "mae")))
+
+
+register("method_ranking_score_all", _ranking("score_pct"))
+register("method_ranking_smape", _ranking("smape", "intelligent_growth"))
+register("method_ranking_score", _ranking("score_pct", "intelligent_growth"))
+
+
 @query
 def backtest_all_methods(spark, sf):
-    wide = forecasting.wide_forecasts(indexed(spark, sf), "holdout", 12)
+    idx = indexed(spark, sf)
+    wide = forecasting.wide_forecasts(idx, "holdout", 12, meta=meta.trained_meta(idx, before_holdout=True))
     return rounded(backtest.backtest_metrics(wide).drop("method_ord"), 6, *backtest.METRIC_COLUMNS)
 
 
@@ -587,7 +635,8 @@ def report_totals(spark, sf):
 
 @query
 def forecast_year_totals(spark, sf):
-    long = combine.to_long(closed_wide(spark, sf, horizon=24), combine.CLOSED)
+    wide = post.finished(closed_wide(spark, sf, horizon=24), combine.CLOSED)
+    long = combine.to_long(wide, combine.CLOSED)
     return rounded(report.year_totals(long, 24), 4, "year1_total", "year2_total")
 
 

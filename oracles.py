@@ -166,6 +166,36 @@ def relational() -> dict[str, str]:
           l_quantity * (l_linestatus = 'F' AND l_returnflag <> 'R')::INT FROM raw))), ({dates}), ({cards}), ({splits}), ({classified}))
       UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM u) ON COLUMNS(*) INTO NAME metric VALUE value"""
 
+    dirty = """dirty AS (SELECT
+        CASE l_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN ' nan ' WHEN 2 THEN 'P-' || l_partkey WHEN 3 THEN chr(9) || 'p-' || l_partkey || ' ' ELSE 'p-' || l_partkey END AS item,
+        CASE l_linenumber % 5 WHEN 0 THEN q WHEN 1 THEN '-' || q WHEN 2 THEN 'n/a' WHEN 3 THEN NULL ELSE ' ' || q || '.5 ' END AS qty,
+        CASE l_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN 2 THEN strftime(o_orderdate, '%Y%m%d')
+          WHEN 3 THEN 'soon' END AS booked,
+        CASE l_partkey % 6 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN 'NAN' WHEN 3 THEN lower(p_type) WHEN 4 THEN '  ' || p_type || chr(10) ELSE p_type END AS system,
+        CASE l_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'nan' WHEN 2 THEN ' Land ' ELSE 'Land' END AS country,
+        CASE l_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN CAST(l_orderkey AS VARCHAR) ELSE '' END AS order_number
+      FROM (SELECT *, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q FROM lineitem) JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    read = "coalesce(try_strptime(booked, '%Y-%m-%d'), try_strptime(booked, '%d/%m/%Y'), try_strptime(booked, '%Y%m%d'))"
+    text = lambda c: f"CASE WHEN trim({c}, {blank}) IS NULL OR trim({c}, {blank}) IN ('nan', 'NAN') THEN 'Unknown' ELSE trim({c}, {blank}) END"
+    q["clean_dirty_lines"] = f"""WITH {dirty}, c AS (SELECT {text('order_number')} AS order_number, upper(trim(item, {blank})) AS sku, {read}::DATE AS booked_date,
+        {text('country')} AS country, {text('system')} AS name, coalesce(TRY_CAST(trim(qty) AS DOUBLE), 0) AS qty FROM dirty)
+      SELECT order_number, sku, booked_date, country, CASE WHEN name = '' THEN 'Unknown' ELSE CASE lower(name) WHEN 'economy' THEN 'SYS01: Economy' WHEN 'eco' THEN 'SYS01: Economy'
+        WHEN 'large' THEN 'SYS02: Large' WHEN 'medium' THEN 'SYS03: Medium' WHEN 'promo' THEN 'SYS04: Promo' WHEN 'standard' THEN 'SYS05: Standard' ELSE name END END AS system, qty
+      FROM c WHERE sku IS NOT NULL AND sku <> 'NAN' AND booked_date IS NOT NULL"""
+    q["quality_unreadable"] = f"""WITH {dirty} SELECT 'Booked Date' AS "column", count(booked) AS present, count(*) FILTER (booked IS NOT NULL AND {read} IS NULL) AS unreadable FROM dirty
+      UNION ALL SELECT 'SO Remaining Qty', count(qty), count(*) FILTER (qty IS NOT NULL AND TRY_CAST(trim(qty) AS DOUBLE) IS NULL) FROM dirty"""
+    q["quality_dirty"] = f"""WITH {dirty}, a AS (SELECT count(*) AS total_rows, count(*) - count(item) AS missing_sku, count(*) - count(qty) AS missing_qty, count(*) - count(booked) AS missing_date,
+        date_diff('day', min({read}), max({read})) AS span_days FROM dirty),
+      s AS (SELECT count(*) FILTER (n > 1) AS split_groups, count(*) AS total_groups FROM (SELECT count(*) AS n FROM dirty WHERE item IS NOT NULL AND order_number IS NOT NULL GROUP BY order_number, item)),
+      u AS (SELECT *, missing_sku * 100.0::DOUBLE / total_rows AS missing_sku_pct, missing_qty * 100.0::DOUBLE / total_rows AS missing_qty_pct, missing_date * 100.0::DOUBLE / total_rows AS missing_date_pct,
+        span_days / 365.25::DOUBLE AS span_years, split_groups * 100.0::DOUBLE / total_groups AS split_percentage FROM a, s)
+      UNPIVOT (SELECT COLUMNS(*)::DOUBLE FROM u) ON COLUMNS(*) INTO NAME metric VALUE value"""
+    q["system_aliases"] = f"""WITH {LINES}, top AS (SELECT system FROM lines WHERE system LIKE 'SYS%' GROUP BY system ORDER BY count(*) DESC, system DESC LIMIT 1),
+      a(canonical, alias, ord) AS (VALUES ('SYS01: Economy', 'economy', 0), ('SYS01: Economy', 'Eco', 1), ('SYS02: Large', 'Large', 2), ('SYS03: Medium', 'MEDIUM', 3),
+        ('SYS04: Promo', 'promo', 4), ('SYS05: Standard', 'Standard', 5)) SELECT a.* FROM a JOIN top ON canonical = system"""
+    q["weight_sum_small"] = f"SELECT p_brand AS cell, {r('sum(CASE WHEN l_linenumber % 2 = 1 THEN p_size * l_quantity ELSE 0 END * 1e-7)', 9, 'tons')} FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand"
+
     kpi = {
         "executive": (None, ("qty", "usd_amount", "egp_amount", "weight_tons")),
         "country": ("country", ("qty", "usd_amount", "weight_tons")),
@@ -242,15 +272,16 @@ def dense(level: str, metric: str = "qty", freq: str = "M") -> str:
         max(period_start)::TIMESTAMP, {step}))::DATE AS period_start FROM monthly GROUP BY level, series_key),
       dense AS (SELECT s.level, s.series_key, CAST(row_number() OVER w - 1 AS INT) AS t, period_start, coalesce(m.value, 0) AS value
         FROM spans s LEFT JOIN monthly m USING (series_key, period_start) WINDOW w AS (PARTITION BY s.series_key ORDER BY period_start)),
-      sized AS (SELECT series_key, t, period_start, value AS v, CAST(count(*) OVER (PARTITION BY series_key) AS INT) AS full_n FROM dense)"""
+      sized AS (SELECT series_key, t, period_start, value AS v, CAST(count(*) OVER (PARTITION BY series_key) AS INT) AS full_n,
+        sum(value) OVER (PARTITION BY series_key) AS full_sum FROM dense)"""
 
 
 def observed(level: str, kind: str = "full") -> str:
     """The dense steps a forecast may see, with n as their number, for series of enough length."""
     if kind == "full":
-        return f"{dense(level)}, obs AS (SELECT series_key, t, v, full_n AS n FROM sized WHERE full_n >= 12)"
+        return f"{dense(level)}, obs AS (SELECT series_key, t, v, full_n AS n FROM sized WHERE full_n >= 12 AND round(full_sum, 9) <> 0)"
     return f"""{dense(level)}, obs AS (SELECT series_key, t, v, full_n - greatest(3, full_n // 5) AS n FROM sized
-      WHERE full_n >= 24 AND t < full_n - greatest(3, full_n // 5))"""
+      WHERE full_n >= 24 AND round(full_sum, 9) <> 0 AND t < full_n - greatest(3, full_n // 5))"""
 
 
 SERIES = (
@@ -366,9 +397,9 @@ def long(source: str, keys: str) -> str:
     return " UNION ALL ".join(parts)
 
 
-def finished(level: str) -> str:
+def finished(level: str, horizon: str = "12") -> str:
     flat = lambda sd, m: f"(CASE WHEN {m} <> 0 THEN {sd} / {m} ELSE 0 END) < 0.01"
-    return f"""{all_closed(level)}, g0 AS (SELECT *, {GROWTH} FROM fc),
+    return f"""{all_closed(level, horizon=horizon)}, g0 AS (SELECT *, {GROWTH} FROM fc),
  g1 AS (SELECT series_key, h, n, method, ord, yhat, slope, mean_v, recent, yoy, direction,
      yhat + CASE WHEN abs(slope) > 0.001 * mean_v THEN slope * h ELSE 0 END AS tilted
    FROM ({long('g0', 'series_key, h, n, slope, mean_v, recent, yoy, direction')})),
@@ -382,7 +413,7 @@ def finished(level: str) -> str:
 
 def scored(level: str, compat: bool = False) -> str:
     base = f"""{observed(level, 'holdout')}, tests AS (SELECT series_key, max(full_n) - greatest(3, max(full_n) // 5) AS cut,
-      greatest(3, max(full_n) // 5) AS test FROM sized WHERE full_n >= 24 GROUP BY series_key), {paths('test').replace('FROM (SELECT *, test AS horizon FROM s4) s4', 'FROM (SELECT s4.*, test AS horizon FROM s4 JOIN tests USING (series_key)) s4')}"""
+      greatest(3, max(full_n) // 5) AS test FROM sized WHERE full_n >= 24 AND round(full_sum, 9) <> 0 GROUP BY series_key), {paths('test').replace('FROM (SELECT *, test AS horizon FROM s4) s4', 'FROM (SELECT s4.*, test AS horizon FROM s4 JOIN tests USING (series_key)) s4')}"""
     if compat:
         base += f""", {advanced('fc5', 'fc6', ('croston', 'sba', 'weighted_ma'))},
  fc AS (SELECT * REPLACE (exp_smoothing AS prophet), (exp_smoothing + croston + weighted_ma) / 3 AS ensemble FROM fc6)"""
@@ -418,8 +449,8 @@ def forecasting() -> dict[str, str]:
     for freq in ("M", "Y"):
         q[f"series_status_{UNIT[freq]}"] = f"""WITH {dense('item', 'qty', freq)}, p AS (SELECT series_key, max(full_n) AS n, sum(v) AS total FROM sized GROUP BY 1)
           SELECT *, CASE WHEN total = 0 THEN 'zero' WHEN n < 12 THEN 'insufficient' ELSE 'ok' END AS status,
-            CASE WHEN total = 0 THEN 'metric has no data' WHEN n < 12 THEN 'Insufficient data: ' || n || ' periods (need 12)' END AS reason FROM p"""
-    q["yearly_totals"] = f"WITH {sparse('item')} SELECT series_key, CAST(year(period_start) AS INT) AS year, sum(value) AS value FROM monthly GROUP BY 1, 2"
+            CASE WHEN total = 0 THEN 'metric has no data' WHEN n < 12 THEN 'history of ' || n || ' periods is shorter than 12' END AS reason FROM p"""
+    q["yearly_totals"] = f"WITH {dense('item')} SELECT series_key, CAST(year(period_start) AS INT) AS year, sum(value) AS value FROM dense GROUP BY 1, 2"
     for level in ("item", "cell"):
         q[f"demand_profile_{level}"] = f"""WITH {observed(level)}, {STATS}, d AS (SELECT series_key, n, nnz * 100.0::DOUBLE / n AS pct,
             CASE WHEN nnz > 1 THEN (hits[len(hits)] - hits[1])::DOUBLE / (nnz - 1) ELSE n END AS adi,
@@ -461,8 +492,12 @@ def forecasting() -> dict[str, str]:
     q["forecast_report_closed"] = f"{report} SELECT series_key, period, type, {r('value', 6, 'value')}, method FROM report"
     q["report_totals"] = f"""{report} SELECT series_key, {r("sum(value) FILTER (type = 'Historical')", 4, 'historical_total')},
       {r("sum(value) FILTER (type = 'Forecast')", 4, 'forecast_total')}, {r("avg(value) FILTER (type = 'Forecast')", 4, 'forecast_avg')} FROM report GROUP BY series_key"""
-    q["forecast_year_totals"] = f"""WITH {all_closed('item', horizon='24')} SELECT series_key, method, {r('sum(yhat) FILTER (h <= 12)', 4, 'year1_total')},
-      {r('sum(yhat) FILTER (h > 12)', 4, 'year2_total')} FROM ({long('fc', 'series_key, h')}) GROUP BY series_key, method"""
+    for name, by, where in (("score_all", "score_pct", ""), ("smape", "smape", "WHERE method <> 'intelligent_growth'"), ("score", "score_pct", "WHERE method <> 'intelligent_growth'")):
+        shown_by = ", ".join(dict.fromkeys((r(by, 6, by), r("mae", 6, "mae"))))
+        q[f"method_ranking_{name}"] = f"""WITH {scored('item')}, ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY series_key
+          ORDER BY round({by}, 9) NULLS LAST, ord) AS INT) AS rank FROM metrics {where}) SELECT series_key, rank, method, {shown_by} FROM ranked WHERE rank <= 12"""
+    q["forecast_year_totals"] = f"""WITH {finished('item', '24')} SELECT series_key, method, {r('sum(yhat) FILTER (h <= 12)', 4, 'year1_total')},
+      {r('sum(yhat) FILTER (h > 12)', 4, 'year2_total')} FROM final GROUP BY series_key, method"""
     q["run_metadata"] = f"""WITH {sparse('item')} SELECT 'item' AS level, 'qty' AS target_metric, 'M' AS frequency, 12 AS periods_ahead,
       CAST(NULL AS VARCHAR) AS filters, 16 AS models_used, count(DISTINCT series_key) AS series, count(*) AS periods FROM monthly"""
     return q

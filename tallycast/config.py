@@ -65,23 +65,6 @@ ENSEMBLE_WEIGHTS = {
     "intelligent_growth": 1.9,
 }
 
-# Display names of the methods.
-METHOD_NAMES = {
-    "croston": "Croston's Method (Enhanced)",
-    "sba": "SBA (Syntetos-Boylan) Enhanced",
-    "tsb": "TSB (Teunter-Syntetos-Babai) Enhanced",
-    "adida": "ADIDA (Aggregate-Disaggregate) Enhanced",
-    "arima": "Auto-ARIMA with Seasonality",
-    "prophet": "Prophet (Facebook) Enhanced",
-    "iets": "Intermittent ETS Enhanced",
-    "holt_winters": "Holt-Winters Triple Smoothing",
-    "weighted_ma": "Weighted Moving Average",
-    "exponential_trend": "Exponential Trend",
-    "advanced_ensemble": "Advanced Ensemble (AI-Weighted)",
-    "ensemble": "Standard Ensemble",
-}
-
-
 @dataclass(frozen=True)
 class EngineConfig:
     """Settings read by the operators; every field has the default the engine is specified with."""
@@ -91,7 +74,8 @@ class EngineConfig:
     intermittent_threshold_pct: float = 50.0
     adi_threshold: float = 1.32
     volatility_cv2: float = 0.5
-    date_format: str | None = None
+    #: Patterns that text dates are read with, the first that fits; without any, ISO dates are read.
+    date_format: str | tuple[str, ...] | None = None
     seed: int = 42
     align_phase: bool = False
     noise: bool = False

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallycast.config import METHODS
@@ -90,3 +90,14 @@ def accuracy_ranking(metrics: DataFrame, by: str, k: int = 12, skip: tuple[str,
     rows = metrics.where(~F.col("method").isin(*skip)) if skip else metrics
     means = rows.groupBy("method", "method_ord").agg(F.avg(by).alias(by), F.avg("mae").alias("mean_mae"))
     return means.orderBy(F.col(by).asc_nulls_last(), "method_ord").limit(k).drop("method_ord")
+
+
+def method_ranking(metrics: DataFrame, by: str = "score_pct", k: int = 12, skip: tuple[str, ...] = ()) -> DataFrame:
+    """The k methods with the least error of every series, as ``(series_key, rank, method, by, mae)``.
+
+    Unscored methods (no error) come last; equal errors (to nine decimals) keep the order of methods.
+    """
+    rows = metrics.where(~F.col("method").isin(*skip)) if skip else metrics
+    order = Window.partitionBy("series_key").orderBy(F.round(by, 9).asc_nulls_last(), "method_ord")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("series_key", "rank", "method", *dict.fromkeys((by, "mae")))

@@ -194,27 +194,31 @@ def _padded(y: np.ndarray) -> np.ndarray:
     return np.pad(y, ((0, 0), (0, short))) if short > 0 else y
 
 
-@F.pandas_udf(
-    T.StructType([T.StructField(m, T.ArrayType(T.DoubleType())) for m in FITTED])
-)
-def _fit_at_end(steps: pd.Series, values: pd.Series, lengths: pd.Series, horizons: pd.Series) -> pd.DataFrame:
-    n, horizon = lengths.to_numpy(), horizons.to_numpy()
-    out = {m: [None] * len(n) for m in FITTED}
-    for lo in range(0, len(n), CHUNK):
-        part = slice(lo, lo + CHUNK)
-        size = n[part]
-        y = _padded(dense_matrix(steps[part], values[part], size))
-        longest = int(horizon[part].max())
-        for name, model in _MODELS.items():
-            for rows, _, path in model(y, lambda t: np.flatnonzero(size == t), longest):
+def _at_end(name: str):
+    """UDF of one fitted method: its forecasts from the end of each history."""
+
+    def fit(steps: pd.Series, values: pd.Series, lengths: pd.Series, horizons: pd.Series) -> pd.Series:
+        n, horizon = lengths.to_numpy(), horizons.to_numpy()
+        out = [None] * len(n)
+        for lo in range(0, len(n), CHUNK):
+            part = slice(lo, lo + CHUNK)
+            size = n[part]
+            y = _padded(dense_matrix(steps[part], values[part], size))
+            for rows, _, path in _MODELS[name](y, lambda t, size=size: np.flatnonzero(size == t), int(horizon[part].max())):
                 for r, values_ in zip(rows, np.maximum(path, 0.0)):
-                    out[name][lo + r] = values_[: horizon[lo + r]]
-    return pd.DataFrame(out)
+                    out[lo + r] = values_[: horizon[lo + r]]
+        return pd.Series(out)
+
+    return F.pandas_udf(fit, T.ArrayType(T.DoubleType()))
 
 
 def fitted_at_end(state: DataFrame) -> DataFrame:
-    """Add ``fits``: the forecasts of the fitted methods from the end of each row's history."""
-    return state.withColumn("fits", _fit_at_end("hist_t", "hist_v", "n", "horizon"))
+    """Add ``fits``: the forecasts of the fitted methods from the end of each row's history.
+
+    Every method is a function of its own, so a query that reads one of them fits one.
+    """
+    columns = [_at_end(m)("hist_t", "hist_v", "n", "horizon").alias(m) for m in FITTED]
+    return state.withColumn("fits", F.struct(*columns))
 
 
 ROLLING_SCHEMA = "series_key string, origin int, h int, iets double, holt_winters double, arima double"

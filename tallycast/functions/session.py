@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -26,10 +28,8 @@ def get_session(app: str = "tallycast", master: str | None = None, **conf: str)
 
 
 def cut_lineage(spark: SparkSession, df):
-    """Checkpoint in the shared folder the cluster names; without one the frame stays lazy."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        return df
+    """Checkpoint in the shared folder of spark.checkpoint.dir; in a folder of its own only where that is unset."""
     if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

@@ -47,8 +47,9 @@ def raw_columns_for(columns: Iterable[str]) -> list[str]:
 
 def parse_booked_date(df: DataFrame, cfg: EngineConfig) -> Column:
     c = F.col("`Booked Date`")
-    if cfg.date_format and df.schema["Booked Date"].dataType.simpleString() == "string":
-        return F.try_to_timestamp(c, F.lit(cfg.date_format)).cast("timestamp_ntz")
+    patterns = (cfg.date_format,) if isinstance(cfg.date_format, str) else cfg.date_format or ()
+    if patterns and df.schema["Booked Date"].dataType.simpleString() == "string":
+        return F.coalesce(*(F.try_to_timestamp(c, F.lit(p)).cast("timestamp_ntz") for p in patterns))
     return c.try_cast("timestamp_ntz")
 
 

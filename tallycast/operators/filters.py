@@ -11,8 +11,11 @@ from tallycast.config import Filters
 
 
 def _in_list(df: DataFrame, column: str, values: tuple, all_marker: str | None = None) -> DataFrame:
-    if not values or (all_marker and all_marker in values) or column not in df.columns:
+    """Rows whose column is in the list; a list on a column that the frame lacks raises."""
+    if not values or (all_marker and all_marker in values):
         return df
+    if column not in df.columns:
+        raise ValueError(f"cannot filter by {column!r}: the frame has no such column")
     return df.where(F.col(column).isin(*values))
 
 

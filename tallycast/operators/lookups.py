@@ -38,6 +38,11 @@ def normalize_system(df: DataFrame, aliases: DataFrame) -> DataFrame:
     return joined.withColumn("system", resolved).drop("name_lc", "target", "spellings")
 
 
+def aliases_of(aliases: DataFrame, names: DataFrame) -> DataFrame:
+    """``(canonical, alias, ord)`` of the canonical names in the one-column frame."""
+    return aliases.where("alias is not null").join(names.toDF("canonical"), "canonical").select("canonical", "alias", "ord")
+
+
 def system_aliases(aliases: DataFrame, canonical: str) -> DataFrame:
     """Aliases of one canonical name, in table order."""
     hit = (F.col("canonical") == canonical) & F.col("alias").isNotNull()

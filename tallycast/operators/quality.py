@@ -11,21 +11,51 @@ from tallycast.operators.cleaning import parse_booked_date
 from tallycast.operators.rollups import distinct_counts
 
 
+# Raw columns that hold numbers.
+MEASURE_COLUMNS = (
+    "SO Remaining Qty", "SO Line Amount EGP", "Shipped Amount [USD]", "Not Shipped Amount [USD]", "Shipped Qty",
+    "Cancelled Qty", "Calculated Weight (Kg)", "Unit Weight (Kg)",
+)
+
+
 def _pct(part: Column, whole: Column) -> Column:
     return ratio0(part * 100.0, whole)
 
 
 def missing_values(raw: DataFrame) -> DataFrame:
     """Rows, and count and percent of missing item, quantity and date."""
-    out = raw.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(F.col("`Ordered Item`").isNull()).alias("missing_sku"),
-        F.count_if(F.col("`SO Remaining Qty`").isNull()).alias("missing_qty"),
-        F.count_if(F.col("`Booked Date`").isNull()).alias("missing_date"),
-    )
-    for c in ("missing_sku", "missing_qty", "missing_date"):
-        out = out.withColumn(f"{c}_pct", _pct(F.col(c), F.col("total_rows")))
-    return out
+    return _with_missing_pct(raw.agg(*_missing()))
+
+
+def _missing() -> list[Column]:
+    named = {"missing_sku": "Ordered Item", "missing_qty": "SO Remaining Qty", "missing_date": "Booked Date"}
+    return [F.count(F.lit(1)).alias("total_rows"), *(F.count_if(F.col(f"`{c}`").isNull()).alias(k) for k, c in named.items())]
+
+
+def _with_missing_pct(df: DataFrame) -> DataFrame:
+    return df.withColumns({f"{c}_pct": _pct(F.col(c), F.col("total_rows")) for c in ("missing_sku", "missing_qty", "missing_date")})
+
+
+def _dates(d: Column) -> list[Column]:
+    return [F.min(d).alias("lo"), F.max(d).alias("hi")]
+
+
+def _with_span(df: DataFrame) -> DataFrame:
+    days = F.datediff("hi", "lo").cast("bigint")
+    spans = {"date_min": F.col("lo").cast("date"), "date_max": F.col("hi").cast("date"), "span_days": days, "span_years": days / 365.25}
+    return df.withColumns(spans).drop("lo", "hi")
+
+
+def unreadable_values(raw: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """``(column, present, unreadable)``: values of dates and measures that are there but cannot be read.
+
+    Lines with an unreadable date are dropped by cleaning, unreadable numbers count 0; this says how many.
+    """
+    read = {"Booked Date": parse_booked_date(raw, cfg)}
+    read |= {c: F.col(f"`{c}`").try_cast("double") for c in MEASURE_COLUMNS if c in raw.columns}
+    there = {c: F.col(f"`{c}`").isNotNull() & (F.btrim(F.col(f"`{c}`").cast("string")) != "") for c in read}
+    counts = [F.struct(F.lit(c).alias("column"), F.count_if(there[c]).alias("present"), F.count_if(there[c] & x.isNull()).alias("unreadable")) for c, x in read.items()]
+    return raw.agg(F.array(*counts).alias("rows")).select(F.inline("rows"))
 
 
 def duplicate_rows(raw: DataFrame) -> DataFrame:
@@ -58,15 +88,7 @@ def item_classification(raw: DataFrame, flags: DataFrame) -> DataFrame:
 
 def date_range(raw: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """First and last readable booking date, span in days and years."""
-    d = parse_booked_date(raw, cfg)
-    out = raw.select(d.alias("d")).agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    days = F.datediff("hi", "lo").cast("bigint")
-    return out.select(
-        F.col("lo").cast("date").alias("date_min"),
-        F.col("hi").cast("date").alias("date_max"),
-        days.alias("span_days"),
-        (days / 365.25).alias("span_years"),
-    )
+    return _with_span(raw.select(parse_booked_date(raw, cfg).alias("d")).agg(*_dates(F.col("d"))))
 
 
 def raw_cardinalities(raw: DataFrame) -> DataFrame:
@@ -92,14 +114,42 @@ def split_groups(raw: DataFrame) -> DataFrame:
     return out.withColumn("split_percentage", _pct(F.col("split_groups"), F.col("total_groups")))
 
 
+def _per_line(raw: DataFrame, cfg: EngineConfig) -> DataFrame:
+    """The checks that one pass over the lines gives: rows, missing values, dates."""
+    counted = raw.withColumn("d", parse_booked_date(raw, cfg)).agg(*_missing(), *_dates(F.col("d")))
+    return _with_span(_with_missing_pct(counted))
+
+
 def validation(raw: DataFrame, flags: DataFrame | None = None, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """All checks joined into one row of plain numbers."""
-    parts = [missing_values(raw), duplicate_rows(raw), date_range(raw, cfg), raw_cardinalities(raw)]
+    """All checks joined into one row of plain numbers.
+
+    The lines are read three times: as they are for repeats, once for all distinct counts, and once for the counts by
+    (order, item), of which rows, missing values, dates, split groups and list members are sums.
+    """
+    keys = [c for c in ("Order Number", "Ordered Item") if c in raw.columns]
+    groups = raw.withColumn("d", parse_booked_date(raw, cfg)).groupBy(*[F.col(f"`{c}`") for c in keys]).agg(*_missing(), *_dates(F.col("d")))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_rows", "missing_sku", "missing_qty", "missing_date")]
+    aggs = [*sums, F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    named = F.col("`Ordered Item`").isNotNull()
+    if "Order Number" in raw.columns:
+        whole = named & F.col("`Order Number`").isNotNull()
+        aggs += [F.count_if(whole & (F.col("total_rows") > 1)).alias("split_groups"), F.count_if(whole).alias("total_groups")]
+    if flags is not None:
+        groups = groups.withColumn("sku", clean_code(F.col("`Ordered Item`"))).join(flags, "sku", "left")
+        aggs += [F.coalesce(F.sum(F.when(named & F.col(flag), F.col("total_rows"))), F.lit(0)).alias(name) for name, flag in (("standard_items", "is_standard"), ("prime_items", "is_prime"))]
+        aggs.append(F.coalesce(F.sum(F.when(named, F.col("total_rows"))), F.lit(0)).alias("n"))
+    one = _with_span(_with_missing_pct(groups.agg(*aggs)))
     if "Order Number" in raw.columns:
-        parts.append(split_groups(raw))
+        one = one.withColumn("split_percentage", _pct(F.col("split_groups"), F.col("total_groups")))
     if flags is not None:
-        parts.append(item_classification(raw, flags))
-    return side_by_side(parts)
+        one = one.withColumns({"non_standard_items": F.col("n") - F.col("standard_items"), "standard_pct": _pct(F.col("standard_items"), F.col("n")), "prime_pct": _pct(F.col("prime_items"), F.col("n"))}).drop("n")
+    return side_by_side([one, duplicate_rows(raw), raw_cardinalities(raw)])
+
+
+def rule_inputs(raw: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
+    """The checks that ``quality_rules`` reads, in one row: missing values, dates and the number of items."""
+    items = distinct_counts(raw, {"unique_items": "Ordered Item"})
+    return side_by_side([_per_line(raw, cfg), items])
 
 
 def validation_long(checks: DataFrame) -> DataFrame:

@@ -141,12 +141,10 @@ def overview(df: DataFrame) -> DataFrame:
 
 
 def item_statistics(df: DataFrame) -> DataFrame:
-    """Distinct items overall and per category."""
-    named = {"total_unique": F.col("sku")}
-    for category in CATEGORIES:
-        key = category.lower().replace("-", "_") + "_items"
-        named[key] = F.when(F.col("item_category") == category, F.col("sku"))
-    return distinct_counts(df, named)
+    """Distinct items overall and per category. An item has one category, so items are counted after they are grouped."""
+    items = df.where("sku is not null").groupBy("sku").agg(F.collect_set("item_category").alias("in"))
+    counts = {f"{c.lower().replace('-', '_')}_items": F.count_if(F.array_contains("in", c)) for c in CATEGORIES}
+    return items.agg(F.count("*").alias("total_unique"), *(v.alias(k) for k, v in counts.items()))
 
 
 def dimension_statistics(df: DataFrame) -> DataFrame:
@@ -167,14 +165,21 @@ RANKINGS = (
 
 
 def top_performers(df: DataFrame, k: int = 10) -> DataFrame:
-    """The summary's rankings as rows ``(ranking, rank, member, value)``."""
-    parts = [
-        ranked(df, dim, measure, k).select(
-            F.lit(name).alias("ranking"), "rank", F.col(dim).alias("member"), F.col(measure).alias("value")
-        )
-        for name, dim, measure in RANKINGS
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """The summary's rankings as rows ``(ranking, rank, member, value)``.
+
+    One pass over the lines adds up all dimensions (grouping sets); the rankings take the top k of that small table.
+    """
+    dims = list(dict.fromkeys(d for _, d, _ in RANKINGS))
+    measures = list(dict.fromkeys(m for _, _, m in RANKINGS))
+    sets = df.groupingSets([[F.col(d)] for d in dims], *[F.col(d) for d in dims])
+    which = F.coalesce(*(F.when(F.grouping(d) == 0, F.lit(d)) for d in dims))
+    sums = sets.agg(*[exact_sum(m).alias(m) for m in measures], which.alias("dim"))
+    members = sums.select("dim", F.coalesce(*(F.when(F.col("dim") == d, F.col(d)) for d in dims)).alias("member"), *measures)
+    rows = [F.struct(F.lit(name).alias("ranking"), F.lit(d).alias("of"), F.col(m).alias("value")) for name, d, m in RANKINGS]
+    long = members.select("dim", "member", F.inline(F.array(*rows))).where(F.col("dim") == F.col("of"))
+    order = Window.partitionBy("ranking").orderBy(F.col("value").desc(), "member")
+    ranked = long.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("ranking", "rank", "member", "value")
 
 
 def summary(df: DataFrame) -> DataFrame:

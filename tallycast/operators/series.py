@@ -41,17 +41,8 @@ def build_series(lines: DataFrame, level: str, metric: str, freq: str = "M") ->
 
 
 def by_series(df: DataFrame) -> DataFrame:
-    """Hash rows by series into the session's number of shuffle partitions.
-
-    A plain shuffle would be joined into few partitions by bytes; forecasting is bound by
-    CPU per row, so the full number of tasks is kept. Series are short, so partitions are even.
-    In local mode, where the cores are fixed, three tasks per core are enough.
-    """
-    spark = df.sparkSession
-    count = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if spark.conf.get("spark.master", "").startswith("local"):
-        count = min(count, 3 * spark.sparkContext.defaultParallelism)
-    return df.repartition(count, "series_key")
+    """Hash rows by series; Spark sizes the partitions at run time. Series are short, so they are even."""
+    return df.repartition("series_key")
 
 
 def index_series(series: DataFrame, freq: str = "M") -> DataFrame:
@@ -104,20 +95,25 @@ def series_status(series: DataFrame, freq: str = "M", cfg: EngineConfig = Engine
         (F.max(o) - F.min(o) + 1).cast("int").alias("n"), exact_sum("value").alias("total")
     )
     status = (
-        F.when(F.col("total") == 0, "zero").when(F.col("n") < cfg.min_periods, "insufficient").otherwise("ok")
+        F.when(F.round("total", 9) == 0, "zero").when(F.col("n") < cfg.min_periods, "insufficient").otherwise("ok")
     )
     reason = F.when(status == "zero", F.lit("metric has no data")).when(
         status == "insufficient",
-        F.concat(F.lit("Insufficient data: "), F.col("n").cast("string"), F.lit(f" periods (need {cfg.min_periods})")),
+        F.format_string(f"history of %d periods is shorter than {cfg.min_periods}", "n"),
     )
     return per.withColumn("status", status).withColumn("reason", reason)
 
 
 def forecastable(indexed: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Indexed series that are long enough to be forecast."""
-    return indexed.where(F.col("n") >= cfg.min_periods)
+    """Indexed series that ``series_status`` calls ok: long enough, and not zero in sum (to nine decimals)."""
+    total = F.sum("value").over(Window.partitionBy("series_key"))
+    return indexed.where(F.col("n") >= cfg.min_periods).withColumn("total", F.round(total, 9)).where("total != 0").drop("total")
 
 
 def yearly_totals(series: DataFrame) -> DataFrame:
-    """Calendar-year totals of every series."""
-    return series.groupBy("series_key", F.year("period_start").alias("year")).agg(exact_sum("value").alias("value"))
+    """Calendar-year totals of every series, with 0 for years without lines between its first and last."""
+    years = series.groupBy("series_key", F.year("period_start").alias("year")).agg(exact_sum("value").alias("value"))
+    following = F.coalesce(F.lead("year").over(Window.partitionBy("series_key").orderBy("year")), F.col("year") + 1)
+    years = years.withColumn("gap", F.sequence(F.lit(0), following - F.col("year") - 1))
+    unfolded = years.select("series_key", "year", "value", F.explode("gap").alias("k"))
+    return unfolded.select("series_key", (F.col("year") + F.col("k")).alias("year"), F.when(F.col("k") == 0, F.col("value")).otherwise(0.0).alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,12 +73,13 @@ def item_flags(standard: DataFrame, prime: DataFrame) -> DataFrame:
 
 
 def alias_table(spark: SparkSession, mapping: dict[str, list[str]]) -> DataFrame:
-    """Alias dictionary as a table ``(canonical, alias, ord)``; names without alias keep one null row."""
-    rows = []
-    for canonical, aliases in mapping.items():
-        for alias in aliases or [None]:
-            rows.append((canonical, alias, len(rows)))
-    return spark.createDataFrame(rows, "canonical string, alias string, ord int")
+    """Alias dictionary as a table ``(canonical, alias, ord)``; names without alias keep one null row.
+
+    It is handed over as an Arrow table, whose size Spark knows when it plans joins.
+    """
+    names = [(canonical, alias) for canonical, aliases in mapping.items() for alias in aliases or [None]]
+    columns = [pa.array(c, pa.string()) for c in zip(*names, strict=True)] if names else [pa.array([], pa.string())] * 2
+    return spark.createDataFrame(pa.Table.from_arrays([*columns, pa.array(range(len(names)), pa.int32())], ["canonical", "alias", "ord"]))
 
 
 def read_alias_table(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:

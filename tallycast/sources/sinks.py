@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_processed(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Processed fact as Parquet, one folder per year.
 
-    Rows are sent to their year before the write; the second key spreads a year that
-    holds most of the rows over many writers, and AQE joins small pieces.
+    Rows are sent to their year before the write. The shuffle is a rebalance: Spark cuts a
+    year that holds most of the rows into pieces of its advisory size and joins small years.
     """
-    spread = F.pmod(F.xxhash64("order_number", "sku"), F.lit(64))
-    df.repartition("year", spread).write.mode(mode).partitionBy("year").parquet(path)
+    df.hint("rebalance", "year").write.mode(mode).partitionBy("year").parquet(path)
 
 
 def write_views(views: dict[str, DataFrame], folder: str, mode: str = "errorifexists") -> None:

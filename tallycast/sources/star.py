@@ -44,7 +44,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def order_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """Raw order lines with the asked columns; dimensions no column needs are not joined.
 
-    All joins are equi-joins on table keys. None carries a broadcast hint: the
+    All joins are equi-joins on table keys; order, customer and nation are joined to each
+    other first, so that the lines meet them once. None carries a broadcast hint: the
     dimensions grow with the data, so Spark compares their size with its broadcast
     threshold and otherwise sort-merges, splitting hot keys at run time. Only
     ``nation``, which has one row per country, is always small.
@@ -54,13 +55,13 @@ def order_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
     df = table(spark, sf_dir, "lineitem")
     if "orders" in needed:
         orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+        if "customer" in needed:
+            customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+            if "nation" in needed:
+                nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+                customer = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+            orders = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
         df = df.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    if "customer" in needed:
-        customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-        df = df.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-    if "nation" in needed:
-        nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-        df = df.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     if "part" in needed:
         part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
         df = df.join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -97,6 +98,36 @@ def order_lines(spark: SparkSession, sf_dir: str, columns: list[str] | None = No
     return df.select(*[exprs[c]().alias(c) for c in columns])
 
 
+def dirty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as text with every kind of dirt, at fixed remainders of the keys.
+
+    Missing, blank and ``nan`` codes and names, mixed case, outer blanks, numbers that are negative or unreadable, dates
+    in three layouts, unreadable or missing.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_quantity").cast("int").cast("string").alias("q"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    df = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+
+    def case(key: str, by: int, *values):
+        c = F.col(key) % by
+        out = F.when(c == 0, values[0])
+        for k, v in enumerate(values[1:], 1):
+            out = out.when(c == k, v)
+        return out
+
+    day = lambda pattern: F.date_format("o_orderdate", pattern)
+    code, q, kind = F.concat(F.lit("p-"), F.col("l_partkey").cast("string")), F.col("q"), F.col("p_type")
+    return df.select(
+        case("l_orderkey", 9, F.lit(None).cast("string"), F.lit(" nan "), F.upper(code), F.concat(F.lit("\t"), code, F.lit(" ")), code, code, code, code, code).alias("Ordered Item"),
+        case("l_linenumber", 5, q, F.concat(F.lit("-"), q), F.lit("n/a"), F.lit(None).cast("string"), F.concat(F.lit(" "), q, F.lit(".5 "))).alias("SO Remaining Qty"),
+        case("l_orderkey", 5, day("yyyy-MM-dd"), day("dd/MM/yyyy"), day("yyyyMMdd"), F.lit("soon"), F.lit(None).cast("string")).alias("Booked Date"),
+        case("l_partkey", 6, F.lit(None).cast("string"), F.lit("  "), F.lit("NAN"), F.lower(kind), F.concat(F.lit("  "), kind, F.lit("\n")), kind).alias("Order System"),
+        case("l_orderkey", 4, F.lit(None).cast("string"), F.lit("nan"), F.lit(" Land "), F.lit("Land")).alias("Country"),
+        case("l_orderkey", 3, F.lit(None).cast("string"), F.col("l_orderkey").cast("string"), F.lit("")).alias("Order Number"),
+    )
+
+
 def item_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Standard and Prime code lists derived from part; they overlap."""
     part = table(spark, sf_dir, "part").select("p_partkey")

@@ -3,9 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tallycast.config import EngineConfig
+from tallycast.config import EngineConfig, Filters
 from tallycast.functions.columns import exact_sum, hashed_normal, hashed_uniform
-from tallycast.operators import cleaning, lookups, quality
+from tallycast.operators import cleaning, filters, lookups, quality
 from tallycast.sources import orders
 
 COLUMNS = [
@@ -147,3 +147,27 @@ def test_hashed_draws(spark):
     row = df.agg(F.min("u"), F.max("u"), F.avg("u"), F.avg("z"), F.stddev("z")).first()
     assert 0 <= row[0] and row[1] < 1 and abs(row[2] - 0.5) < 0.01
     assert abs(row[3]) < 0.03 and abs(row[4] - 1) < 0.03
+
+
+def test_exact_sum_keeps_small_values_and_large_sums(spark):
+    df = spark.range(1_000_000).select(F.lit(3e-7).alias("x"))
+    assert abs(df.agg(exact_sum("x").alias("s")).first().s - 0.3) < 1e-12
+    big = spark.createDataFrame([(1e15,), (0.5,), (-3.25,), (2e-9,)], "x double")
+    assert big.agg(exact_sum("x").alias("s")).first().s == 1e15 - 2.75
+    cents = spark.createDataFrame([(136844.87,), (0.0,)], "x double")
+    assert cents.agg(exact_sum("x").alias("s")).first().s == 136844.87
+
+
+def test_several_date_patterns(spark):
+    rows = [("2020-03-01", "A"), ("02/04/2020", "B"), ("20200503", "C"), ("soon", "D"), (None, "E")]
+    raw = spark.createDataFrame(rows, "`Booked Date` string, `Ordered Item` string")
+    cfg = EngineConfig(date_format=("yyyy-MM-dd", "dd/MM/yyyy", "yyyyMMdd"))
+    got = {r.sku: str(r.booked_date)[:10] for r in cleaning.clean_lines(raw, cfg, columns=["sku", "booked_date"]).collect()}
+    assert got == {"A": "2020-03-01", "B": "2020-04-02", "C": "2020-05-03"}
+    counts = {r["column"]: (r.present, r.unreadable) for r in quality.unreadable_values(raw, cfg).collect()}
+    assert counts == {"Booked Date": (4, 1)}
+
+
+def test_filter_on_an_absent_column_raises(spark):
+    with pytest.raises(ValueError, match="country"):
+        filters.apply_filters(spark.range(1), Filters(countries=("X",)))

@@ -271,14 +271,14 @@ def test_full_run(spark, indexed):
     lines = spark.createDataFrame(rows, "sku string, booked_date timestamp_ntz, qty double")
     run = forecasting.forecast(lines, "item", horizon=6)
     status = {r.series_key: (r.status, r.reason) for r in run.status.collect()}
-    assert status["n11"] == ("insufficient", "Insufficient data: 11 periods (need 12)")
+    assert status["n11"] == ("insufficient", "history of 11 periods is shorter than 12")
     assert status["zero"][0] == "zero" and status["n12"][0] == "ok"
     got = run.forecasts.groupBy("series_key").agg(F.countDistinct("method").alias("m"), F.count_if(F.col("yhat").isNull()).alias("bad")).collect()
-    assert {r.series_key for r in got} == set(handmade.SERIES) - {"n11"}
+    assert {r.series_key for r in got} == set(handmade.SERIES) - {"n11", "zero"}
     assert all(r.m == len(METHODS) and r.bad == 0 for r in got)
     report_rows = run.report.where("type = 'Forecast'").collect()
     best = {r.series_key: r.method for r in run.best.collect()}
-    assert len(report_rows) == 6 * (len(handmade.SERIES) - 1)
+    assert len(report_rows) == 6 * (len(handmade.SERIES) - 2)
     for r in report_rows:
         assert r.method == best.get(r.series_key, "intelligent_growth")
     first = [r.period for r in report_rows if r.series_key == "n12"]
@@ -286,3 +286,11 @@ def test_full_run(spark, indexed):
     assert run.report.where("series_key = 'rare' AND type = 'Historical'").count() == 77
     totals = {r.series_key: r for r in report.report_totals(run.report).collect()}
     assert totals["flat"].historical_total == 36 * 12.0
+
+
+def test_method_ranking_per_series(spark):
+    rows = [("a", "m1", 0, 2.0, 5.0), ("a", "m2", 1, 1.0, 6.0), ("a", "m3", 2, None, 0.0), ("b", "m1", 0, 3.0, 1.0), ("b", "m2", 1, 3.0, 2.0)]
+    df = spark.createDataFrame(rows, "series_key string, method string, method_ord int, score_pct double, mae double")
+    got = [tuple(r)[:3] for r in backtest.method_ranking(df, k=2).orderBy("series_key", "rank").collect()]
+    assert got == [("a", 1, "m2"), ("a", 2, "m1"), ("b", 1, "m1"), ("b", 2, "m2")]
+    assert backtest.method_ranking(df, skip=("m2",)).where("method = 'm2'").count() == 0

@@ -58,3 +58,18 @@ def test_periods(spark):
 def test_yearly_totals(lines):
     got = {(r.series_key, r.year): r.value for r in series.yearly_totals(series.build_series(lines, "item", "qty")).collect()}
     assert got == {("A", 2020): 8.0, ("B", 2021): 4.0}
+
+
+def test_yearly_totals_fill_empty_years(spark):
+    rows = [("A", dt.date(2018, 5, 1), 2.0), ("A", dt.date(2021, 1, 1), 3.0), ("B", dt.date(2020, 1, 1), 1.0)]
+    df = spark.createDataFrame(rows, "series_key string, period_start date, value double")
+    got = {(r.series_key, r.year): r.value for r in series.yearly_totals(df).collect()}
+    assert got == {("A", 2018): 2.0, ("A", 2019): 0.0, ("A", 2020): 0.0, ("A", 2021): 3.0, ("B", 2020): 1.0}
+
+
+def test_one_gate_for_status_and_forecast(spark):
+    months = [dt.date(2019 + k // 12, 1 + k % 12, 1) for k in range(14)]
+    rows = [("zero", d, x) for d, x in zip(months, [5.0, -5.0] * 7, strict=True)] + [("good", d, 1.0) for d in months] + [("short", months[0], 1.0)]
+    df = spark.createDataFrame([("item", *r) for r in rows], "level string, series_key string, period_start date, value double")
+    ok = {r.series_key for r in series.series_status(df).where("status = 'ok'").collect()}
+    assert ok == {r.series_key for r in series.forecastable(series.index_series(df)).collect()} == {"good"}
