@@ -24,6 +24,8 @@ HEADLINE = (
     "item_kpis",
     "quality_duplicates",
     "quality_split_groups",
+    "quality_rules",
+    "validation_long",
     "dense_item_month",
     "demand_profile_item",
     "growth_profile_item",
@@ -35,6 +37,8 @@ HEADLINE = (
     "fc_holt_winters",
     "backtest_metrics_item",
     "forecast_report_closed",
+    "rolling_origins",
+    "fc_meta_learner",
     "forecast_report",
 )
 

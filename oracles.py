@@ -498,6 +498,13 @@ def forecasting() -> dict[str, str]:
           ORDER BY round({by}, 9) NULLS LAST, ord) AS INT) AS rank FROM metrics {where}) SELECT series_key, rank, method, {shown_by} FROM ranked WHERE rank <= 12"""
     q["forecast_year_totals"] = f"""WITH {finished('item', '24')} SELECT series_key, method, {r('sum(yhat) FILTER (h <= 12)', 4, 'year1_total')},
       {r('sum(yhat) FILTER (h > 12)', 4, 'year2_total')} FROM final GROUP BY series_key, method"""
+    draw = lambda tag: f"CAST('0x' || substr(md5(series_key || '|' || path || '|' || h || '|{tag}|42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+    value = """CASE WHEN hit < len(positives)::DOUBLE / n AND len(positives) > 0
+        THEN positives[CAST(floor(pick * len(positives)) AS INT) + 1] * (1 + (noise - 0.5) * 0.4) ELSE 0 END"""
+    q["bootstrap_paths"] = f"""WITH {observed('item')}, b AS (SELECT series_key, max(n) AS n, coalesce(list(v ORDER BY t) FILTER (v > 0), []) AS positives FROM obs GROUP BY series_key),
+      d AS (SELECT *, {draw('pick')} AS pick, {draw('hit')} AS hit, {draw('noise')} AS noise
+        FROM b, (SELECT unnest(range(1, 6)) AS path), (SELECT unnest(range(1, 13)) AS h))
+      SELECT series_key, CAST(path AS INT) AS path, CAST(h AS INT) AS h, {r(value, 6, 'yhat')} FROM d"""
     q["run_metadata"] = f"""WITH {sparse('item')} SELECT 'item' AS level, 'qty' AS target_metric, 'M' AS frequency, 12 AS periods_ahead,
       CAST(NULL AS VARCHAR) AS filters, 16 AS models_used, count(DISTINCT series_key) AS series, count(*) AS periods FROM monthly"""
     return q

@@ -83,8 +83,9 @@ def side_by_side(parts: list[DataFrame]) -> DataFrame:
 
 
 def hashed_uniform(seed: int, *keys: Column) -> Column:
-    """Uniform number in [0, 1) that depends on the keys and the seed only."""
-    return F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    """Uniform number in [0, 1) that depends on the keys and the seed only: 32 bits of the MD5 of their texts."""
+    text = F.concat_ws("|", *(k.cast("string") for k in keys), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def hashed_normal(seed: int, *keys: Column) -> Column:
