@@ -7,7 +7,7 @@ tasks whose rows Spark has partitioned.
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -157,17 +157,14 @@ def add_at(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def sum_arrays(parts: DataFrame, length: int, slices: int = 16) -> np.ndarray:
-    """Sum of the int64 arrays (column `counts`, all of `length`) of all rows.
+def sum_arrays(rows: DataFrame, count: Callable[[Iterable[pa.RecordBatch]], np.ndarray], length: int, slices: int = 16) -> np.ndarray:
+    """Sum over all tasks of what `count` makes of a task's rows, an int64 array of `length`.
 
     The arrays are cut into slices, each slice is added up where it arrives, row by row; the driver gets one array.
     """
 
     def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(length, np.int64)
-        for b in batches:
-            for x in b.column(0):
-                total += np.frombuffer(x.as_py(), np.int64)
+        total = count(batches)
         if total.any():
             cut_up = np.array_split(total, slices)
             yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([c.tobytes() for c in cut_up], pa.binary())], ["slice", "counts"])
@@ -182,9 +179,9 @@ def sum_arrays(parts: DataFrame, length: int, slices: int = 16) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([c.tobytes() for c in sums.values()], pa.binary())], ["slice", "counts"])
 
     shape = "slice int, counts binary"
-    rows = parts.select("counts").mapInArrow(sliced, shape).repartition("slice").mapInArrow(added, shape).collect()
+    sums = rows.mapInArrow(sliced, shape).repartition("slice").mapInArrow(added, shape).collect()
     out = [np.zeros(len(c), np.int64) for c in np.array_split(np.zeros(length), slices)]
-    for r in rows:
+    for r in sums:
         out[r["slice"]] = out[r["slice"]] + np.frombuffer(bytes(r["counts"]), np.int64)
     return np.concatenate(out)
 

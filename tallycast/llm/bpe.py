@@ -102,7 +102,7 @@ def encode(docs: DataFrame, tokenizer: str, columns: Iterable[str] = tuple(COLUM
     pieces = spark.sparkContext.broadcast([vocabulary.get(i, "").encode() for i in range(max(vocabulary) + 1)])
     wide_id = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
     rows = packed.pack(docs, BATCH_BYTES, keep=False)
-    buckets = base.tasks(spark, packed.megabytes(docs), 50)
+    buckets = base.tasks(spark, packed.megabytes(base.id_and_text(docs)), 50)
 
     def keys(batch: packed.Batch, _: dict) -> tuple[list[bytes], np.ndarray]:
         words, h, _, _ = _distinct(batch.texts)

@@ -66,7 +66,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         return [], np.zeros((width, 0), np.float32)
     index = {x: i for i, x in enumerate(names)}
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros((len(names), width), np.int64)
         for b in batches:
             lang = np.array([index[x] for x in b.column(0).to_pylist()], np.int64)
@@ -80,9 +80,9 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 of = np.repeat(np.repeat(lang[i:j], np.diff(first)), np.diff(per_word)) * width
                 for g in grams:
                     total += np.bincount(of + g, minlength=total.size).reshape(total.shape)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+        return total.ravel()
 
-    counts = base.sum_arrays(rows.mapInArrow(count, "counts binary"), len(names) * width).reshape(len(names), len(ORDERS), 1 << BITS)
+    counts = base.sum_arrays(rows, count, len(names) * width).reshape(len(names), len(ORDERS), 1 << BITS)
     p = np.log((counts + 0.5) / (counts.sum(2, keepdims=True) + 0.5 * (1 << BITS)))
     return names, np.ascontiguousarray(p.reshape(len(names), width).T.astype(np.float32))
 

@@ -68,7 +68,7 @@ def learn(docs: DataFrame, ids: list[int]) -> np.ndarray:
     """Log-ratio of target to raw probability of each bucket; docs: doc_id, text. Raw counts are of all documents."""
     wanted = np.sort(np.array(ids, np.int64))
 
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterable[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros((2, BUCKETS), np.int64)
         for b in batches:
             doc = np.array([-1 if x is None else x for x in b.column(0).to_pylist()], np.int64)
@@ -78,9 +78,9 @@ def learn(docs: DataFrame, ids: list[int]) -> np.ndarray:
                 f, first = _features(texts[i:j])
                 total[1] += np.bincount(f, minlength=BUCKETS)
                 total[0] += np.bincount(f[np.repeat(known[i:j], np.diff(first))], minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+        return total.ravel()
 
-    c = base.sum_arrays(docs.mapInArrow(count, "counts binary"), 2 * BUCKETS).reshape(2, 2, BUCKETS // 2)
+    c = base.sum_arrays(docs, count, 2 * BUCKETS).reshape(2, 2, BUCKETS // 2)
     if not c[0].any():
         return np.zeros(BUCKETS)
     p = (c + 1.0) / (c.sum(2, keepdims=True) + BUCKETS // 2)
