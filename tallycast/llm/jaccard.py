@@ -74,7 +74,8 @@ def _answer(asked: list[tuple[int, bytes]]) -> list[bytes]:
 def nodes(rows: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
     """node, n, signature, grams (sorted hashes), hs and ps (hash and place of 5-grams in the prefix that other nodes have).
 
-    Only nodes with such a 5-gram: the others are linked with nothing.
+    Only nodes with such a 5-gram: the others are linked with nothing. They are dealt out by node, so that joins by node
+    move no grams again.
     """
     first = members.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "batch", "at")).alias("first"))
     first = first.groupBy(F.col("first.batch").alias("batch")).agg(F.sort_array(F.collect_list("first.at")).alias("firsts"))
@@ -113,20 +114,29 @@ def nodes(rows: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
 
     shape = pa.schema([("node", pa.binary()), ("n", pa.int32()), ("signature", pa.list_(pa.int64())), ("grams", pa.binary()), ("hs", pa.list_(pa.int64())), ("ps", pa.list_(pa.int32()))])
     asked = packed.ask(rows.join(first, "batch"), keys, _answer, buckets, ("firsts",))
-    return base.cut(asked.mapInArrow(run, "node binary, n int, signature array<long>, grams binary, hs array<long>, ps array<int>"))
+    found = asked.mapInArrow(run, "node binary, n int, signature array<long>, grams binary, hs array<long>, ps array<int>")
+    return base.cut(found.repartition(buckets, "node"))
 
 
 def _possible(x: str, y: str, threshold: int) -> Column:
-    """Whether two entries of a group (structs or aliases with n, place, signature) can be of similar sets.
+    """Whether two entries of a group (structs or aliases with n and place) can be of similar sets.
 
-    By length; by place: no more can be shared than stands before the shared 5-gram in both, it, and after it in both;
-    and by the parity of hashed elements: sets differ in at least as many elements as their bitmaps in bits.
+    By length; and by place: no more can be shared than stands before the shared 5-gram in both, it, and after it in both.
     """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    need = F.ceil((n + m) * threshold / float(100 + threshold) - 1e-9)
     most = 1 + F.least(f"{x}.place", f"{y}.place") + F.least(n - 1 - F.col(f"{x}.place"), m - 1 - F.col(f"{y}.place"))
-    apart = sum((F.bit_count(F.get(f"{x}.signature", F.lit(i)).bitwiseXOR(F.get(f"{y}.signature", F.lit(i)))) for i in range(_SIGNATURE // 64)), F.lit(0))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * threshold) & (most >= need) & (apart <= n + m - 2 * need)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * threshold) & (most >= _need(n, m, threshold))
+
+
+def _need(n: Column, m: Column, threshold: int) -> Column:
+    """Shared elements that make sets of n and m similar."""
+    return F.ceil((n + m) * threshold / float(100 + threshold) - 1e-9)
+
+
+def _alike(x: Column, y: Column, n: Column, m: Column, threshold: int) -> Column:
+    """Whether sets with these signatures can be similar: they differ in at least as many elements as their parity bitmaps in bits."""
+    apart = sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(_SIGNATURE // 64)), F.lit(0))
+    return apart <= n + m - 2 * _need(n, m, threshold)
 
 
 def _candidates(entries: DataFrame, labels: DataFrame | None, hubs: int, before: int, threshold: int) -> DataFrame:
@@ -146,7 +156,7 @@ def _candidates(entries: DataFrame, labels: DataFrame | None, hubs: int, before:
 
     x, y = entries.alias("x"), entries.alias("y")
     new = (~hub("y", hubs) | (F.col("x.node") < F.col("y.node"))) & ~(hub("x", before) | hub("y", before))
-    pairs = x.where(hub("x", hubs)).join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & new & _possible("x", "y", threshold))
+    pairs = x.where(hub("x", hubs)).join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & new & _possible("x", "y", threshold) & _alike(*(F.col(c) for c in ("x.signature", "y.signature", "x.n", "y.n")), threshold))
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
@@ -175,11 +185,16 @@ def _groups(sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     A group is what has a 5-gram in its prefixes. An entry is a row for each of its nodes: h, node, n, place, signature,
     a draw u, and m, least: size and least draw of the group. Groups of two, which most are, come from one aggregate.
     """
-    rows = sets.select("node", "n", "signature", F.xxhash64("node").alias("u"), F.inline(F.arrays_zip("hs", "ps"))).withColumnsRenamed({"hs": "h", "ps": "place"})
-    entry = F.struct("node", "n", "place", "signature")
-    groups = base.cut(rows.groupBy("h").agg(F.count("*").alias("m"), F.min("u").alias("least"), F.min(entry).alias("x"), F.max(entry).alias("y")).where("m >= 2"))
-    two = groups.where("m = 2").where(_possible("x", "y", threshold)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return two, base.cut(rows.join(groups.where("m > 2").select("h", "m", "least"), "h"))
+    rows = sets.select("node", "n", F.xxhash64("node").alias("u"), F.inline(F.arrays_zip("hs", "ps"))).withColumnsRenamed({"hs": "h", "ps": "place"})
+    entry, two = F.struct("node", "n", "place"), F.col("m") == 2
+    groups = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("u").alias("least"), F.min(entry).alias("x"), F.max(entry).alias("y")).where("m >= 2")
+    ends = (F.when(two & _possible("x", "y", threshold), F.col(f"{of}.node")).alias(name) for of, name in (("x", "a"), ("y", "b")))
+    groups = base.cut(groups.select("h", "m", "least", *ends).where("m > 2 or a is not null"))
+    bits = sets.select("node", "signature")
+    full = sets.select("node", "signature", "n")
+    pairs = groups.where(two).select("a", "b").distinct().join(full.toDF("a", "sa", "na"), "a").join(full.toDF("b", "sb", "nb"), "b")
+    pairs = pairs.where(_alike(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), threshold)).select("a", "b")
+    return pairs, base.cut(rows.join(groups.where("m > 2").select("h", "m", "least"), "h").join(bits, "node"))
 
 
 def components(edges: DataFrame) -> DataFrame:
