@@ -92,11 +92,11 @@ def edited(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     key = lambda i, h: F.concat_ws(":", F.coalesce(F.col(i).cast("string"), F.lit("none")), h)
     order = neighbours(rows)
-    order = order.select(key("doc_id", "text_hash").alias("own"), F.expr("n_chars div 4").cast("int").alias("cut"), key("next_id", "next_hash").alias("key"))
-    rows = rows.withColumn("key", key("doc_id", "text_hash")).drop("text_hash")
+    order = order.select("doc_id", key("doc_id", "text_hash").alias("own"), F.expr("n_chars div 4").cast("int").alias("cut"), key("next_id", "next_hash").alias("key"))
+    rows = rows.select("text", key("doc_id", "text_hash").alias("key"))  # both joins read these columns: texts are moved once
     theirs = with_fingerprint(rows.join(order, "key"), "text", "next_kept")
-    theirs = theirs.select(F.col("own").alias("key"), "cut", F.left("text", "cut").alias("start"), hashes(F.col("next_kept")).alias("next_set"))
-    both = rows.join(theirs.groupBy("key").agg(*(F.first(c).alias(c) for c in ("cut", "start", "next_set"))), "key")
+    theirs = theirs.select("doc_id", F.col("own").alias("key"), "cut", F.left("text", "cut").alias("start"), hashes(F.col("next_kept")).alias("next_set"))
+    both = rows.join(theirs.groupBy("key").agg(*(F.first(c).alias(c) for c in ("doc_id", "cut", "start", "next_set"))), "key")
     n = F.char_length("text")
     both = both.select("doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.left("text", n - F.col("cut")), "start").alias("edited"), "next_set")
     both = with_fingerprint(with_fingerprint(both, "text", "kept"), "edited", "edited_kept")
