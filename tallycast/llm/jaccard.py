@@ -223,14 +223,23 @@ def connected(sets: DataFrame, threshold: int = 80) -> DataFrame:
     two, entries = _groups(sets, threshold)
     largest = entries.agg(F.max("m")).first()[0] or 1
     edges = _verified(two.unionAll(_candidates(entries, None, 1, 0, threshold)), sets, threshold)
-    labels, hubs = components(edges), 1
+    hubs = 1
     while hubs < largest:
         hubs, before = hubs * GROWTH, hubs
-        found = _verified(_candidates(entries, labels, hubs, before, threshold), sets, threshold)
-        if not found.isEmpty():
-            edges = edges.unionAll(found)
-            labels = components(edges)
-    return labels
+        edges = edges.unionAll(_verified(_candidates(entries, _hub_labels(edges), hubs, before, threshold), sets, threshold))
+    return components(edges)
+
+
+def _hub_labels(edges: DataFrame) -> DataFrame:
+    """x, label of each node with an edge: the neighbour (or itself) that is a hub first, and that one's own label.
+
+    Nodes of one label are connected; connected nodes may still have several, which only makes more pairs be compared.
+    """
+    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select("b", "a"))
+    first = both.groupBy("x").agg(F.min(F.struct(F.xxhash64("y").alias("u"), "y")).alias("best"))
+    first = base.cut(first.select("x", F.when(F.col("best.u") < F.xxhash64("x"), F.col("best.y")).otherwise(F.col("x")).alias("label")))
+    far = first.select(F.col("x").alias("label"), F.col("label").alias("far"))
+    return first.join(far, "label").select("x", F.col("far").alias("label"))
 
 
 def _rooted(docs: DataFrame, threshold: int) -> DataFrame:
