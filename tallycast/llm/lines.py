@@ -4,7 +4,8 @@ Two lines are near if one edit (a character replaced, put in or taken out) makes
 out the place of the edit; equal variants join. First whole quarters are left out, as hashes of what stands before and
 after them: 8 keys for a line of any length, which name the few lines that have a partner. Of those, every variant
 without a single character of that quarter is emitted, as a hashed key; lines that share one are compared by edit
-distance. A group of equal keys only ever yields its earliest line, so no pairs within a group arise.
+distance. Short lines emit the variants without a single character at once. A group of equal keys only ever yields its
+earliest line, so no pairs within a group arise.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from tallycast.llm import base
 
 MIN_CHARS = 16
+#: Lines from so many characters on have keys without a half; shorter ones only those without a character.
+HALVED = 16
 
 
 def split_lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -83,8 +86,33 @@ def _without(cand: DataFrame, parts: int) -> DataFrame:
     return rows.select("who", key.alias("key"), "longer", inner.alias("part"), (F.col("step") + F.col("longer").cast("int")).alias("size"))
 
 
-def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """a, b, kept: of each line that has an earlier line one edit away, the earliest such line's place."""
+def _roles(single: DataFrame, whole: DataFrame) -> DataFrame:
+    """who, role, variant: of single (who, key, longer, at, part), without the character there, and of whole (who, key, part) as it is."""
+    without = F.expr("concat(left(part, at), substring(part, at + 2))")
+    long = single.where("longer").select("who", F.lit("long").alias("role"), F.xxhash64("key", F.lit(-1), without).alias("variant"))
+    same = single.where("not longer").select("who", F.lit("same").alias("role"), F.xxhash64("key", "at", without).alias("variant"))
+    short = whole.select("who", F.lit("short").alias("role"), F.xxhash64("key", F.lit(-1), "part").alias("variant"))
+    return long.unionByName(same).unionByName(short)
+
+
+def _short(lines: DataFrame) -> DataFrame:
+    """who, line: the distinct lines under HALVED characters, and those of just HALVED, which one of them can be near."""
+    rows = lines.where(F.char_length("line") <= HALVED).groupBy("a", "b").agg(F.min("place").alias("place"), F.min("line").alias("line"))
+    return base.cut(rows.select(F.struct("place", "a", "b").alias("who"), "line"))
+
+
+def _short_variants(short: DataFrame) -> DataFrame:
+    rows = short.select("who", F.lit(0).cast("long").alias("key"), F.col("line").alias("part"), F.char_length("line").alias("size"))
+    under = rows.where(F.col("size") < HALVED)
+    single = rows.withColumn("longer", F.lit(True)).unionByName(under.withColumn("longer", F.lit(False)))
+    return _roles(_without(single, 0), under)
+
+
+def _near(docs: DataFrame, lines: DataFrame, short: bool) -> DataFrame:
+    """a, b, near: of each line that has an earlier line one edit away, the earliest such line's place; short: also of lines under HALVED."""
+    long = lines.where(F.char_length("line") >= HALVED)
+    halves = [h.alias(f"k{i}") for i, h in enumerate(_halves(F.col("line")))]
+    distinct = long.select("place", "a", "b", *halves).groupBy("a", "b").agg(F.min("place").alias("place"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4)))
     keys = F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(i >= 2).alias("longer"), F.lit(i % 2).alias("k")) for i in range(4)))
     keyed = distinct.select("a", "b", "place", F.inline(keys))
     named = keyed.join(_shared(keyed.select("key", "longer")), "key")
@@ -98,16 +126,16 @@ def _near(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     parts = _without(cand, 8)
     parts = base.cut(parts.join(_shared(parts), "key").distinct())
     single = _without(parts, 0)
-    without = F.expr("concat(left(part, at), substring(part, at + 2))")
-    long = single.where("longer").select("who", F.lit("long").alias("role"), F.xxhash64("key", F.lit(-1), without).alias("variant"))
-    same = single.where("not longer").select("who", F.lit("same").alias("role"), F.xxhash64("key", "at", without).alias("variant"))
-    short = parts.where("not longer").select("who", F.lit("short").alias("role"), F.xxhash64("key", F.lit(-1), "part").alias("variant"))
-    variants = long.unionByName(same).unionByName(short).distinct()
+    variants = _roles(single, parts.where("not longer")).distinct()
+    texts = cand.select("who", "line")
+    if short:
+        few = _short(lines)
+        variants, texts = variants.unionByName(_short_variants(few)), texts.unionByName(few)
     firsts = [F.min(F.when(F.col("role") == r, F.col("who"))).alias(f"first_{r}") for r in ("same", "short", "long")]
     groups = variants.groupBy("variant").agg(*firsts, F.count("*").alias("n")).where("n >= 2").drop("n")
     other = F.when(F.col("role") == "same", F.col("first_same")).when(F.col("role") == "short", F.col("first_long")).otherwise(F.col("first_short"))
     pairs = variants.join(groups, "variant").withColumn("other", other).where("other.place < who.place").select("who", "other").distinct()
-    texts = cand.select("who", "line").distinct()
+    texts = texts.distinct()
     both = pairs.join(texts, "who").join(texts.toDF("other", "other_line"), "other").where(F.levenshtein("line", "other_line", 1) >= 0)
     return both.groupBy("who").agg(F.min("other.place").alias("near")).select("who.a", "who.b", "near")
 
@@ -117,14 +145,14 @@ def repeated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     Lines stand between line feeds and are counted from 0; earlier is by doc_id (null first), line_no and a hash of the
     text. A line is repeated if any earlier line is equal or one edit away, be that one kept or not; kept_* is the
-    earliest equal line, or where that is itself near an earlier one, the earliest of those. Lines under min_chars (16
-    or more) are never compared. Null texts have no lines. Fully repeated rows are one place and do not repeat each other.
+    earliest equal line, or where that is itself near an earlier one, the earliest of those. Lines under min_chars are
+    never compared; with 1 every line that is not empty is. Null texts have no lines. Fully repeated rows are one place
+    and do not repeat each other.
     """
-    if min_chars < 16:
-        raise ValueError("min_chars must be 16 at least")
+    if min_chars < 1:
+        raise ValueError("min_chars must be 1 at least")
     lines = split_lines(docs, min_chars)
-    halves = [h.alias(f"k{i}") for i, h in enumerate(_halves(F.col("line")))]
-    near = _near(docs, lines.select("place", "a", "b", *halves).groupBy("a", "b").agg(F.min("place").alias("place"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4))))
+    near = _near(docs, lines, min_chars < HALVED)
     firsts = lines.groupBy("a", "b").agg(F.min("place").alias("first"), F.max("place").alias("last")).join(near, ["a", "b"], "left")
     firsts = firsts.where("first != last or near is not null")
     found = lines.select("place", "a", "b").distinct().join(firsts, ["a", "b"]).where("place != first or near is not null")
@@ -132,7 +160,7 @@ def repeated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return found.select("place.doc_id", "place.line_no", "place.text_hash", kept["doc_id"].alias("kept_doc_id"), kept["line_no"].alias("kept_line_no"), F.col("near").isNull().alias("exact"))
 
 
-def stage(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def stage(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """The documents with their columns, without their repeated lines. A document that loses all lines keeps an empty text."""
     gone = repeated(docs, min_chars).groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
     steps = F.zip_with("gone", F.concat(F.array(F.lit(-1)), F.slice("gone", 1, F.size("gone") - 1)), lambda now, last: F.concat(F.array_repeat(F.lit(False), now - last - 1), F.array(F.lit(True))))

@@ -23,7 +23,7 @@ def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.repeated(_table(spark, sf, "documents")).drop("text_hash")
+    return lines.repeated(_table(spark, sf, "documents"), 1).drop("text_hash")
 
 
 def _tokenizer(name: str) -> str:

@@ -161,6 +161,41 @@ def test_line_variants_meet_for_every_edit(spark, length):
     assert got == {1 + k: 0 for k in range(len(edits))}
 
 
+@pytest.mark.parametrize("source", ["odd", "real", "short"])
+def test_line_dedup_of_short_lines_equals_brute_force(request, spark, source):
+    if source == "short":
+        rng = np.random.default_rng(8)
+        texts = ["\n".join("".join(rng.choice(list("abc日"), rng.integers(0, 6))) for _ in range(12)) for _ in range(12)]
+        texts += ["0123456789abcde\n0123456789abcdef\n0123456789abcdeXf", "}\n0123456789abcdf\n0123456789abcdef", "{\n0123456789abcde"]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    else:
+        df = request.getfixturevalue(source)
+    order = lambda i: -1 if i is None else i
+    hashed = {(order(r["doc_id"]), r["text"]): r["h"] for r in df.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("h")).collect()}
+    all_ = sorted((i, k, h, x) for (i, t), h in hashed.items() for k, x in enumerate(t.split("\n")) if x)
+    first, by_length, want = {}, {}, set()
+    for i, k, h, x in all_:
+        if x not in first:
+            first[x] = (i, k, h)
+            near = [first[y] for n in (-1, 0, 1) for y in by_length.get(len(x) + n, ()) if one_edit(y, x)]
+            by_length.setdefault(len(x), []).append(x)
+            first[x, "near"] = min(near, default=None)
+        kept = first[x, "near"] or first[x]
+        if kept != (i, k, h):
+            want.add((i, k, *kept[:2]))
+    got = {(order(r["doc_id"]), r["line_no"], order(r["kept_doc_id"]), r["kept_line_no"]) for r in lines.repeated(df, 1).collect()}
+    assert got == want and want
+
+
+def test_line_dedup_query_and_stage_take_short_lines(spark, tmp_path):
+    from tallycast.llm import queries
+
+    df = spark.createDataFrame([(1, "end\nsome text"), (2, "end\nother things"), (3, "")], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    assert [tuple(r) for r in queries.op3_line_dedup(spark, str(tmp_path)).collect()] == [(2, 0, 1, 0, True)]
+    assert {r["doc_id"]: r["text"] for r in lines.stage(df).collect()} == {1: "end\nsome text", 2: "other things", 3: ""}
+
+
 # 4
 
 
