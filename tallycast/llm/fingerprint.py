@@ -14,19 +14,32 @@ from tallycast.llm import base
 GRAM, WINDOW = 5, 4
 #: A kept run is one number: its hash without the lowest bits, and there the distance of its position from the end of the range.
 POSITION_BITS = 28
+#: Tokens of more characters are cut into overlapping pieces of so many, one at each character.
+LONG, PIECE = 32, 4
 
 
-def with_fingerprint(rows: DataFrame, text: str, name: str) -> DataFrame:
+def _cut_up(tokens: Column) -> Column:
+    """Tokens without the empty ones, each over LONG characters as its overlapping pieces."""
+    long = lambda x: F.char_length(x) > LONG
+    pieces = lambda x: F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{PIECE}}}))."), F.lit(1))
+    full = F.array_remove(tokens, "")
+    return F.when(F.exists(tokens, long), F.flatten(F.transform(full, lambda x: F.when(long(x), pieces(x)).otherwise(F.array(x))))).otherwise(full)
+
+
+def with_fingerprint(rows: DataFrame, text: str, name: str, by_token: bool = False) -> DataFrame:
     """The rows with a column of kept runs (array of long, in order of position) of their text column.
 
-    Tokens stand between spaces, tabs and line feeds; a text with tokens of over 32 characters on average is cut into
-    pieces of four characters instead. A text with fewer than five tokens has one run, the whole text; one without
+    Tokens stand between spaces, tabs and line feeds. by_token: each token over LONG characters is read as overlapping
+    pieces of four characters, one at each character, whatever the rest of the text is, so that shifts and edits
+    elsewhere keep the hashes; else a text with tokens of over 32 characters on average is cut into pieces of four
+    characters side by side, and shared passages of such texts match only where they are aligned. A text with fewer than five tokens has one run, the whole text; one without
     tokens none. Null counts as empty text.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     spaced = F.split(F.replace(F.replace(whole, F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" ")), " ")
     rows = rows.withColumn("_tokens", spaced)
-    rows = rows.withColumn("_tokens", F.when(F.char_length(whole) > 32 * F.size("_tokens"), F.regexp_extract_all(whole, F.lit("(?s).{1,4}"), F.lit(0))).otherwise(F.array_remove("_tokens", "")))
+    sides = F.when(F.char_length(whole) > 32 * F.size("_tokens"), F.regexp_extract_all(whole, F.lit("(?s).{1,4}"), F.lit(0))).otherwise(F.array_remove("_tokens", ""))
+    rows = rows.withColumn("_tokens", _cut_up(F.col("_tokens")) if by_token else sides)
     rows = rows.withColumn("_hashes", F.transform("_tokens", lambda x: F.xxhash64(x)))
     h, n = F.col("_hashes"), F.size("_hashes")
     low, room = 1 << POSITION_BITS, (1 << POSITION_BITS) - 1
@@ -85,7 +98,7 @@ def edited(docs: DataFrame) -> DataFrame:
 
     The edited text has the last quarter of the code points (rounded down) replaced by as many of the next document's
     first ones, or all it has. fingerprint is the sha256 of the kept runs (hashes with positions); kept are these runs.
-    The likenesses compare hashes. Null counts as empty text. Repeated rows are one document and give repeated results;
+    The likenesses compare hashes. All texts are read by_token. Null counts as empty text. Repeated rows are one document and give repeated results;
     a document alone is its own next.
     """
     rows = base.id_and_text(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -94,12 +107,12 @@ def edited(docs: DataFrame) -> DataFrame:
     order = neighbours(rows)
     order = order.select("doc_id", key("doc_id", "text_hash").alias("own"), F.expr("n_chars div 4").cast("int").alias("cut"), key("next_id", "next_hash").alias("key"))
     rows = rows.select("text", key("doc_id", "text_hash").alias("key"))  # both joins read these columns: texts are moved once
-    theirs = with_fingerprint(rows.join(order, "key"), "text", "next_kept")
+    theirs = with_fingerprint(rows.join(order, "key"), "text", "next_kept", True)
     theirs = theirs.select("doc_id", F.col("own").alias("key"), "cut", F.left("text", "cut").alias("start"), hashes(F.col("next_kept")).alias("next_set"))
     both = rows.join(theirs.groupBy("key").agg(*(F.first(c).alias(c) for c in ("doc_id", "cut", "start", "next_set"))), "key")
     n = F.char_length("text")
     both = both.select("doc_id", "text", n.cast("long").alias("n_chars"), F.concat(F.left("text", n - F.col("cut")), "start").alias("edited"), "next_set")
-    both = with_fingerprint(with_fingerprint(both, "text", "kept"), "edited", "edited_kept")
+    both = with_fingerprint(with_fingerprint(both, "text", "kept", True), "edited", "edited_kept", True)
     both = both.withColumn("own_set", hashes(F.col("kept"))).withColumn("edited_set", hashes(F.col("edited_kept")))
     digest = lambda c: F.sha2(F.array_join(F.col(c).cast("array<string>"), ","), 256)
     return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digest("kept").alias("fingerprint"), digest("edited_kept").alias("edited_fingerprint"), likeness(F.col("own_set"), F.col("edited_set")).alias("near_edited"), likeness(F.col("own_set"), F.col("next_set")).alias("near_next"), "kept")

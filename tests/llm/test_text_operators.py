@@ -506,6 +506,21 @@ def test_fingerprints_native_and_small(spark, none, odd):
     assert fingerprint.edited(odd).count() == odd.count()
 
 
+def test_fingerprints_of_unspaced_texts(spark):
+    rng = np.random.default_rng(9)
+    dense = "".join(chr(0x4E00 + k) for k in rng.integers(0, 3000, 1000))
+    texts = [dense, sentence(51, 80), dense[:300] + "新" + dense[300:], "two words " + dense[:60] + " end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in fingerprint.edited(df).collect()}
+    assert got[0]["near_edited"] > 0.7  # the last quarter is English now
+    rows = fingerprint.with_fingerprint(df, "text", "kept", True).select("doc_id", fingerprint.hashes(F.col("kept")).alias("h")).collect()
+    sets = {r["doc_id"]: set(r["h"]) for r in rows}
+    assert len(sets[0] & sets[2]) > 0.9 * len(sets[0])  # all after the insertion is shifted by one
+    assert len(sets[3] & sets[0]) > 0.7 * len(sets[3])
+    tokens_of = lambda t: [p for w in t.split(" ") for p in ([w[i : i + 4] for i in range(len(w) - 3)] if len(w) > 32 else [w])]
+    assert sets[3] == {v >> 32 for v in winnowed(" ".join(tokens_of(texts[3])))}
+
+
 # pipeline
 
 
