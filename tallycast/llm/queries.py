@@ -57,7 +57,7 @@ def op8_bpe_encode_decode(spark: SparkSession, sf: str) -> DataFrame:
 
 def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that lose something; the others lose nothing."""
-    return substring.deduplicate(_table(spark, sf, "documents")).where("n_removed > 0").drop("kept")
+    return substring.deduplicate(_table(spark, sf, "documents"), copies=True).where("n_removed > 0").drop("kept")
 
 
 def op10_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:

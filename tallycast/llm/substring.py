@@ -133,11 +133,12 @@ def _answer(asked: list[tuple[int, bytes]]) -> list[bytes]:
     return [out[by][a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def deduplicate(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
+def deduplicate(docs: DataFrame, least_run: int = LEAST_RUN, copies: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_chunks, n_removed, n_spans, kept (text), kept_sha256, kept_in of each row.
 
     A chunk is repeated if it stands earlier in the same or another document (ascending doc_id, then any fixed order of
-    rows with equal ids); runs of repeated chunks of least_run bytes or more are removed. kept_in: the documents that
+    rows with equal ids); runs of repeated chunks of least_run bytes or more are removed, and with copies also a shorter
+    run that is the whole document. Bytes of a repeat in the chunks at its two ends do not count. kept_in: the documents that
     hold the kept copies. The earliest copy is never removed. Null counts as empty text, a null doc_id as the smallest.
     Repeated rows repeat each other: all but one lose their chunks. kept is text again where cuts split no character;
     bytes of split characters become replacement characters there, and kept_sha256 is of the bytes.
@@ -163,7 +164,7 @@ def deduplicate(docs: DataFrame, least_run: int = LEAST_RUN) -> DataFrame:
             out = []
             for k, text in enumerate(batch.texts):
                 a, z = first[k], first[k + 1]
-                spans, kept_in = _runs(again[a:z], start[a:z], end[a:z], owner[which[a:z]], least_run)
+                spans, kept_in = _runs(again[a:z], start[a:z], end[a:z], owner[which[a:z]], 0 if copies and again[a:z].all() else least_run)
                 kept = b"".join(text[i:j] for i, j in zip([0, *(j for _, j in spans)], [*(i for i, _ in spans), len(text)], strict=True))
                 doc = int(batch.doc_ids[k])
                 out.append({"doc_id": None if doc == packed.NO_ID else doc, "n_bytes": len(text), "n_chunks": int(z - a), "n_removed": len(text) - len(kept), "n_spans": len(spans), "kept": kept.decode(errors="replace"), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept_in": kept_in})

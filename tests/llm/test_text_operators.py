@@ -435,6 +435,16 @@ def test_substring_brute_force(real):
     assert any(want.values())
 
 
+def test_substring_query_removes_short_copies(spark, tmp_path):
+    from tallycast.llm import queries
+
+    texts = [(1, "a short text"), (2, "a short text"), (3, "a short text, longer"), (4, ""), (5, None), (6, sentence(60, 11)), (7, sentence(60, 11))]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["n_removed"], r["kept_in"]) for r in queries.op9_substring_dedup(spark, str(tmp_path)).collect()}
+    n = len(sentence(60, 11))
+    assert n < substring.LEAST_RUN and got == {2: (12, [1]), 7: (n, [6])}
+
+
 # 10
 
 
