@@ -267,14 +267,17 @@ def classes(docs: DataFrame, threshold: int = 80) -> DataFrame:
 def stage(docs: DataFrame, threshold: int = 80) -> DataFrame:
     """One document of each component with its columns: the one with the smallest doc_id (null first), then text hash.
 
-    Of rows with equal doc_id and text one stays, whatever their other columns. Documents without words are linked with
-    nothing and stay.
+    Of rows with equal doc_id and text one stays, whatever their other columns. Rows without words are linked with
+    nothing and all stay, also with equal or null ids.
     """
     rooted = _rooted(docs, threshold)
     me = F.struct("doc_id", "text_hash").alias("me")
-    kept = rooted.where("root is not null").groupBy("root").agg(F.min(me).alias("me")).select("me").unionAll(rooted.where("root is null").select(me)).distinct()
+    kept = rooted.where("root is not null").groupBy("root").agg(F.min(me).alias("me"))
     name = base.fresh(docs, "row_key")
     key = lambda i, h: F.concat_ws(":", i.cast("string"), h.cast("string"))
-    kept = kept.select(key(F.col("me.doc_id"), F.col("me.text_hash")).alias(name))
-    own = key(F.coalesce(F.col("doc_id").cast("long"), F.lit(packed.NO_ID)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return docs.withColumn(name, own).join(kept, name).dropDuplicates([name]).select(*docs.columns)
+    kept = kept.select(key(F.col("me.doc_id"), F.col("me.text_hash")).alias(name)).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    has_words = text.rlike(r"[^\x20\x09-\x0D]")
+    own = key(F.coalesce(F.col("doc_id").cast("long"), F.lit(packed.NO_ID)), F.xxhash64(text))
+    once = docs.where(has_words).withColumn(name, own).join(kept, name).dropDuplicates([name]).select(*docs.columns)
+    return once.unionAll(docs.where(~has_words))

@@ -290,6 +290,13 @@ def test_jaccard_stage(odd, none):
     assert jaccard.stage(none).count() == 0 and jaccard.classes(none).count() == 0
 
 
+def test_jaccard_stage_keeps_all_rows_without_words(spark):
+    texts = [(None, "", "a"), (None, "", "b"), (None, None, "c"), (3, "", "d"), (3, "", "e"), (3, " \t\n", "f"), (4, "\u00a0", "g"), (4, "\u00a0", "h"), (5, "some words", "i"), (6, "some words", "j")]
+    df = spark.createDataFrame(texts, "doc_id long, text string, key string")
+    kept = sorted(r["key"] for r in jaccard.stage(df).collect())
+    assert kept[:6] == list("abcdef") and kept[7:] == ["i"] and kept[6] in "gh"
+
+
 # 6
 
 
