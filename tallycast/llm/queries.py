@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallycast.llm import bpe, decontaminate, fingerprint, jaccard, language, lines, quality, substring, suffix, tokens
+from tallycast.llm import alignment, bpe, decontaminate, fingerprint, jaccard, language, lines, multi_index, quality, spelling, substring, suffix, tokens
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -64,6 +64,21 @@ def op10_document_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprint.edited(_table(spark, sf, "documents")).drop("kept")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return multi_index.search(_table(spark, sf, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf, "documents"))
+
+
+def op13_cross_tokenizer_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    model = Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
+    return alignment.align(_table(spark, sf, "documents"), _tokenizer("byte_bpe_50k.json"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -77,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe_encode_decode,
         op9_substring_dedup,
         op10_document_fingerprints,
+        op11_nearest_neighbours,
+        op12_spelling_variants,
+        op13_cross_tokenizer_alignment,
     )
 }
 
