@@ -11,6 +11,7 @@ from tallycast.config import EngineConfig, Filters
 from tallycast.forecast import backtest, closed_form, combine, meta, post, profile, report
 from tallycast.forecast.state import series_state
 from tallycast.functions.periods import period_label
+from tallycast.functions.session import cut_lineage
 from tallycast.operators import cleaning, filters, lookups, quality, rollups, series
 from tallycast.plans import forecasting, ingest
 from tallycast.sources import orders, star
@@ -542,15 +543,22 @@ for _method, _name in (("iets", "iets"), ("holt_winters", "holt_winters"), ("ari
     register(f"fc_{_name}", _fitted(_method))
 
 
+@query
+def fc_arima_orders(spark, sf):
+    """The slot arima with the order search over moving-average terms."""
+    wide = combine.all_methods(series_state(indexed(spark, sf)), EngineConfig(ma_terms=True))
+    return rounded(wide.select("series_key", "h", F.col("arima").alias("yhat")), 6, "yhat")
+
+
 @query
 def rolling_origins(spark, sf):
-    return rounded(meta.rolling_origins(indexed(spark, sf)), 6, *meta.FEATURES, "label")
+    return rounded(meta.rolling_origins(cut_lineage(spark, indexed(spark, sf))), 6, *meta.FEATURES, "label")
 
 
 @query
 def fc_meta_learner(spark, sf):
-    idx = indexed(spark, sf)
-    wide = combine.all_methods(series_state(idx), CFG, meta.trained_meta(idx))
+    idx = cut_lineage(spark, indexed(spark, sf))
+    wide = combine.all_methods(series_state(idx), CFG, *meta.trained_metas(idx))
     return rounded(wide.select("series_key", "h", F.col("lightgbm").alias("yhat")), 6, "yhat")
 
 
@@ -609,8 +617,8 @@ register("method_ranking_score", _ranking("score_pct", "intelligent_growth"))
 
 @query
 def backtest_all_methods(spark, sf):
-    idx = indexed(spark, sf)
-    wide = forecasting.wide_forecasts(idx, "holdout", 12, meta=meta.trained_meta(idx, before_holdout=True))
+    idx = cut_lineage(spark, indexed(spark, sf))
+    wide = forecasting.wide_forecasts(idx, "holdout", 12, meta=meta.trained_metas(idx, CFG, meta.before_holdout)[0])
     return rounded(backtest.backtest_metrics(wide).drop("method_ord"), 6, *backtest.METRIC_COLUMNS)
 
 

@@ -6,6 +6,8 @@ closed forms of the engine are checked against the definitions they were derived
 
 from __future__ import annotations
 
+from itertools import product
+
 CLOSED = (
     "croston", "sba", "tsb", "adida", "prophet", "weighted_ma", "ma_benchmark",
     "exponential_trend", "intelligent_growth", "advanced_ensemble", "ensemble",
@@ -120,6 +122,16 @@ def relational() -> dict[str, str]:
     ]
     q["top_performers"] = f"WITH {LINES} " + " UNION ALL ".join(parts)
 
+    # Values of a row in order of the raw column names, from booked date to unit weight.
+    num = lambda x: f"CAST({x} AS DECIMAL(38,9))"
+    shipped, returned = "l_linestatus = 'F'", "l_returnflag = 'R'"
+    values = ("CAST(booked AS DATE)", num("calc"), num(f"CASE WHEN {returned} THEN l_quantity ELSE 0 END"), "cell", "country", "description",
+        "'FACTORY_' || factory", "item_class", num(f"CASE WHEN {shipped} THEN 0 ELSE price END"), "order_number", "system", "item",
+        num("CAST(price * 30 AS DECIMAL(18,2))"), num("qty"), num(f"CASE WHEN {shipped} THEN price ELSE 0 END"),
+        num(f"CASE WHEN {shipped} AND NOT {returned} THEN l_quantity ELSE 0 END"), num("p_size"))
+    line = ", ".join(f"coalesce(CAST({v} AS VARCHAR), '\\N')" for v in values)
+    q["input_fingerprint"] = f"""WITH {RAW} SELECT count(*) AS "rows",
+      CAST(coalesce(sum(CAST('0x' || substr(md5(concat_ws(chr(31), {line})), 1, 15) AS BIGINT)), 0) AS VARCHAR) AS input_hash FROM raw"""
     q["quality_missing"] = f"""WITH {RAW} SELECT count(*) AS total_rows, count(*) FILTER (item IS NULL) AS missing_sku,
       count(*) FILTER (qty IS NULL) AS missing_qty, count(*) FILTER (booked IS NULL) AS missing_date,
       count(*) FILTER (item IS NULL) * 100.0::DOUBLE / count(*) AS missing_sku_pct,
@@ -366,12 +378,12 @@ def paths(horizon: str = "12") -> str:
      ELSE base END, 0) END AS intelligent_growth FROM fc4)"""
 
 
-def advanced(source: str, out: str, members=tuple(WEIGHTS)) -> str:
+def advanced(source: str, out: str, members=tuple(WEIGHTS), weights=WEIGHTS) -> str:
     """CTEs that add the advanced ensemble of some members to ``source`` as ``out``."""
     sds = ", ".join(f"stddev_pop({m}) OVER (PARTITION BY series_key) AS sd_{m}" for m in members)
     vals = ", ".join(f"CASE WHEN sd_{m} >= 1e-6 THEN {m} END" for m in members)
-    num = " + ".join(f"CASE WHEN sd_{m} >= 1e-6 THEN {WEIGHTS[m]}::DOUBLE * {m} ELSE 0 END" for m in members)
-    den = " + ".join(f"CASE WHEN sd_{m} >= 1e-6 THEN {WEIGHTS[m]}::DOUBLE ELSE 0 END" for m in members)
+    num = " + ".join(f"CASE WHEN sd_{m} >= 1e-6 THEN {weights[m]}::DOUBLE * {m} ELSE 0 END" for m in members)
+    den = " + ".join(f"CASE WHEN sd_{m} >= 1e-6 THEN {weights[m]}::DOUBLE ELSE 0 END" for m in members)
     return f"""
  {out}_a AS (SELECT *, {sds} FROM {source}),
  {out}_b AS (SELECT *, list_filter([{vals}], lambda x: x IS NOT NULL) AS good, ({num}) / nullif({den}, 0) AS mean_w FROM {out}_a),
@@ -386,6 +398,107 @@ def all_closed(level: str, kind: str = "full", horizon: str = "12") -> str:
  fc AS (SELECT *, (croston + sba + exp_smoothing) / 3 AS ensemble FROM fc6)"""
 
 
+# --- fitted methods -----------------------------------------------------------------------
+
+# Every parameter set of every series is folded step by step, in a recursive table with a row for each length of the history.
+HOLT = tuple(product((0.05, 0.1, 0.2, 0.3, 0.5), (0.02, 0.1, 0.3), (0.8, 0.9, 0.95, 0.98)))
+WINTERS = tuple(product((0.05, 0.15, 0.3, 0.5), (0.02, 0.1), (0.05, 0.15, 0.3), (0.9, 0.98)))
+
+
+def _grid(points, names: str) -> str:
+    rows = ", ".join("(" + ", ".join([str(i), *(f"{x}::DOUBLE" for x in p)]) + ")" for i, p in enumerate(points))
+    return f"(SELECT * FROM (VALUES {rows}) AS g(g, {names}))"
+
+
+def draw(*keys: str) -> str:
+    """Uniform number in [0, 1): 32 bits of the MD5 of the keys and the seed."""
+    return f"CAST('0x' || substr(md5({' || '.join(f'{k} || chr(124)' for k in keys)} || '42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+def fits(origins: str, horizon: int) -> str:
+    """CTEs ``holt``, ``winters`` and ``ar``: (sid, i, h, yhat) from the first i steps, for the lengths i in ``origins``
+    (a condition on i and n). They read ``obs``."""
+    return f"""
+ ids AS (SELECT series_key, n, CAST(row_number() OVER (ORDER BY series_key) AS INT) AS sid FROM obs GROUP BY series_key, n),
+ st AS (SELECT sid, t, v, n FROM obs JOIN ids USING (series_key, n)),
+ ahead AS (SELECT unnest(range(1, {horizon + 1})) AS h),
+ h0 AS (SELECT sid, n, avg(v) AS m, sum(v * (t - 4.5)) / 82.5::DOUBLE AS b FROM st WHERE t < 10 GROUP BY sid, n),
+ hr AS (SELECT sid, n, g, alpha, alpha * share AS beta, phi, 0 AS i, m - 5.5 * b AS level, b AS slope, 0.0::DOUBLE AS err
+     FROM h0, {_grid(HOLT, 'alpha, share, phi')}
+   UNION ALL SELECT hr.sid, hr.n, g, alpha, beta, phi, i + 1, level + phi * slope + alpha * (v - level - phi * slope),
+     phi * slope + beta * (v - level - phi * slope), err + (v - level - phi * slope) * (v - level - phi * slope)
+     FROM hr JOIN st ON st.sid = hr.sid AND st.t = i),
+ hb AS (SELECT sid, i, min(struct_pack(err := err, g := g, level := level, slope := slope, phi := phi)) AS s FROM hr WHERE {origins} GROUP BY sid, i),
+ holt AS (SELECT sid, i, h, greatest(s.level + s.slope * s.phi * (1 - s.phi ** h) / (1 - s.phi), 0) AS yhat FROM hb, ahead),
+ w0 AS (SELECT sid, n, list(v ORDER BY t) AS c, avg(v) FILTER (t < 12) AS c1, avg(v) FILTER (t >= 12) AS c2 FROM st WHERE t < 24 AND n >= 24 GROUP BY sid, n),
+ wr AS (SELECT sid, n, g, alpha, share, gamma, phi, k, 0 AS i, c1 + k AS level, (c2 - c1) / 12 AS slope, 0.0::DOUBLE AS err,
+     CASE WHEN k = 0 THEN list_transform(range(1, 13), lambda j: (c[j] - c1 + c[j + 12] - c2) / 2)
+       ELSE list_transform(range(1, 13), lambda j: greatest(((c[j] + 1) / greatest(c1 + 1, 1e-9) + (c[j + 12] + 1) / greatest(c2 + 1, 1e-9)) / 2, 0.05)) END AS ring
+     FROM w0, {_grid(WINTERS, 'alpha, share, gamma, phi')}, (SELECT unnest([0, 1]) AS k)
+   UNION ALL SELECT sid, n, g, alpha, share, gamma, phi, k, i, lv, share * (lv - level) + (1 - share) * phi * slope, err + miss * miss,
+     list_append(ring[2:], CASE WHEN k = 0 THEN gamma * (z - lv) + (1 - gamma) * ring[1] ELSE greatest(gamma * z / greatest(lv, 1e-9) + (1 - gamma) * ring[1], 0.05) END)
+     FROM (SELECT *, CASE WHEN k = 0 THEN alpha * (z - ring[1]) + (1 - alpha) * base ELSE alpha * z / ring[1] + (1 - alpha) * base END AS lv,
+         CASE WHEN k = 0 THEN z - base - ring[1] ELSE z - base * ring[1] END AS miss
+       FROM (SELECT wr.* EXCLUDE (i), i + 1 AS i, v + k AS z, CASE WHEN k = 0 THEN level + phi * slope ELSE greatest(level + phi * slope, 1e-9) END AS base
+         FROM wr JOIN st ON st.sid = wr.sid AND st.t = wr.i))),
+ wb AS (SELECT sid, i, k, min(struct_pack(err := err, g := g, level := level, slope := slope, phi := phi, ring := ring)) AS s FROM wr WHERE {origins} GROUP BY sid, i, k),
+ wp AS (SELECT a.sid, a.i, CASE WHEN a.s.err < m.s.err THEN 0 ELSE 1 END AS k, CASE WHEN a.s.err < m.s.err THEN a.s ELSE m.s END AS s
+   FROM wb a JOIN wb m ON a.sid = m.sid AND a.i = m.i AND a.k = 0 AND m.k = 1),
+ winters AS (SELECT sid, i, h, greatest(CASE WHEN k = 0 THEN s.level + s.slope * s.phi * (1 - s.phi ** h) / (1 - s.phi) + s.ring[(h - 1) % 12 + 1]
+     ELSE (s.level + s.slope * s.phi * (1 - s.phi ** h) / (1 - s.phi)) * s.ring[(h - 1) % 12 + 1] - 1 END, 0) AS yhat FROM wp, ahead),
+ d0 AS (SELECT *, coalesce(v - lag(v) OVER w, 0) AS d FROM st WINDOW w AS (PARTITION BY sid ORDER BY t)),
+ d1 AS (SELECT *, lag(d) OVER w AS a, lag(d, 12) OVER w AS b FROM d0 WINDOW w AS (PARTITION BY sid ORDER BY t)),
+ d2 AS (SELECT sid, n, t, v, d, t + 1 AS i, greatest(t - 12, 0) AS cnt, sum(d * d) FILTER (t >= 13) OVER w AS dd, sum(d * a) FILTER (t >= 13) OVER w AS da,
+   sum(d * b) FILTER (t >= 13) OVER w AS db, sum(a * a) FILTER (t >= 13) OVER w AS aa, sum(b * b) FILTER (t >= 13) OVER w AS bb,
+   sum(a * b) FILTER (t >= 13) OVER w AS ab, [{', '.join(f'lag(d, {k}) OVER o' for k in range(11, -1, -1))}] AS past
+   FROM d1 WINDOW w AS (PARTITION BY sid ORDER BY t ROWS UNBOUNDED PRECEDING), o AS (PARTITION BY sid ORDER BY t)),
+ d3 AS (SELECT *, aa * bb - ab * ab AS det, CASE WHEN aa > 1e-9 THEN da / aa ELSE 0 END AS one, CASE WHEN bb > 1e-9 THEN db / bb ELSE 0 END AS twelve
+   FROM d2 WHERE n >= 24 AND {origins}),
+ d4 AS (SELECT *, CASE WHEN det > 1e-9 * greatest(aa * bb, 1e-9) THEN (da * bb - db * ab) / det ELSE 0 END AS p1,
+   CASE WHEN det > 1e-9 * greatest(aa * bb, 1e-9) THEN (db * aa - da * ab) / det ELSE 0 END AS p12 FROM d3),
+ d5 AS (SELECT *, cnt * ln(greatest(dd - 2 * one * da + one * one * aa, 1e-9) / cnt) + 2 AS s1, cnt * ln(greatest(dd - 2 * twelve * db + twelve * twelve * bb, 1e-9) / cnt) + 2 AS s2,
+   cnt * ln(greatest(dd - 2 * (p1 * da + p12 * db) + p1 * p1 * aa + p12 * p12 * bb + 2 * p1 * p12 * ab, 1e-9) / cnt) + 4 AS s3 FROM d4),
+ d6 AS (SELECT sid, i, v, d, past, CASE WHEN s1 <= s2 AND s1 <= s3 THEN one WHEN s2 <= s3 THEN 0 ELSE p1 END AS f1,
+   CASE WHEN s1 <= s2 AND s1 <= s3 THEN 0 WHEN s2 <= s3 THEN twelve ELSE p12 END AS f12 FROM d5),
+ arr AS (SELECT sid, i, 0 AS h, v AS y, d, past, f1, f12 FROM d6
+   UNION ALL SELECT sid, i, h + 1, y + step, step, list_append(past[2:], step), f1, f12
+   FROM (SELECT *, f1 * d + f12 * past[1] AS step FROM arr WHERE h < {horizon})),
+ ar AS (SELECT sid, i, h, greatest(y, 0) AS yhat FROM arr WHERE h > 0)"""
+
+
+def fitted_members() -> str:
+    """All methods at the end of each history, without trees: ``fc`` has a column for each."""
+    es = lambda x: f"CASE WHEN n < 24 THEN exp_smoothing ELSE {x} END"
+    blend = lambda *w: " + ".join(f"{x}::DOUBLE * {m}" for x, m in zip(w, ("holt_winters", "arima", "exp_smoothing", "iets")))
+    members = (*WEIGHTS, "arima", "holt_winters", "lstm", "lightgbm")
+    weights = {**WEIGHTS, "arima": 1.6, "holt_winters": 1.4, "lstm": 1.8, "lightgbm": 1.7}
+    return f"""{observed('item')}, {paths()}, {fits('i = n', 12)},
+ ff0 AS (SELECT fc5.*, CASE WHEN {draw('series_key', 'h')} > nnz::DOUBLE / n THEN 0 ELSE holt.yhat END AS iets, {es('winters.yhat')} AS holt_winters, {es('ar.yhat')} AS arima
+   FROM fc5 JOIN ids USING (series_key, n) JOIN holt USING (sid, h) LEFT JOIN winters USING (sid, h) LEFT JOIN ar USING (sid, h)),
+ ff1 AS (SELECT *, {es(f"greatest({blend(0.35, 0.25, 0.20, 0.20)}, 0)")} AS lstm, {es(blend(0.4, 0.3, 0.2, 0.1))} AS lightgbm FROM ff0),
+ {advanced('ff1', 'ff2', members, weights)}, fc AS (SELECT * FROM ff2)"""
+
+
+def rolling_sql() -> str:
+    """Features and label of every rolling origin; a list of the history is folded at each origin for exponential smoothing."""
+    m = "(holt_winters + arima + exp_smoothing + iets) / 4"
+    return f"""WITH RECURSIVE {observed('item')}, {fits('i BETWEEN 24 AND n - 4', 3)},
+ o0 AS (SELECT series_key, sid, i, list(v ORDER BY t) FILTER (t < i) AS vs, count(*) FILTER (v > 0 AND t < i) AS nnz, avg(v) FILTER (t < i) AS mean_v,
+     avg(v) FILTER (t >= i - 12 AND t < i) AS m12, stddev_pop(v) FILTER (t >= i - 12 AND t < i) AS sd12, avg(v) FILTER (t >= i - 3 AND t < i) AS a3,
+     avg(v) FILTER (t >= i - 6 AND t < i - 3) AS b3, avg(v) FILTER (t >= i - 6 AND t < i) AS last6, list(v ORDER BY t) FILTER (t >= i AND t < i + 3) AS following
+   FROM (SELECT sid, unnest(range(24, n - 3)) AS i FROM ids) JOIN st USING (sid) JOIN ids USING (sid) GROUP BY series_key, sid, i),
+ o1 AS (SELECT *, list_reduce(vs, lambda s, x: (0.3 + 0.2 * exp(-sd12 / (m12 + 1))) * x + (0.7 - 0.2 * exp(-sd12 / (m12 + 1))) * s) AS es, (a3 - b3) / 3 AS tr,
+     CASE WHEN mean_v > 0 THEN mean_v ELSE 1 END AS k FROM o0),
+ o2 AS (SELECT o1.*, h, greatest(es + least(greatest(tr, -0.15 * es), 0.15 * es) * h, 0) AS exp_smoothing, winters.yhat AS holt_winters, ar.yhat AS arima,
+     CASE WHEN {draw('series_key', 'h')} > nnz::DOUBLE / i THEN 0 ELSE holt.yhat END AS iets
+   FROM o1 JOIN holt USING (sid, i) JOIN winters USING (sid, i, h) JOIN ar USING (sid, i, h))
+ SELECT series_key, CAST(i AS INT) AS origin, CAST(h AS INT) AS h, {r('holt_winters / k', 6, 'f_holt_winters')}, {r('arima / k', 6, 'f_arima')},
+   {r('exp_smoothing / k', 6, 'f_exp_smoothing')}, {r('iets / k', 6, 'f_iets')}, {r(f'({m}) / k', 6, 'f_mean')},
+   {r('stddev_pop_of / k', 6, 'f_sd')}, {r('list_median([holt_winters, arima, exp_smoothing, iets]) / k', 6, 'f_median')}, {r('vs[i] / k', 6, 'f_last')},
+   {r('last6 / k', 6, 'f_last6')}, CAST(h - 1 AS DOUBLE) AS f_step, {r('following[h] / k', 6, 'label')}
+ FROM (SELECT *, list_stddev_pop([holt_winters, arima, exp_smoothing, iets]) AS stddev_pop_of FROM o2)"""
+
+
 GROWTH = """CASE WHEN earlier > 0 THEN (recent - earlier) / earlier * 100 WHEN recent = 0 THEN 0 ELSE 100 END AS yoy,
    CASE WHEN n >= 24 AND slope2 > slope1 * 1.5 THEN 'accelerating'
      WHEN n >= 24 AND slope2 < slope1 * 0.5 AND slope > mean_v * 0.01 THEN 'decelerating'
@@ -498,6 +611,9 @@ def forecasting() -> dict[str, str]:
           ORDER BY round({by}, 9) NULLS LAST, ord) AS INT) AS rank FROM metrics {where}) SELECT series_key, rank, method, {shown_by} FROM ranked WHERE rank <= 12"""
     q["forecast_year_totals"] = f"""WITH {finished('item', '24')} SELECT series_key, method, {r('sum(yhat) FILTER (h <= 12)', 4, 'year1_total')},
       {r('sum(yhat) FILTER (h > 12)', 4, 'year2_total')} FROM final GROUP BY series_key, method"""
+    for m, name in (("iets", "iets"), ("holt_winters", "holt_winters"), ("arima", "seasonal_ar"), ("lstm", "fixed_blend"), ("lightgbm", "meta_blend"), ("advanced_ensemble", "advanced_ensemble")):
+        q[f"fc_{name}"] = f"WITH RECURSIVE {fitted_members()} SELECT series_key, CAST(h AS INT) AS h, {r(m, 6, 'yhat')} FROM fc"
+    q["rolling_origins"] = rolling_sql()
     draw = lambda tag: f"CAST('0x' || substr(md5(series_key || '|' || path || '|' || h || '|{tag}|42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
     value = """CASE WHEN hit < len(positives)::DOUBLE / n AND len(positives) > 0
         THEN positives[CAST(floor(pick * len(positives)) AS INT) + 1] * (1 + (noise - 0.5) * 0.4) ELSE 0 END"""

@@ -77,6 +77,8 @@ class EngineConfig:
     #: Patterns that text dates are read with, the first that fits; without any, ISO dates are read.
     date_format: str | tuple[str, ...] | None = None
     seed: int = 42
+    meta_rows: int | None = 600_000  # training rows of the meta-learner, drawn by hash if there are more; None: all
+    ma_terms: bool = False  # the slot arima searches orders with moving-average terms
     align_phase: bool = False
     noise: bool = False
 

@@ -1,4 +1,4 @@
-"""Grid-fitted methods: damped-trend smoothing, Holt-Winters, seasonal autoregression.
+"""Fitted methods: damped-trend smoothing, Holt-Winters, seasonal autoregression with or without moving averages.
 
 These recursions have free parameters, so they have no closed form. Spark hands over
 Arrow batches of series; NumPy runs every (series, parameter set) pair of the batch at
@@ -120,7 +120,7 @@ def holt_winters(y: np.ndarray, due: Due, horizon: int) -> Fit:
                 g = _best(m["error"], rows)
                 path = _damped_path(m["level"][rows, g], m["slope"][rows, g], phi[g], horizon)
                 phase = (t + np.arange(horizon)) % SEASON
-                season = m["season"][rows][np.arange(len(rows))[:, None], phase[None, :], g[:, None]]
+                season = m["season"][rows[:, None], phase[None, :], g[:, None]]
                 paths.append(path * season - m["shift"] if m["times"] else path + season)
                 scores.append(m["error"][rows, g])
             yield rows, t, np.where((scores[0] < scores[1])[:, None], paths[0], paths[1])
@@ -185,7 +185,90 @@ def seasonal_ar(y: np.ndarray, due: Due, horizon: int) -> Fit:
             count += 1
 
 
-_MODELS = {"iets": damped_trend, "holt_winters": holt_winters, "arima": seasonal_ar}
+# Lags of the order search: of the differences, and of their innovations. An order is a set of each.
+VALUE_LAGS, SHOCK_LAGS = (1, 2, SEASON), (1, SEASON)
+LONG_LAGS = (1, 2, SEASON, SEASON + 1)
+VALUE_SETS = ((), (1,), (SEASON,), (1, SEASON), (1, 2), (1, 2, SEASON))
+SHOCK_SETS = ((), (1,), (SEASON,), (1, SEASON))
+_TERMS = [("value", k) for k in VALUE_LAGS] + [("shock", k) for k in SHOCK_LAGS]
+ORDERS = [[_TERMS.index(("value", k)) for k in a] + [_TERMS.index(("shock", k)) for k in b] for a in VALUE_SETS for b in SHOCK_SETS]
+MOST_PERSISTENT = 0.98
+
+
+def _solved(gram: np.ndarray, cross: np.ndarray, ridge: np.ndarray) -> np.ndarray:
+    """Coefficients of least squares for each row, with a share of the mean square of the regressors on the diagonal."""
+    k = gram.shape[-1]
+    scale = np.einsum("...ii->...", gram) / k
+    return np.linalg.solve(gram + (ridge * scale + TINY)[:, None, None] * np.eye(k), cross[..., None])[..., 0]
+
+
+def seasonal_arma(y: np.ndarray, due: Due, horizon: int) -> Fit:
+    """First differences on lags of themselves and of their innovations; the order with the least AICc.
+
+    Two stages of least squares. A long autoregression, solved anew at each step from what came before, predicts the
+    step; what it misses is the step's innovation. All orders are then regressions on differences and innovations, so
+    that running cross-moments of five regressors hold every order at any origin, and a pass is linear in the history.
+    The ridge is one observation's weight for the long autoregression. Differences' coefficients that add up to more
+    than 0.98 in size are scaled down, so paths do not run away.
+    """
+    rows_all, length = y.shape
+    diff = np.diff(y, axis=1, prepend=y[:, :1])
+    shock = np.zeros_like(diff)
+    start, k, m = SEASON + 1, len(_TERMS), len(LONG_LAGS)
+    long_gram, long_cross = np.zeros((rows_all, m, m)), np.zeros((rows_all, m))
+    gram, cross, total = np.zeros((rows_all, k, k)), np.zeros((rows_all, k)), np.zeros(rows_all)
+    count = 0
+
+    def at(a: np.ndarray, t: int, lag: int) -> np.ndarray:
+        return a[:, t - lag] if t >= lag else np.zeros(rows_all)
+
+    for t in range(length + 1):
+        rows = due(t)
+        if len(rows):
+            coefficients, scores = np.zeros((len(ORDERS), len(rows), k)), np.full((len(ORDERS), len(rows)), np.inf)
+            for o, order in enumerate(ORDERS):
+                size = len(order) + 1
+                if order:
+                    g, c = gram[np.ix_(rows, order, order)], cross[np.ix_(rows, order)]
+                    coefficients[o][:, order] = _solved(g, c, np.full(len(rows), 1e-6))
+                if count > size + 1:
+                    b = coefficients[o]
+                    rss = total[rows] - 2 * (b * cross[rows]).sum(1) + np.einsum("ri,rij,rj->r", b, gram[rows], b)
+                    scores[o] = count * np.log(np.maximum(rss, TINY) / count) + 2 * size + 2 * size * (size + 1) / (count - size - 1)
+            b = coefficients[np.argmin(scores, axis=0), np.arange(len(rows))]
+            heavy = np.abs(b[:, : len(VALUE_LAGS)]).sum(1)
+            b[:, : len(VALUE_LAGS)] *= np.where(heavy > MOST_PERSISTENT, MOST_PERSISTENT / np.maximum(heavy, TINY), 1.0)[:, None]
+            past = np.concatenate([np.zeros((len(rows), max(0, SEASON - t))), diff[rows, max(0, t - SEASON) : t]], axis=1)
+            missed = np.concatenate([np.zeros((len(rows), max(0, SEASON - t))), shock[rows, max(0, t - SEASON) : t]], axis=1)
+            path, last = np.empty((len(rows), horizon)), y[rows, t - 1] if t else np.zeros(len(rows))
+            for h in range(horizon):
+                terms = [past[:, -lag] for lag in VALUE_LAGS] + [missed[:, -lag] for lag in SHOCK_LAGS]
+                step = (b * np.stack(terms, axis=1)).sum(1)
+                past = np.concatenate([past[:, 1:], step[:, None]], axis=1)
+                missed = np.concatenate([missed[:, 1:], np.zeros((len(rows), 1))], axis=1)
+                last = last + step
+                path[:, h] = last
+            yield rows, t, path
+        if t == length:
+            return
+        if t >= start:
+            z = np.stack([at(diff, t, lag) for lag in LONG_LAGS], axis=1)
+            shock[:, t] = diff[:, t] - (_solved(long_gram, long_cross, np.full(rows_all, 1 / max(count, 1))) * z).sum(1)
+            long_gram += z[:, :, None] * z[:, None, :]
+            long_cross += z * diff[:, t, None]
+            x = np.stack([at(diff if kind == "value" else shock, t, lag) for kind, lag in _TERMS], axis=1)
+            gram += x[:, :, None] * x[:, None, :]
+            cross += x * diff[:, t, None]
+            total += diff[:, t] ** 2
+            count += 1
+
+
+_MODELS = {"iets": damped_trend, "holt_winters": holt_winters, "arima": seasonal_ar, "arma": seasonal_arma}
+
+
+def _models(ma_terms: bool) -> dict[str, str]:
+    """Method slot -> model that fills it."""
+    return {m: "arma" if m == "arima" and ma_terms else m for m in FITTED}
 
 
 def _padded(y: np.ndarray) -> np.ndarray:
@@ -212,19 +295,20 @@ def _at_end(name: str):
     return F.pandas_udf(fit, T.ArrayType(T.DoubleType()))
 
 
-def fitted_at_end(state: DataFrame) -> DataFrame:
+def fitted_at_end(state: DataFrame, ma_terms: bool = False) -> DataFrame:
     """Add ``fits``: the forecasts of the fitted methods from the end of each row's history.
 
-    Every method is a function of its own, so a query that reads one of them fits one.
+    Every method is a function of its own, so a query that reads one of them fits one. With ``ma_terms`` the slot
+    ``arima`` searches orders with moving-average terms (``seasonal_arma``) instead of three autoregressions.
     """
-    columns = [_at_end(m)("hist_t", "hist_v", "n", "horizon").alias(m) for m in FITTED]
+    columns = [_at_end(model)("hist_t", "hist_v", "n", "horizon").alias(m) for m, model in _models(ma_terms).items()]
     return state.withColumn("fits", F.struct(*columns))
 
 
 ROLLING_SCHEMA = "series_key string, origin int, h int, iets double, holt_winters double, arima double"
 
 
-def _rolling_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _rolling_batches(batches: Iterator[pd.DataFrame], ma_terms: bool = False) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for lo in range(0, len(batch), CHUNK):
             part = batch.iloc[lo : lo + CHUNK]
@@ -236,7 +320,7 @@ def _rolling_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 return np.flatnonzero(t <= last) if t >= ROLLING_START else np.empty(0, dtype=int)
 
             keys = part["series_key"].to_numpy()
-            runs = zip(*(_MODELS[m](y, due, ROLLING_STEPS) for m in FITTED))
+            runs = zip(*(_MODELS[model](y, due, ROLLING_STEPS) for model in _models(ma_terms).values()))
             for found in runs:
                 rows, t, _ = found[0]
                 columns = {m: np.maximum(f[2], 0.0).ravel() for m, f in zip(FITTED, found)}
@@ -250,9 +334,14 @@ def _rolling_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
 
 
-def fitted_rolling(state: DataFrame) -> DataFrame:
-    """Forecasts of the fitted methods at every rolling origin, in one pass per series."""
-    return state.select("series_key", "n", "hist_t", "hist_v").mapInPandas(_rolling_batches, ROLLING_SCHEMA)
+def fitted_rolling(state: DataFrame, ma_terms: bool = False) -> DataFrame:
+    """Forecasts of the fitted methods at every rolling origin, in one pass per series.
+
+    The work is in Python and the rows are small, so they are dealt out by number of tasks, not by size.
+    """
+    tasks = int(state.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = state.select("series_key", "n", "hist_t", "hist_v").repartition(tasks, "series_key")
+    return rows.mapInPandas(lambda batches: _rolling_batches(batches, ma_terms), ROLLING_SCHEMA)
 
 
 # The functions travel to the executors by value, so nothing has to be installed there.

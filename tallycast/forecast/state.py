@@ -30,7 +30,7 @@ def test_size(n: Column) -> Column:
 
 
 def at_origins(indexed: DataFrame, kind: str, horizon: int, cfg: EngineConfig = EngineConfig()) -> DataFrame:
-    """Add ``origin`` and ``horizon``: full history, holdout, or rolling origins."""
+    """Add ``origin`` and ``horizon``: full history or holdout."""
     n = F.col("n")
     full = F.struct(n.cast("int").alias("origin"), F.lit(horizon).alias("horizon"), F.lit(False).alias("holdout"))
     test = test_size(n)
@@ -40,11 +40,6 @@ def at_origins(indexed: DataFrame, kind: str, horizon: int, cfg: EngineConfig =
         return indexed.withColumn("at", full).select("*", "at.*").drop("at")
     if kind == "holdout":
         return indexed.where(enough).withColumn("at", back).select("*", "at.*").drop("at")
-    if kind == "rolling":
-        last = n - ROLLING_STEPS - 1
-        df = indexed.where(last >= ROLLING_START)
-        df = df.select("*", F.explode(F.sequence(F.lit(ROLLING_START), last)).alias("origin"))
-        return df.withColumn("horizon", F.lit(ROLLING_STEPS)).withColumn("holdout", F.lit(False))
     raise ValueError(f"unknown kind of origins {kind!r}")
 
 

@@ -27,9 +27,17 @@ def get_session(app: str = "tallycast", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(spark: SparkSession, df):
-    """Checkpoint in the shared folder of spark.checkpoint.dir; in a folder of its own only where that is unset."""
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Use the shared folder of spark.checkpoint.dir. Where that is unset a local session gets a folder of its own; on a
+    cluster executors would not see such a folder, so it is an error there."""
     if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def cut_lineage(spark: SparkSession, df):
+    """Checkpoint in the shared folder (see ``checkpoint_folder``)."""
+    checkpoint_folder(spark)
     return df.checkpoint()

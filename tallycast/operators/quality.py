@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallycast.config import FEW_ITEMS, LONG_HISTORY_YEARS, MAX_MISSING_PCT, EngineConfig
 from tallycast.functions.columns import clean_code, ratio0, side_by_side
@@ -184,7 +185,22 @@ def quality_rules(checks: DataFrame) -> DataFrame:
     return checks.select(F.inline(F.array(*structs)))
 
 
+def _canonical(df: DataFrame, name: str) -> Column:
+    c, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(kind, T.NumericType):
+        c = c.try_cast("decimal(38,9)")
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        c = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return F.coalesce(c.cast("string"), F.lit("\\N"))
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count and a hash sum of the input that do not depend on row order or partitioning."""
-    h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(28,0)")
+    """Row count and a hash sum of the input that do not depend on row order, column order or partitioning.
+
+    Any tool can recompute it: a row is its values in order of column name with U+001F between them; numbers with nine
+    decimals, dates as yyyy-MM-dd, timestamps with microseconds, nulls as ``\\N``. The first fifteen hexadecimal digits
+    of the row's MD5 are a number, and ``input_hash`` is the sum over all rows.
+    """
+    text = F.concat_ws("\x1f", *[_canonical(df, c) for c in sorted(df.columns)])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(20,0)")
     return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(h), F.lit(0)).cast("string").alias("input_hash"))

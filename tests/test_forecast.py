@@ -190,7 +190,7 @@ def test_meta_learner_sees_only_the_train_part(indexed, monkeypatch):
         return object()
 
     monkeypatch.setattr(meta, "train", spy)
-    meta.trained_meta(indexed.where("series_key = 'wave'"), before_holdout=True)
+    meta.trained_metas(indexed.where("series_key = 'wave'"), CFG, meta.before_holdout)
     assert seen["origins"] == {"wave": 48 - 4}
 
 
