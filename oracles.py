@@ -125,7 +125,7 @@ def relational() -> dict[str, str]:
     # Values of a row in order of the raw column names, from booked date to unit weight.
     num = lambda x: f"CAST({x} AS DECIMAL(38,9))"
     shipped, returned = "l_linestatus = 'F'", "l_returnflag = 'R'"
-    values = ("CAST(booked AS DATE)", num("calc"), num(f"CASE WHEN {returned} THEN l_quantity ELSE 0 END"), "cell", "country", "description",
+    values = ("strftime(booked, '%Y-%m-%d %H:%M:%S.%f')", num("calc"), num(f"CASE WHEN {returned} THEN l_quantity ELSE 0 END"), "cell", "country", "description",
         "'FACTORY_' || factory", "item_class", num(f"CASE WHEN {shipped} THEN 0 ELSE price END"), "order_number", "system", "item",
         num("CAST(price * 30 AS DECIMAL(18,2))"), num("qty"), num(f"CASE WHEN {shipped} THEN price ELSE 0 END"),
         num(f"CASE WHEN {shipped} AND NOT {returned} THEN l_quantity ELSE 0 END"), num("p_size"))
