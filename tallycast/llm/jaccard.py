@@ -5,10 +5,12 @@ them; two sets with a Jaccard of 0.8 share one of their first n - ceil(0.8 n) +
 filtered by size, by what the places of the shared 5-gram leave possible, and by a parity bitmap (the suffix filter: it
 bounds the size of the difference of the sets from below), and what remains is verified once per pair.
 
-For components not every pair is needed. In each group of nodes with a common 5-gram one hub is compared with all
-others, then 16, then 256 and so on until all are hubs; pairs that are connected by then are left out, pairs that were
-compared do not come again. So large groups of near copies are connected by few pairs, and no link between components
-is lost.
+For components not every pair is needed. At first each node is compared with one hub of a single group, that of the
+commonest 5-gram in its prefix, which connects most of a large group by one pair a node. Then in each group of nodes
+with a common 5-gram one hub is compared with all others, then 16, then 256 and so on until all are hubs. Before each
+round the components of all pairs found so far are known: groups whose nodes are all in one are left out, and so are
+pairs of one; pairs that were compared do not come again. Components are merged by the new pairs between them only. So
+large groups of near copies are connected by few pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -139,27 +141,33 @@ def _alike(x: Column, y: Column, n: Column, m: Column, threshold: int) -> Column
     return apart <= n + m - 2 * _need(n, m, threshold)
 
 
-def _candidates(entries: DataFrame, labels: DataFrame | None, hubs: int, before: int, threshold: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of which one is a hub of a common group, of different labels, that pass the filters.
+def _candidates(entries: DataFrame, hubs: int, before: int, threshold: int, last: bool = False) -> DataFrame:
+    """Pairs (a, b) of nodes of which one is a hub of a common group, of different labels, that pass the filters.
 
-    Pairs of which one was a hub before are left out, and so are groups all of whose nodes were.
+    Pairs of which one was a hub before are left out, and so are groups all of whose nodes were. With `last` each node
+    comes with the one hub of the group of its last entry.
     """
     entries = entries.where(F.col("m") > before)
-    if labels is not None:
-        entries = entries.join(labels.withColumnRenamed("x", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    else:
-        entries = entries.withColumn("label", F.col("node"))
 
     def hub(of: str, number: int) -> Column:
         draw = (F.shiftrightunsigned(F.col(f"{of}.u"), 11) / float(1 << 53)) * F.col(f"{of}.m") < number
         return F.lit(False) if not number else (F.col(f"{of}.u") == F.col(f"{of}.least")) | (draw if number > 1 else F.lit(False))
 
-    x, y = entries.alias("x"), entries.alias("y")
+    x, y = entries.alias("x"), (entries.where("last") if last else entries).alias("y")
     new = (~hub("y", hubs) | (F.col("x.node") < F.col("y.node"))) & ~(hub("x", before) | hub("y", before))
     pairs = x.where(hub("x", hubs)).join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & new & _possible("x", "y", threshold) & _alike(*(F.col(c) for c in ("x.signature", "y.signature", "x.n", "y.n")), threshold))
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
 
+def _labelled(entries: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """Entries with the label of their node (the node itself without one), of the groups that have several labels."""
+    if labels is None:
+        return entries.withColumn("label", F.col("node"))
+    named = entries.join(labels.withColumnRenamed("x", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = named.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("h")
+    return base.cut(named.join(mixed, "h", "left_semi"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """a, b, n_shared, n_union of the pairs that are similar."""
 
@@ -183,9 +191,11 @@ def _groups(sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of the groups of two that pass the filters, and the entries of larger groups.
 
     A group is what has a 5-gram in its prefixes. An entry is a row for each of its nodes: h, node, n, place, signature,
+    whether it is the node's last,
     a draw u, and m, least: size and least draw of the group. Groups of two, which most are, come from one aggregate.
     """
-    rows = sets.select("node", "n", F.xxhash64("node").alias("u"), F.inline(F.arrays_zip("hs", "ps"))).withColumnsRenamed({"hs": "h", "ps": "place"})
+    rows = sets.select("node", "n", F.xxhash64("node").alias("u"), F.element_at("ps", -1).alias("end"), F.inline(F.arrays_zip("hs", "ps"))).withColumnsRenamed({"hs": "h", "ps": "place"})
+    rows = rows.withColumn("last", F.col("place") == F.col("end")).drop("end")
     entry, two = F.struct("node", "n", "place"), F.col("m") == 2
     groups = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("u").alias("least"), F.min(entry).alias("x"), F.max(entry).alias("y")).where("m >= 2")
     ends = (F.when(two & _possible("x", "y", threshold), F.col(f"{of}.node")).alias(name) for of, name in (("x", "a"), ("y", "b")))
@@ -215,31 +225,34 @@ def links(sets: DataFrame, threshold: int = 80) -> DataFrame:
     """a, b, n_shared, n_union of all pairs of similar nodes (see nodes), each once."""
     two, entries = _groups(sets, threshold)
     largest = entries.agg(F.max("m")).first()[0] or 1
-    return _verified(two.unionAll(_candidates(entries, None, largest + 1, 0, threshold)), sets, threshold)
+    return _verified(two.unionAll(_candidates(_labelled(entries), largest + 1, 0, threshold)), sets, threshold)
 
 
 def connected(sets: DataFrame, threshold: int = 80) -> DataFrame:
     """x, label of each node that is linked with another, by as few verified pairs as the groups allow."""
     two, entries = _groups(sets, threshold)
     largest = entries.agg(F.max("m")).first()[0] or 1
-    edges = _verified(two.unionAll(_candidates(entries, None, 1, 0, threshold)), sets, threshold)
-    hubs = 1
-    while hubs < largest:
+    labels = components(_verified(two.unionAll(_candidates(_labelled(entries), 1, 0, threshold, last=True)), sets, threshold))
+    hubs, before = 1, 0
+    while before < largest:
+        mixed = _labelled(entries.where(F.col("m") > before), labels)
+        if mixed.isEmpty():
+            break
+        labels = _merged(labels, _verified(_candidates(mixed, hubs, before, threshold), sets, threshold))
         hubs, before = hubs * GROWTH, hubs
-        edges = edges.unionAll(_verified(_candidates(entries, _hub_labels(edges), hubs, before, threshold), sets, threshold))
-    return components(edges)
-
-
-def _hub_labels(edges: DataFrame) -> DataFrame:
-    """x, label of each node with an edge: the neighbour (or itself) that is a hub first, and that one's own label.
-
-    Nodes of one label are connected; connected nodes may still have several, which only makes more pairs be compared.
-    """
-    both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select("b", "a"))
-    first = both.groupBy("x").agg(F.min(F.struct(F.xxhash64("y").alias("u"), "y")).alias("best"))
-    first = base.cut(first.select("x", F.when(F.col("best.u") < F.xxhash64("x"), F.col("best.y")).otherwise(F.col("x")).alias("label")))
-    far = first.select(F.col("x").alias("label"), F.col("label").alias("far"))
-    return first.join(far, "label").select("x", F.col("far").alias("label"))
+    return labels
+
+
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels of all nodes after pairs (a, b) were found besides those that gave `labels`."""
+    if found.isEmpty():
+        return labels
+    ends = found.select("a", "b")
+    alone = ends.select(F.col("a").alias("x")).unionAll(ends.select("b"))
+    every = base.cut(labels.unionAll(alone.select("x", F.col("x").alias("label"))).groupBy("x").agg(F.min("label").alias("label")))
+    between = ends.join(every.toDF("a", "la"), "a").join(every.toDF("b", "lb"), "b").where("la != lb")
+    onward = components(between.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    return base.cut(every.join(onward.toDF("label", "far"), "label", "left").select("x", F.coalesce("far", "label").alias("label")))
 
 
 def _rooted(docs: DataFrame, threshold: int) -> DataFrame:

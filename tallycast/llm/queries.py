@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return suffix.repeats(_table(spark, sf, "documents")).drop("spans", "kept")
+    return suffix.repeats(_table(spark, sf, "documents"), columns=("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"))
 
 
 def op2_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:

@@ -210,8 +210,16 @@ def _doubtful(text: bytes, first: np.ndarray, n: np.ndarray, length: int) -> tup
     return tuple(np.concatenate([np.zeros(0, t), *x]) for x, t in zip(out, (np.int64, np.uint64, np.uint64), strict=True))
 
 
-def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end in bytes), kept (binary) of each row.
+COLUMNS = {
+    "doc_id": (pa.int64(), "long"), "n_bytes": (pa.int64(), "long"), "n_removed": (pa.int64(), "long"), "n_spans": (pa.int64(), "long"),
+    "kept_sha256": (pa.string(), "string"), "spans": (pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), "array<struct<start:long,end:long>>"),
+    "kept": (pa.binary(), "binary"),
+}
+
+
+def repeats(docs: DataFrame, length: int = 200, columns: Iterable[str] = tuple(COLUMNS)) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start and end in bytes), kept (binary) of each row, or
+    those of them in `columns`; what is not asked for is not built.
 
     Removed is every byte under a string of `length` bytes (128 or more) that also starts anywhere else in the rows,
     the same text included; overlapping strings count, and strings are judged on the input. Matches never cross
@@ -286,13 +294,16 @@ def repeats(docs: DataFrame, length: int = 200) -> DataFrame:
                 spans = list(zip(turn[::2], turn[1::2], strict=True))
                 kept = b"".join(x[i:j] for i, j in zip([0, *turn[1::2]], [*turn[::2], len(x)], strict=True))
                 low += len(x)
-                out.append({"doc_id": None if doc == packed.NO_ID else doc, "n_bytes": len(x), "n_removed": len(x) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "spans": [{"start": i, "end": j} for i, j in spans], "kept": kept})
-            yield pa.RecordBatch.from_pylist(out, shape)
+                row_out = {"doc_id": None if doc == packed.NO_ID else doc, "n_bytes": len(x), "n_removed": len(x) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept}
+                if "spans" in shape.names:
+                    row_out["spans"] = [{"start": i, "end": j} for i, j in spans]
+                out.append(row_out)
+            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in shape], schema=shape)
 
-    shape = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+    shape = pa.schema([(c, COLUMNS[c][0]) for c in COLUMNS if c in set(columns)])
     known = packed.ask(rows, suffixes, _answer(False), buckets)
     known = base.cut(known.mapInArrow(judged, "batch long, sure binary, other binary").repartition(n_parts, "batch"))
     known = packed.ask(known, around, _answer(False, True), buckets, ("other",), bodies=False)
     known = base.cut(known.mapInArrow(divided, "batch long, sure binary, doubt binary").repartition(n_parts, "batch"))
     found = packed.ask(rows.join(known, "batch"), doubtful, _answer(True), buckets, ("doubt",))
-    return found.mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary")
+    return found.mapInArrow(removed, ", ".join(f"{c} {COLUMNS[c][1]}" for c in shape.names))
