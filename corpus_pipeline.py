@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pathlib import Path
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tallycast.llm import bpe, decontaminate, jaccard, lines, quality, tokens
@@ -32,8 +31,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_encode_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens and digests of ids and decoded text."""
+    import public_tokenizers
+
     tokenizer = Path(public_tokenizers.path("word_bpe_49k.json")).read_text(encoding="utf-8")
-    return bpe.encode(docs, tokenizer).drop("decoded")
+    return bpe.encode(docs, tokenizer, ("doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"))
 
 
 STAGES = [
