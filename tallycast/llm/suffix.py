@@ -20,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from tallycast.llm import base, packed
@@ -231,14 +232,23 @@ def repeats(docs: DataFrame, length: int = 200, columns: Iterable[str] = tuple(C
     n_parts, spark = rows.rdd.getNumPartitions(), docs.sparkSession
     buckets = base.tasks(spark, packed.megabytes(rows), 100)
 
-    def suffixes(batch: packed.Batch, _: dict) -> tuple[np.ndarray, np.ndarray]:
-        key, around, _, _ = _runs(batch.texts, length)
-        array = _sorted(key, around, False)
+    def kept(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        small = zstandard.ZstdCompressor(level=3)
+        for row in packed.rows_of(batches):
+            key, around, first, n = _runs(packed.opened(row).texts, length)
+            spans = small.compress(np.diff(first, prepend=0).astype("<u4").tobytes() + n.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([row["batch"]], pa.int64()), pa.array([key.tobytes() + around.tobytes()], pa.binary()), pa.array([spans], pa.binary())], ["batch", "hashes", "spans"])
+
+    def suffixes(_: None, row: dict) -> tuple[np.ndarray, np.ndarray]:
+        array = _sorted(*np.frombuffer(row["hashes"], np.uint64).reshape(2, -1), False)
         return array, array["a"]
 
     def judged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wide = zstandard.ZstdDecompressor()
         for row in packed.rows_of(batches):
-            key, around, first, n = _runs(packed.opened(row).texts, length)
+            key, around = np.frombuffer(row["hashes"], np.uint64).reshape(2, -1)
+            first, n = np.frombuffer(wide.decompress(row["spans"]), "<u4").reshape(2, -1)
+            first = np.cumsum(first, dtype=np.int64)
             array = _sorted(key, around, False)
             bits = _bits(row["replies"], array, buckets)[np.searchsorted(array["a"], key)] > 0
             runs = np.rec.fromarrays([first, n, around], dtype=_RUN)
@@ -292,16 +302,18 @@ def repeats(docs: DataFrame, length: int = 200, columns: Iterable[str] = tuple(C
                 own = gone[low : low + len(x)]
                 turn = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0])))).tolist()
                 spans = list(zip(turn[::2], turn[1::2], strict=True))
-                kept = b"".join(x[i:j] for i, j in zip([0, *turn[1::2]], [*turn[::2], len(x)], strict=True))
+                left = b"".join(x[i:j] for i, j in zip([0, *turn[1::2]], [*turn[::2], len(x)], strict=True))
                 low += len(x)
-                row_out = {"doc_id": None if doc == packed.NO_ID else doc, "n_bytes": len(x), "n_removed": len(x) - len(kept), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "kept": kept}
+                row_out = {"doc_id": None if doc == packed.NO_ID else doc, "n_bytes": len(x), "n_removed": len(x) - len(left), "n_spans": len(spans), "kept_sha256": hashlib.sha256(left).hexdigest(), "kept": left}
                 if "spans" in shape.names:
                     row_out["spans"] = [{"start": i, "end": j} for i, j in spans]
                 out.append(row_out)
             yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in shape], schema=shape)
 
     shape = pa.schema([(c, COLUMNS[c][0]) for c in COLUMNS if c in set(columns)])
-    known = packed.ask(rows, suffixes, _answer(False), buckets)
+    # Runs are computed and moved once: questions and replies read one exchange.
+    runs = rows.mapInArrow(kept, "batch long, hashes binary, spans binary").repartition(n_parts, "batch")
+    known = packed.ask(runs, suffixes, _answer(False), buckets, ("hashes", "spans"), bodies=False)
     known = base.cut(known.mapInArrow(judged, "batch long, sure binary, other binary").repartition(n_parts, "batch"))
     known = packed.ask(known, around, _answer(False, True), buckets, ("other",), bodies=False)
     known = base.cut(known.mapInArrow(divided, "batch long, sure binary, doubt binary").repartition(n_parts, "batch"))
