@@ -7,16 +7,17 @@ bounds the size of the difference of the sets from below), and what remains is v
 
 For components not every pair is needed. At first each node is compared with one hub of a single group, that of the
 commonest 5-gram in its prefix, which connects most of a large group by one pair a node. Then in each group of nodes
-with a common 5-gram one hub is compared with all others, then 16, then 256 and so on until all are hubs. Before each
-round the components of all pairs found so far are known: groups whose nodes are all in one are left out, and so are
-pairs of one; pairs that were compared do not come again. Components are merged by the new pairs between them only. So
-large groups of near copies are connected by few pairs, and no link between components is lost.
+with a common 5-gram one hub is compared with all others, then 16, then 256 and so on until all are hubs. Nodes have
+the label of their component of the first pairs, led on by later pairs; groups whose nodes all have one label are left
+out, and so are pairs of one label; pairs that were compared do not come again. So large groups of near copies are
+connected by few pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -232,27 +233,40 @@ def connected(sets: DataFrame, threshold: int = 80) -> DataFrame:
     """x, label of each node that is linked with another, by as few verified pairs as the groups allow."""
     two, entries = _groups(sets, threshold)
     largest = entries.agg(F.max("m")).first()[0] or 1
-    labels = components(_verified(two.unionAll(_candidates(_labelled(entries), 1, 0, threshold, last=True)), sets, threshold))
+    first = components(_verified(two.unionAll(_candidates(_labelled(entries), 1, 0, threshold, last=True)), sets, threshold))
+    labels, later = first, []
     hubs, before = 1, 0
     while before < largest:
         mixed = _labelled(entries.where(F.col("m") > before), labels)
         if mixed.isEmpty():
             break
-        labels = _merged(labels, _verified(_candidates(mixed, hubs, before, threshold), sets, threshold))
+        found = _verified(_candidates(mixed, hubs, before, threshold), sets, threshold)
+        if not found.isEmpty():
+            labels, between = _hooked(labels, found.select("a", "b"))
+            later.append(between)
         hubs, before = hubs * GROWTH, hubs
-    return labels
-
-
-def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """Labels of all nodes after pairs (a, b) were found besides those that gave `labels`."""
-    if found.isEmpty():
-        return labels
-    ends = found.select("a", "b")
-    alone = ends.select(F.col("a").alias("x")).unionAll(ends.select("b"))
-    every = base.cut(labels.unionAll(alone.select("x", F.col("x").alias("label"))).groupBy("x").agg(F.min("label").alias("label")))
-    between = ends.join(every.toDF("a", "la"), "a").join(every.toDF("b", "lb"), "b").where("la != lb")
-    onward = components(between.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
-    return base.cut(every.join(onward.toDF("label", "far"), "label", "left").select("x", F.coalesce("far", "label").alias("label")))
+    if not later:
+        return first
+    between = reduce(DataFrame.unionAll, later)
+    onward = components(between)
+    alone = onward.select("x", F.col("x").alias("label")).join(first, "x", "left_anti")
+    return first.unionAll(alone).join(onward.toDF("label", "far"), "label", "left").select("x", F.coalesce("far", "label").alias("label"))
+
+
+def _hooked(labels: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels after new pairs (a, b), and the distinct pairs of labels that they connect.
+
+    A label is led to the least of its neighbours, and that one's neighbour, only: labels of one component may stay
+    apart, which makes more pairs be compared. The components are finished at the end, once.
+    """
+    alone = pairs.select(F.col("a").alias("x")).unionAll(pairs.select("b")).distinct()
+    every = base.cut(labels.unionAll(alone.join(labels, "x", "left_anti").select("x", F.col("x").alias("label"))))
+    between = pairs.join(every.toDF("a", "la"), "a").join(every.toDF("b", "lb"), "b").where("la != lb")
+    between = base.cut(between.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    both = between.select(F.col("a").alias("label"), F.col("b").alias("near")).unionAll(between.select("b", "a"))
+    hook = base.cut(both.groupBy("label").agg(F.min("near").alias("near")).select("label", F.least("label", "near").alias("near")))
+    hook = hook.join(hook.toDF("near", "far"), "near").select("label", "far")
+    return base.cut(every.join(hook, "label", "left").select("x", F.coalesce("far", "label").alias("label"))), between
 
 
 def _rooted(docs: DataFrame, threshold: int) -> DataFrame:
