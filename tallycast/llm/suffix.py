@@ -313,9 +313,9 @@ def repeats(docs: DataFrame, length: int = 200, columns: Iterable[str] = tuple(C
     shape = pa.schema([(c, COLUMNS[c][0]) for c in COLUMNS if c in set(columns)])
     # Runs are computed and moved once: questions and replies read one exchange.
     runs = rows.mapInArrow(kept, "batch long, hashes binary, spans binary").repartition(n_parts, "batch")
-    known = packed.ask(runs, suffixes, _answer(False), buckets, ("hashes", "spans"), bodies=False)
+    known = packed.ask(runs, suffixes, _answer(False), buckets, ("hashes", "spans"), bodies=False, planes=_SUFFIX.itemsize)
     known = base.cut(known.mapInArrow(judged, "batch long, sure binary, other binary").repartition(n_parts, "batch"))
-    known = packed.ask(known, around, _answer(False, True), buckets, ("other",), bodies=False)
+    known = packed.ask(known, around, _answer(False, True), buckets, ("other",), bodies=False, planes=_SUFFIX.itemsize)
     known = base.cut(known.mapInArrow(divided, "batch long, sure binary, doubt binary").repartition(n_parts, "batch"))
-    found = packed.ask(rows.join(known, "batch"), doubtful, _answer(True), buckets, ("doubt",))
+    found = packed.ask(rows.join(known, "batch"), doubtful, _answer(True), buckets, ("doubt",), planes=_SUFFIX.itemsize)
     return found.mapInArrow(removed, ", ".join(f"{c} {COLUMNS[c][1]}" for c in shape.names))
