@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallycast.config import EngineConfig, Filters
-from tallycast.forecast import backtest, closed_form, combine, meta, post, profile, report
+from tallycast.forecast import backtest, changepoints, closed_form, combine, meta, post, profile, report
 from tallycast.forecast.state import series_state
 from tallycast.functions.periods import period_label
 from tallycast.functions.session import cut_lineage
@@ -550,6 +550,27 @@ def fc_arima_orders(spark, sf):
     return rounded(wide.select("series_key", "h", F.col("arima").alias("yhat")), 6, "yhat")
 
 
+def _change_points(level: str) -> Query:
+    """The slot prophet with change points and harmonics."""
+
+    def run(spark, sf):
+        cfg = EngineConfig(change_points=True)
+        return rounded(closed_form.forecast(series_state(indexed(spark, sf, level)), "prophet", cfg).drop("method"), 4, "yhat")
+
+    return run
+
+
+def _trend_segments(level: str) -> Query:
+    return lambda spark, sf: rounded(
+        rounded(changepoints.trend_segments(series_state(indexed(spark, sf, level))), 6, "from_step"), 4, "slope"
+    )
+
+
+for _l in ("item", "cell"):
+    register(f"fc_change_points_{_l}", _change_points(_l))
+    register(f"trend_segments_{_l}", _trend_segments(_l))
+
+
 @query
 def rolling_origins(spark, sf):
     return rounded(meta.rolling_origins(cut_lineage(spark, indexed(spark, sf))), 6, *meta.FEATURES, "label")

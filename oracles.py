@@ -466,6 +466,41 @@ def fits(origins: str, horizon: int) -> str:
  ar AS (SELECT sid, i, h, greatest(y, 0) AS yhat FROM arr WHERE h > 0)"""
 
 
+def bend(j: int, x: str) -> str:
+    return f"greatest({x} - {j + 1} * 0.8::DOUBLE / 6, 0)"
+
+
+def basis_value(t: str, x: str) -> str:
+    """Value of basis function i at step t, where x is t as a share of the history."""
+    rows = [f"WHEN i = 0 THEN 1 WHEN i = 1 THEN {x}", *(f"WHEN i = {2 + j} THEN {bend(j, x)}" for j in range(6))]
+    rows += [f"WHEN i = {8 + 2 * k + s} THEN {f}({k + 1} * pi() * ({t} % 12) / 6)" for k in range(3) for s, f in enumerate(("cos", "sin"))]
+    return f"CASE {' '.join(rows)} END"
+
+
+def change_points(level: str) -> str:
+    """CTEs ``coef`` (series_key, n, i, c) of the ridge regression on the basis: the inverse of the normal equations of every
+    length and branch by Gauss-Jordan, a step for each of the 14 columns. Unused columns are zero, with 1 on the diagonal."""
+    off = "(lam = 0 AND i BETWEEN 1 AND 7 OR n < 24 AND i >= 8)"
+    steps = "".join(
+        f""" g{k + 1} AS MATERIALIZED (SELECT g.n, g.lam, g.i, g.j, CASE WHEN g.i = {k} THEN g.val / p.val ELSE g.val - r.val / p.val * c.val END AS val
+   FROM g{k} g JOIN g{k} r ON r.n = g.n AND r.lam = g.lam AND r.i = g.i AND r.j = {k} JOIN g{k} c ON c.n = g.n AND c.lam = g.lam AND c.i = {k} AND c.j = g.j
+   JOIN g{k} p ON p.n = g.n AND p.lam = g.lam AND p.i = {k} AND p.j = {k}),
+"""
+        for k in range(14)
+    )
+    return f"""{observed(level)}, {STATS},
+ br AS (SELECT series_key, n, CASE WHEN (m12 - f12) / (f12 + 1) > 0.5 THEN 0.25::DOUBLE WHEN (m12 - f12) / (f12 + 1) < -0.3 THEN 0 ELSE 1 END AS lam FROM s0),
+ cols AS (SELECT unnest(range(14)) AS i),
+ kx AS MATERIALIZED (SELECT n, lam, t, i, CASE WHEN {off} THEN 0 ELSE {basis_value('t', '(t::DOUBLE / (n - 1))')} END AS b
+   FROM (SELECT n, lam, unnest(range(n)) AS t FROM (SELECT DISTINCT n, lam FROM br)), cols),
+ g0 AS MATERIALIZED (SELECT a.n, a.lam, a.i, c.i AS j, sum(a.b * c.b) + CASE WHEN a.i <> c.i THEN 0 WHEN any_value(a.lam) = 0 AND a.i BETWEEN 1 AND 7
+     OR any_value(a.n) < 24 AND a.i >= 8 THEN 1 WHEN a.i >= 8 THEN (0.05::DOUBLE / 15) ** 2 WHEN a.i >= 2 THEN a.lam ELSE 0 END AS val
+   FROM kx a JOIN kx c USING (n, lam, t) GROUP BY a.n, a.lam, a.i, c.i
+   UNION ALL SELECT n, lam, i, j + 14, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END FROM (SELECT DISTINCT n, lam FROM br), cols, (SELECT i AS j FROM cols)),
+{steps} rhs AS (SELECT series_key, n, lam, i, sum(b * v) AS s FROM obs JOIN br USING (series_key, n) JOIN kx USING (n, lam, t) GROUP BY ALL),
+ coef AS (SELECT series_key, rhs.n, rhs.lam, g.i, sum(g.val * s) AS c FROM rhs JOIN g14 g ON g.n = rhs.n AND g.lam = rhs.lam AND g.j = rhs.i + 14 GROUP BY ALL)"""
+
+
 def fitted_members() -> str:
     """All methods at the end of each history, without trees: ``fc`` has a column for each."""
     es = lambda x: f"CASE WHEN n < 24 THEN exp_smoothing ELSE {x} END"
@@ -614,6 +649,14 @@ def forecasting() -> dict[str, str]:
     for m, name in (("iets", "iets"), ("holt_winters", "holt_winters"), ("arima", "seasonal_ar"), ("lstm", "fixed_blend"), ("lightgbm", "meta_blend"), ("advanced_ensemble", "advanced_ensemble")):
         q[f"fc_{name}"] = f"WITH RECURSIVE {fitted_members()} SELECT series_key, CAST(h AS INT) AS h, {r(m, 6, 'yhat')} FROM fc"
     q["rolling_origins"] = rolling_sql()
+    for level in ("item", "cell"):
+        q[f"fc_change_points_{level}"] = f"""WITH {change_points(level)}, ahead AS (SELECT unnest(range(1, 13)) AS h)
+          SELECT series_key, CAST(h AS INT) AS h, {r(f"greatest(sum(c * {basis_value('(n + h - 1)', '((n + h - 1)::DOUBLE / (n - 1))')}), 0)", 4, 'yhat')}
+          FROM coef, ahead GROUP BY series_key, h"""
+        q[f"trend_segments_{level}"] = f"""WITH {change_points(level)} SELECT series_key,
+            CASE lam WHEN 0 THEN 'flat' WHEN 0.25 THEN 'changing' ELSE 'linear' END AS branch, CAST(i - 1 AS INT) AS segment,
+            {r('0.8::DOUBLE / 6 * (i - 1) * (n - 1)', 6, 'from_step')},
+            {r('sum(c) OVER (PARTITION BY series_key ORDER BY i) / (n - 1)', 4, 'slope')} FROM coef WHERE i BETWEEN 1 AND 7"""
     draw = lambda tag: f"CAST('0x' || substr(md5(series_key || '|' || path || '|' || h || '|{tag}|42'), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
     value = """CASE WHEN hit < len(positives)::DOUBLE / n AND len(positives) > 0
         THEN positives[CAST(floor(pick * len(positives)) AS INT) + 1] * (1 + (noise - 0.5) * 0.4) ELSE 0 END"""

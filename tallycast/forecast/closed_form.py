@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallycast.config import EngineConfig
+from tallycast.forecast.changepoints import trend_expression, with_trend_basis
 from tallycast.forecast.profile import line_slope, season_at, with_season
-from tallycast.forecast.state import ADIDA_LEVELS, PROB_KEEP, SEASON, SIZE_ALPHA, SIZE_KEEP, WMA_WINDOW
+from tallycast.forecast.state import ADIDA_LEVELS, HINGES, PROB_KEEP, SEASON, SIZE_ALPHA, SIZE_KEEP, WMA_WINDOW
 from tallycast.functions.columns import add
 
 
@@ -19,8 +20,10 @@ def _clip(x: str, lo: str, hi: str) -> str:
     return f"least(greatest({x}, {lo}), {hi})"
 
 
-def levels(state: DataFrame) -> DataFrame:
+def levels(state: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Add the per-series levels, trends and coefficients of the closed-form methods."""
+    if cfg.change_points:
+        state = with_trend_basis(state).drop("trend_branch")
     keep = f"pow({SIZE_KEEP}D, updates)"
     df = add(
         with_season(state),
@@ -49,6 +52,7 @@ def levels(state: DataFrame) -> DataFrame:
     # Narrow rows keep the later stages cheap to plan and to sort.
     used = [f"phase_{kind}{i}" for kind in ("pos", "nnz", "all") for i in range(SEASON)]
     used += [f"adida{level}" for level in ADIDA_LEVELS]
+    used += [f"hinge{j}" for j in range(HINGES)]
     used += ["size_sum", "gap_sum", "prob_sum", "wma_sum", "wma_recent", "wma_earlier", "wma_ratio", "wma_drift"]
     used += ["log_sum", "log_x_sum", "first12", "prev3", "mean_pos", "updates", "gap", "win", "var_pos"]
     return _log_line(_straight_line(df)).drop(*used)
@@ -102,7 +106,7 @@ def _straight_line(df: DataFrame) -> DataFrame:
     return add(df, {"residual": f"array({', '.join(residuals)})"})
 
 
-def _expressions(align_phase: bool) -> dict[str, str]:
+def _expressions(align_phase: bool, change_points: bool = False) -> dict[str, str]:
     phase = f"CAST(({'n + ' if align_phase else ''}h - 1) % {SEASON} AS INT)"
     season = season_at(phase)
     es = "greatest(es_level + if(n >= 6, es_trend * h, 0D), 0D)"
@@ -119,7 +123,7 @@ def _expressions(align_phase: bool) -> dict[str, str]:
         "exponential_trend": f"CASE WHEN n < 6 THEN mean_v WHEN min_v <= -1 THEN {es}"
         f" ELSE greatest({grown} * {damp} + mean_v * (1 - {damp}), 0D) END",
         # slot of the trend-and-season method
-        "prophet": "greatest(line_start + line_slope * (n + h - 1)"
+        "prophet": trend_expression() if change_points else "greatest(line_start + line_slope * (n + h - 1)"
         f" + get(residual, CAST((n + h - 1) % {SEASON} AS INT)), 0D)",
     }
 
@@ -130,12 +134,12 @@ GROWTH_BASE = "0.5D * croston + 0.3D * sba + 0.2D * tsb"
 
 def expression(method: str, cfg: EngineConfig = EngineConfig()) -> str:
     """SQL of one closed-form method at step ``h``."""
-    return _expressions(cfg.align_phase)[method]
+    return _expressions(cfg.align_phase, cfg.change_points)[method]
 
 
 def with_closed_forms(wide: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Add all closed-form methods to rows of steps."""
-    return add(wide, _expressions(cfg.align_phase))
+    return add(wide, _expressions(cfg.align_phase, cfg.change_points))
 
 
 def steps(df: DataFrame) -> DataFrame:
@@ -145,5 +149,5 @@ def steps(df: DataFrame) -> DataFrame:
 
 def forecast(state: DataFrame, method: str, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """One closed-form method as ``(series_key, method, h, yhat)``."""
-    rows = steps(levels(state))
+    rows = steps(levels(state, cfg))
     return rows.selectExpr("series_key", f"'{method}' AS method", "h", f"{expression(method, cfg)} AS yhat")

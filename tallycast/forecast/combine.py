@@ -165,14 +165,14 @@ CLOSED = tuple(m for m in METHODS if m not in (*FITTED, "lstm", "lightgbm"))
 
 def closed_methods(state: DataFrame, cfg: EngineConfig = EngineConfig()) -> DataFrame:
     """Every method that stays in the JVM; the ensembles use the closed-form members only."""
-    df = with_intelligent_growth(with_closed_forms(steps(levels(state)), cfg))
+    df = with_intelligent_growth(with_closed_forms(steps(levels(state, cfg)), cfg))
     return with_ensemble(with_advanced_ensemble(df, members=CLOSED))
 
 
 def all_methods(state: DataFrame, cfg: EngineConfig = EngineConfig(), meta=None) -> DataFrame:
     """Every method at every step. ``meta`` is a function that adds the slot ``lightgbm``."""
     # Spark does not know that the Python stage keeps rows in their partitions.
-    df = by_series(fitted_at_end(levels(state), cfg.ma_terms))
+    df = by_series(fitted_at_end(levels(state, cfg), cfg.ma_terms))
     df = with_closed_forms(steps(df), cfg)
     df = with_fixed_blend(with_fitted(df, cfg))
     df = with_short_meta(df) if meta is None else meta(df)

@@ -22,6 +22,12 @@ SIZE_ALPHA = 0.25
 PROB_ALPHA = 0.15
 ADIDA_LEVELS = (1, 2, 3, 4)
 ROLLING_START, ROLLING_STEPS = 24, 3
+HINGES = 6  # change points a trend may have
+
+
+def hinge_at(j: int) -> float:
+    """Place of a change point as a share of the history: evenly over its first 80 %."""
+    return 0.8 * (j + 1) / HINGES
 
 
 def test_size(n: Column) -> Column:
@@ -152,6 +158,8 @@ def _aggregates() -> dict[str, str]:
     for level in ADIDA_LEVELS:
         ends = f"floor(n / {level})"
         aggs[f"adida{level}"] = _sum("v", f"t >= greatest({ends} - 3, 0) * {level} AND t < {ends} * {level}")
+    for j in range(HINGES):
+        aggs[f"hinge{j}"] = _sum(f"greatest(t - {hinge_at(j)!r}D * (n - 1), 0D) * v")
     for i in range(SEASON):
         aggs[f"last12_{i}"] = _sum("v", f"t = n - {SEASON - i}")
         aggs[f"phase_pos{i}"] = _sum("v", f"t % {SEASON} = {i} AND v > 0")
