@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallycast.config import EngineConfig, Filters
-from tallycast.forecast import backtest, changepoints, closed_form, combine, meta, post, profile, report
+from tallycast.forecast import backtest, changepoints, closed_form, combine, meta, post, profile, reconcile, report
 from tallycast.forecast.state import series_state
 from tallycast.functions.periods import period_label
 from tallycast.functions.session import cut_lineage
@@ -588,6 +588,27 @@ def bootstrap_paths(spark, sf):
     return rounded(report.bootstrap(series_state(indexed(spark, sf)), paths=5), 6, "yhat")
 
 
+# --- forecasts that add up ---------------------------------------------------------------
+
+
+def _reconciled(dims: tuple[str, ...], variance: str) -> Query:
+    def run(spark, sf):
+        df = lines(spark, sf, *dims, "booked_date", "qty")
+        return rounded(reconcile.reconciled_forecasts(df, dims, "ma_benchmark", variance=variance), 6, "yhat", "value")
+
+    return run
+
+
+register("reconciled_cell_item", _reconciled(("cell", "sku"), "level"))
+register("reconciled_cell_item_naive", _reconciled(("cell", "sku"), "naive"))
+register("reconciled_country_system", _reconciled(("country", "system"), "level"))
+
+
+@query
+def node_series_cell_item(spark, sf):
+    return reconcile.node_series(lines(spark, sf, "cell", "sku", "booked_date", "qty"), ("cell", "sku"))
+
+
 # --- backtest and report ----------------------------------------------------------------
 
 

@@ -501,6 +501,36 @@ def change_points(level: str) -> str:
  coef AS (SELECT series_key, rhs.n, rhs.lam, g.i, sum(g.val * s) AS c FROM rhs JOIN g14 g ON g.n = rhs.n AND g.lam = rhs.lam AND g.j = rhs.i + 14 GROUP BY ALL)"""
 
 
+def nodes(dims: tuple[str, str]) -> str:
+    """CTE ``node``: monthly sums of the total, of the first dimension, and of the pairs."""
+    a, b = dims
+    month = "date_trunc('month', booked_date)::DATE AS period_start, CAST(sum(qty) AS DOUBLE) AS value FROM lines GROUP BY ALL"
+    return f"""{LINES}, node AS (SELECT 0 AS depth, '[]' AS series_key, CAST(NULL AS VARCHAR) AS parent, {month}
+   UNION ALL SELECT 1, '["' || {a} || '"]', '[]', {month}
+   UNION ALL SELECT 2, '["' || {a} || '","' || {b} || '"]', '["' || {a} || '"]', {month})"""
+
+
+def reconciled(dims: tuple[str, str], variance: str) -> str:
+    """Means of the last three months of every node, made to add up by solving for the tree from the Lagrange conditions:
+    each parent's multiplier shifts it and its children in proportion to their variances. With q the variance of a middle node,
+    s that of its children in sum and g the gap between it and them, its multiplier is (q * top - g) / (q + s)."""
+    return f"""WITH {nodes(dims)},
+ span AS (SELECT series_key, depth, parent, unnest(generate_series(min(period_start)::TIMESTAMP, (SELECT max(period_start) FROM node)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS period_start
+   FROM node GROUP BY series_key, depth, parent),
+ obs AS (SELECT s.series_key, s.depth, s.parent, coalesce(value, 0) AS v, row_number() OVER (PARTITION BY s.series_key ORDER BY period_start DESC) AS back,
+   abs(coalesce(value, 0) - lag(coalesce(value, 0)) OVER (PARTITION BY s.series_key ORDER BY period_start)) AS d FROM span s LEFT JOIN node USING (series_key, period_start)),
+ base AS (SELECT series_key, depth, parent, CASE WHEN count(*) < 3 THEN avg(v) ELSE greatest(avg(v) FILTER (back <= 3), 0) END AS y,
+   greatest({'abs(avg(v))' if variance == 'level' else 'coalesce(avg(d), 0) ** 2'}, 1e-6) AS q FROM obs GROUP BY ALL),
+ kids AS (SELECT parent AS series_key, sum(y) AS ky, sum(q) AS s FROM base WHERE depth = 2 GROUP BY parent),
+ mid AS (SELECT series_key, y, q, s, y - ky AS g FROM base JOIN kids USING (series_key) WHERE depth = 1),
+ top AS (SELECT any_value(b.y) AS y, any_value(b.q) AS q, (any_value(b.y) - sum(m.y - m.q * m.g / (m.q + m.s))) / (any_value(b.q) + sum(m.q * m.s / (m.q + m.s))) AS l
+   FROM base b, mid m WHERE b.depth = 0),
+ mult AS (SELECT series_key, (g + q * l) / (q + s) AS l FROM mid, (SELECT l FROM top)),
+ fixed AS (SELECT b.depth, b.series_key, b.parent, b.y, CASE b.depth WHEN 0 THEN b.y - b.q * top.l WHEN 1 THEN b.y + b.q * top.l - b.q * own.l ELSE b.y + b.q * up.l END AS value
+   FROM base b CROSS JOIN top LEFT JOIN mult own ON own.series_key = b.series_key LEFT JOIN mult up ON up.series_key = b.parent)
+ SELECT depth, series_key, parent, CAST(h AS INT) AS h, {r('y', 6, 'yhat')}, {r('value', 6, 'value')} FROM fixed, (SELECT unnest(range(1, 13)) AS h)"""
+
+
 def fitted_members() -> str:
     """All methods at the end of each history, without trees: ``fc`` has a column for each."""
     es = lambda x: f"CASE WHEN n < 24 THEN exp_smoothing ELSE {x} END"
@@ -649,6 +679,10 @@ def forecasting() -> dict[str, str]:
     for m, name in (("iets", "iets"), ("holt_winters", "holt_winters"), ("arima", "seasonal_ar"), ("lstm", "fixed_blend"), ("lightgbm", "meta_blend"), ("advanced_ensemble", "advanced_ensemble")):
         q[f"fc_{name}"] = f"WITH RECURSIVE {fitted_members()} SELECT series_key, CAST(h AS INT) AS h, {r(m, 6, 'yhat')} FROM fc"
     q["rolling_origins"] = rolling_sql()
+    q["node_series_cell_item"] = f"WITH {nodes(('cell', 'sku'))} SELECT * FROM node"
+    q["reconciled_cell_item"] = reconciled(("cell", "sku"), "level")
+    q["reconciled_cell_item_naive"] = reconciled(("cell", "sku"), "naive")
+    q["reconciled_country_system"] = reconciled(("country", "system"), "level")
     for level in ("item", "cell"):
         q[f"fc_change_points_{level}"] = f"""WITH {change_points(level)}, ahead AS (SELECT unnest(range(1, 13)) AS h)
           SELECT series_key, CAST(h AS INT) AS h, {r(f"greatest(sum(c * {basis_value('(n + h - 1)', '((n + h - 1)::DOUBLE / (n - 1))')}), 0)", 4, 'yhat')}
