@@ -12,7 +12,7 @@ from tallycast.forecast import backtest, changepoints, closed_form, combine, met
 from tallycast.forecast.state import series_state
 from tallycast.functions.periods import period_label
 from tallycast.functions.session import cut_lineage
-from tallycast.operators import cleaning, filters, lookups, quality, rollups, series
+from tallycast.operators import cleaning, filters, lookups, mergeable, quality, rollups, series
 from tallycast.plans import forecasting, ingest
 from tallycast.sources import orders, star
 
@@ -392,6 +392,28 @@ for _name, _spec in FILTERS.items():
     register(_name, _filtered(_spec))
 
 
+# --- views as mergeable states -----------------------------------------------------------
+
+
+def _rolled_up(dim: str) -> Query:
+    """Years of a dimension rolled up from states by month, with exact numbers of items beside the estimates."""
+
+    def run(spark, sf):
+        df = lines(spark, sf, "sku", dim, "system", "period_month", "qty", "usd_amount")
+        measures, year = ("qty", "usd_amount"), F.year("period_month").alias("year")
+        rows = mergeable.merged(mergeable.states(df, (dim, "system"), measures), (dim, year), measures)
+        exact = df.groupBy(F.col(dim).alias("member"), year.alias("of_year")).agg(F.countDistinct("sku").alias("exact_items"))
+        both = mergeable.shown(rows, measures).join(exact, F.col(dim).eqNullSafe(F.col("member")) & (F.col("year") == F.col("of_year")))
+        near = F.abs(F.col("items") - F.col("exact_items")) <= mergeable.items_bound() * F.col("exact_items")
+        return both.select(dim, "year", "n_lines", *measures, "exact_items", near.alias("items_within_bound"))
+
+    return run
+
+
+register("rolled_up_country_year", _rolled_up("country"))
+register("rolled_up_cell_year", _rolled_up("cell"))
+
+
 # --- series and profiles ----------------------------------------------------------------
 
 

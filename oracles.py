@@ -679,6 +679,9 @@ def forecasting() -> dict[str, str]:
     for m, name in (("iets", "iets"), ("holt_winters", "holt_winters"), ("arima", "seasonal_ar"), ("lstm", "fixed_blend"), ("lightgbm", "meta_blend"), ("advanced_ensemble", "advanced_ensemble")):
         q[f"fc_{name}"] = f"WITH RECURSIVE {fitted_members()} SELECT series_key, CAST(h AS INT) AS h, {r(m, 6, 'yhat')} FROM fc"
     q["rolling_origins"] = rolling_sql()
+    for dim in ("country", "cell"):
+        q[f"rolled_up_{dim}_year"] = f"""WITH {LINES} SELECT {dim}, CAST(year(booked_date) AS INT) AS year, count(*) AS n_lines, {sums(('qty', 'usd_amount'))},
+          count(DISTINCT sku) AS exact_items, TRUE AS items_within_bound FROM lines GROUP BY 1, 2"""
     q["node_series_cell_item"] = f"WITH {nodes(('cell', 'sku'))} SELECT * FROM node"
     q["reconciled_cell_item"] = reconciled(("cell", "sku"), "level")
     q["reconciled_cell_item_naive"] = reconciled(("cell", "sku"), "naive")
