@@ -33,7 +33,7 @@ def as_read(c: Column) -> Column:
 def states(lines: DataFrame, dims: tuple[str, ...], measures: tuple[str, ...] = VIEW_MEASURES, bits: int = SKETCH_BITS) -> DataFrame:
     """State rows ``(dims, period_month, n_lines, measures, items)`` of a set of lines.
 
-    Sums are DECIMAL with twelve places, which are the same in any order and stay so when merged; a value beyond 10^16
+    Sums are DECIMAL with twelve places (values are read as by ``exact_sum``), which are the same in any order and stay so when merged; a value beyond 10^16
     raises. ``items`` is a sketch of ``sku``, of about 2^bits bytes at most and built on the map side, so a member that owns a
     third of the lines is one row a task. Null items and null measures count nothing, as in SQL.
     """
