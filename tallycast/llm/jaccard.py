@@ -5,10 +5,15 @@ them; two sets with a Jaccard of 0.8 share one of their first n - ceil(0.8 n) +
 filtered by size, by what the places of the shared 5-gram leave possible, and by a parity bitmap (the suffix filter: it
 bounds the size of the difference of the sets from below), and what remains is verified once per pair.
 
+A pair comes in the group of the first 5-gram that both prefixes have. Each entry knows the few 5-grams before its own,
+and two entries with one of those in common are left to that group; so a pair comes once for each run of common
+5-grams, and never less than once.
+
 For components not every pair is needed. In each group of nodes with a common 5-gram one hub is compared with all
 others, then 16, then 256 and so on until all are hubs; pairs that are connected by then are left out, pairs that were
-compared do not come again. So large groups of near copies are connected by few pairs, and no link between components
-is lost.
+compared do not come again. After each round the graph is contracted: nodes get the label of a neighbour, and links
+are kept between labels, each once. So large groups of near copies are connected by few pairs, and no link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 from tallycast.llm import base, packed
 
 GROWTH = 16
+BEFORE = 4  # 5-grams of the prefix before its own that an entry carries
 _SIGNATURE = 512
 _RECORD = np.dtype([("key", "<u4"), ("n", "u1")])
 
@@ -140,7 +146,7 @@ def _alike(x: Column, y: Column, n: Column, m: Column, threshold: int) -> Column
 
 
 def _candidates(entries: DataFrame, labels: DataFrame | None, hubs: int, before: int, threshold: int) -> DataFrame:
-    """Distinct pairs (a, b) of nodes of which one is a hub of a common group, of different labels, that pass the filters.
+    """Pairs (a, b) of nodes of which one is a hub of their first common group, of different labels, that pass the filters.
 
     Pairs of which one was a hub before are left out, and so are groups all of whose nodes were.
     """
@@ -156,6 +162,7 @@ def _candidates(entries: DataFrame, labels: DataFrame | None, hubs: int, before:
 
     x, y = entries.alias("x"), entries.alias("y")
     new = (~hub("y", hubs) | (F.col("x.node") < F.col("y.node"))) & ~(hub("x", before) | hub("y", before))
+    new &= ~F.arrays_overlap("x.earlier", "y.earlier")
     pairs = x.where(hub("x", hubs)).join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & new & _possible("x", "y", threshold) & _alike(*(F.col(c) for c in ("x.signature", "y.signature", "x.n", "y.n")), threshold))
     return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
@@ -183,18 +190,22 @@ def _groups(sets: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) of the groups of two that pass the filters, and the entries of larger groups.
 
     A group is what has a 5-gram in its prefixes. An entry is a row for each of its nodes: h, node, n, place, signature,
-    a draw u, and m, least: size and least draw of the group. Groups of two, which most are, come from one aggregate.
+    a draw u, earlier (the shared 5-grams just before h in the node's prefix), and m, least: size and least draw of the
+    group. Groups of two, which most are, come from one aggregate.
     """
-    rows = sets.select("node", "n", F.xxhash64("node").alias("u"), F.inline(F.arrays_zip("hs", "ps"))).withColumnsRenamed({"hs": "h", "ps": "place"})
+    rows = sets.select("node", "n", F.xxhash64("node").alias("u"), F.posexplode(F.arrays_zip("hs", "ps")).alias("i", "e"))
+    rows = rows.select("node", "n", "u", "i", F.col("e.hs").alias("h"), F.col("e.ps").alias("place"))
     entry, two = F.struct("node", "n", "place"), F.col("m") == 2
     groups = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("u").alias("least"), F.min(entry).alias("x"), F.max(entry).alias("y")).where("m >= 2")
     ends = (F.when(two & _possible("x", "y", threshold), F.col(f"{of}.node")).alias(name) for of, name in (("x", "a"), ("y", "b")))
     groups = base.cut(groups.select("h", "m", "least", *ends).where("m > 2 or a is not null"))
-    bits = sets.select("node", "signature")
+    own = sets.select("node", "signature", "hs")
+    earlier = F.slice("hs", F.greatest(F.col("i") - BEFORE + 1, F.lit(1)), F.least("i", F.lit(BEFORE))).alias("earlier")
     full = sets.select("node", "signature", "n")
     pairs = groups.where(two).select("a", "b").distinct().join(full.toDF("a", "sa", "na"), "a").join(full.toDF("b", "sb", "nb"), "b")
     pairs = pairs.where(_alike(F.col("sa"), F.col("sb"), F.col("na"), F.col("nb"), threshold)).select("a", "b")
-    return pairs, base.cut(rows.join(groups.where("m > 2").select("h", "m", "least"), "h").join(bits, "node"))
+    entries = rows.join(groups.where("m > 2").select("h", "m", "least"), "h").join(own, "node")
+    return pairs, base.cut(entries.select("h", "node", "n", "u", "place", "m", "least", "signature", earlier))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -222,24 +233,43 @@ def connected(sets: DataFrame, threshold: int = 80) -> DataFrame:
     """x, label of each node that is linked with another, by as few verified pairs as the groups allow."""
     two, entries = _groups(sets, threshold)
     largest = entries.agg(F.max("m")).first()[0] or 1
-    edges = _verified(two.unionAll(_candidates(entries, None, 1, 0, threshold)), sets, threshold)
+    edges = _verified(two.unionAll(_candidates(entries, None, 1, 0, threshold)), sets, threshold).select("a", "b")
+    labels, edges = _contracted(None, edges)
     hubs = 1
     while hubs < largest:
         hubs, before = hubs * GROWTH, hubs
-        edges = edges.unionAll(_verified(_candidates(entries, _hub_labels(edges), hubs, before, threshold), sets, threshold))
-    return components(edges)
+        found = _verified(_candidates(entries, labels, hubs, before, threshold), sets, threshold).select("a", "b")
+        labels, edges = _contracted(labels, edges.unionAll(found))
+    ends = components(_relabelled(edges, labels)).toDF("label", "end")
+    return labels.join(ends, "label", "left").select("x", F.coalesce("end", "label").alias("label"))
+
+
+def _relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """Edges (a, b) between the labels of their ends, each once, a < b; what has no label is its own."""
+    for end in ("a", "b"):
+        edges = edges.join(labels.toDF(end, "label"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    return edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _hub_labels(edges: DataFrame) -> DataFrame:
-    """x, label of each node with an edge: the neighbour (or itself) that is a hub first, and that one's own label.
+def _contracted(labels: DataFrame | None, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels (x, label) after another step over the edges, and the edges between the labels of before.
 
-    Nodes of one label are connected; connected nodes may still have several, which only makes more pairs be compared.
+    Each label goes to its neighbour with the least draw, if that is less than its own, and on to that one's, if it ends
+    there; else it stays. So a label is always its own label, and what it has led to is connected. Labels that are
+    connected may stay apart, which only makes more pairs be compared.
     """
+    edges = edges if labels is None else base.cut(_relabelled(edges, labels))
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select("b", "a"))
-    first = both.groupBy("x").agg(F.min(F.struct(F.xxhash64("y").alias("u"), "y")).alias("best"))
-    first = base.cut(first.select("x", F.when(F.col("best.u") < F.xxhash64("x"), F.col("best.y")).otherwise(F.col("x")).alias("label")))
-    far = first.select(F.col("x").alias("label"), F.col("label").alias("far"))
-    return first.join(far, "label").select("x", F.col("far").alias("label"))
+    near = both.groupBy("x").agg(F.min(F.struct(F.xxhash64("y").alias("u"), "y")).alias("best"))
+    near = base.cut(near.select("x", F.when(F.col("best.u") < F.xxhash64("x"), F.col("best.y")).otherwise(F.col("x")).alias("to")))
+    step = near.toDF("to", "next")
+    two = near.join(step, "to").select("x", F.col("next").alias("to")).join(step, "to")
+    moved = two.select("x", F.when(F.col("next") == F.col("to"), F.col("to")).otherwise(F.col("x")).alias("label"))
+    if labels is None:
+        return base.cut(moved), edges
+    moved = moved.toDF("label", "new")
+    known = labels.unionAll(moved.select(F.col("label").alias("x"), "label")).distinct()
+    return base.cut(known.join(moved, "label", "left").select("x", F.coalesce("new", "label").alias("label"))), edges
 
 
 def _rooted(docs: DataFrame, threshold: int) -> DataFrame:
