@@ -152,7 +152,7 @@ def _candidates(entries: DataFrame, labels: DataFrame | None, hubs: int, before:
     """
     entries = entries.where(F.col("m") > before)
     if labels is not None:
-        entries = entries.join(labels.withColumnRenamed("x", "node"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        entries = entries.join(labels.withColumnRenamed("x", "node").hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
     else:
         entries = entries.withColumn("label", F.col("node"))
 
@@ -213,10 +213,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = base.cut(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select("b", "a")))
     labels = base.cut(both.groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("label")))
     while True:
-        spread = both.join(labels.withColumnRenamed("x", "y"), "y").groupBy("x").agg(F.min("label").alias("near"))
-        new = labels.join(spread, "x").select("x", F.col("label").alias("was"), F.least("label", "near").alias("label"))
+        spread = both.join(labels.withColumnRenamed("x", "y").hint("merge"), "y").groupBy("x").agg(F.min("label").alias("near"))
+        new = labels.join(spread.hint("merge"), "x").select("x", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("x").alias("label"), F.col("label").alias("far"))
-        new = base.cut(new.join(jump, "label").select("x", "was", F.least("label", "far").alias("label")))
+        new = base.cut(new.join(jump.hint("merge"), "label").select("x", "was", F.least("label", "far").alias("label")))
         if new.where("label != was").isEmpty():
             return labels
         labels = new.drop("was")
@@ -241,13 +241,13 @@ def connected(sets: DataFrame, threshold: int = 80) -> DataFrame:
         found = _verified(_candidates(entries, labels, hubs, before, threshold), sets, threshold).select("a", "b")
         labels, edges = _contracted(labels, edges.unionAll(found))
     ends = components(_relabelled(edges, labels)).toDF("label", "end")
-    return labels.join(ends, "label", "left").select("x", F.coalesce("end", "label").alias("label"))
+    return labels.join(ends.hint("merge"), "label", "left").select("x", F.coalesce("end", "label").alias("label"))
 
 
 def _relabelled(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """Edges (a, b) between the labels of their ends, each once, a < b; what has no label is its own."""
     for end in ("a", "b"):
-        edges = edges.join(labels.toDF(end, "label"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+        edges = edges.join(labels.toDF(end, "label").hint("merge"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
     return edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -256,20 +256,21 @@ def _contracted(labels: DataFrame | None, edges: DataFrame) -> tuple[DataFrame,
 
     Each label goes to its neighbour with the least draw, if that is less than its own, and on to that one's, if it ends
     there; else it stays. So a label is always its own label, and what it has led to is connected. Labels that are
-    connected may stay apart, which only makes more pairs be compared.
+    connected may stay apart, which only makes more pairs be compared. Labels grow with the documents, so joins with them
+    are merge joins: nothing is broadcast from the driver.
     """
     edges = edges if labels is None else base.cut(_relabelled(edges, labels))
     both = edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select("b", "a"))
     near = both.groupBy("x").agg(F.min(F.struct(F.xxhash64("y").alias("u"), "y")).alias("best"))
-    near = base.cut(near.select("x", F.when(F.col("best.u") < F.xxhash64("x"), F.col("best.y")).otherwise(F.col("x")).alias("to")))
-    step = near.toDF("to", "next")
+    near = near.select("x", F.when(F.col("best.u") < F.xxhash64("x"), F.col("best.y")).otherwise(F.col("x")).alias("to"))
+    step = near.toDF("to", "next").hint("merge")
     two = near.join(step, "to").select("x", F.col("next").alias("to")).join(step, "to")
     moved = two.select("x", F.when(F.col("next") == F.col("to"), F.col("to")).otherwise(F.col("x")).alias("label"))
     if labels is None:
         return base.cut(moved), edges
     moved = moved.toDF("label", "new")
     known = labels.unionAll(moved.select(F.col("label").alias("x"), "label")).distinct()
-    return base.cut(known.join(moved, "label", "left").select("x", F.coalesce("new", "label").alias("label"))), edges
+    return base.cut(known.join(moved.hint("merge"), "label", "left").select("x", F.coalesce("new", "label").alias("label"))), edges
 
 
 def _rooted(docs: DataFrame, threshold: int) -> DataFrame:
