@@ -572,6 +572,13 @@ def fc_arima_orders(spark, sf):
     return rounded(wide.select("series_key", "h", F.col("arima").alias("yhat")), 6, "yhat")
 
 
+@query
+def fc_smoothing_family(spark, sf):
+    """The slot iets with form and kind of error chosen by AICc and refined gains."""
+    wide = combine.all_methods(series_state(indexed(spark, sf)), EngineConfig(smoothing_family=True))
+    return rounded(wide.select("series_key", "h", F.col("iets").alias("yhat")), 4, "yhat")
+
+
 def _change_points(level: str) -> Query:
     """The slot prophet with change points and harmonics."""
 

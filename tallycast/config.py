@@ -79,6 +79,7 @@ class EngineConfig:
     seed: int = 42
     meta_rows: int | None = 600_000  # training rows of the meta-learner, drawn by hash if there are more; None: all
     ma_terms: bool = False  # the slot arima searches orders with moving-average terms
+    smoothing_family: bool = False  # the slot iets chooses trend, season and kind of error by AICc and refines its gains
     change_points: bool = False  # the slot prophet is a trend with change points and a season of harmonics
     align_phase: bool = False
     noise: bool = False

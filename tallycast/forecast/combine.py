@@ -172,7 +172,7 @@ def closed_methods(state: DataFrame, cfg: EngineConfig = EngineConfig()) -> Data
 def all_methods(state: DataFrame, cfg: EngineConfig = EngineConfig(), meta=None) -> DataFrame:
     """Every method at every step. ``meta`` is a function that adds the slot ``lightgbm``."""
     # Spark does not know that the Python stage keeps rows in their partitions.
-    df = by_series(fitted_at_end(levels(state, cfg), cfg.ma_terms))
+    df = by_series(fitted_at_end(levels(state, cfg), cfg.ma_terms, cfg.smoothing_family))
     df = with_closed_forms(steps(df), cfg)
     df = with_fixed_blend(with_fitted(df, cfg))
     df = with_short_meta(df) if meta is None else meta(df)

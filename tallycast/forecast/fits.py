@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallycast.forecast.smoothing import smoothing_family
 from tallycast.forecast.state import ROLLING_START, ROLLING_STEPS, SEASON
 
 FITTED = ("iets", "holt_winters", "arima")
@@ -263,12 +264,12 @@ def seasonal_arma(y: np.ndarray, due: Due, horizon: int) -> Fit:
             count += 1
 
 
-_MODELS = {"iets": damped_trend, "holt_winters": holt_winters, "arima": seasonal_ar, "arma": seasonal_arma}
+_MODELS = {"iets": damped_trend, "holt_winters": holt_winters, "arima": seasonal_ar, "arma": seasonal_arma, "family": smoothing_family}
 
 
-def _models(ma_terms: bool) -> dict[str, str]:
+def _models(ma_terms: bool, family: bool = False) -> dict[str, str]:
     """Method slot -> model that fills it."""
-    return {m: "arma" if m == "arima" and ma_terms else m for m in FITTED}
+    return {"iets": "family" if family else "iets", "holt_winters": "holt_winters", "arima": "arma" if ma_terms else "arima"}
 
 
 def _padded(y: np.ndarray) -> np.ndarray:
@@ -295,13 +296,14 @@ def _at_end(name: str):
     return F.pandas_udf(fit, T.ArrayType(T.DoubleType()))
 
 
-def fitted_at_end(state: DataFrame, ma_terms: bool = False) -> DataFrame:
+def fitted_at_end(state: DataFrame, ma_terms: bool = False, family: bool = False) -> DataFrame:
     """Add ``fits``: the forecasts of the fitted methods from the end of each row's history.
 
     Every method is a function of its own, so a query that reads one of them fits one. With ``ma_terms`` the slot
-    ``arima`` searches orders with moving-average terms (``seasonal_arma``) instead of three autoregressions.
+    ``arima`` searches orders with moving-average terms (``seasonal_arma``) instead of three autoregressions; with ``family`` the slot
+    ``iets`` is ``smoothing_family`` instead of damped trends of a grid.
     """
-    columns = [_at_end(model)("hist_t", "hist_v", "n", "horizon").alias(m) for m, model in _models(ma_terms).items()]
+    columns = [_at_end(model)("hist_t", "hist_v", "n", "horizon").alias(m) for m, model in _models(ma_terms, family).items()]
     return state.withColumn("fits", F.struct(*columns))
 
 
