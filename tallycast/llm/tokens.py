@@ -141,6 +141,14 @@ class Pieces:
         return self.pool[_spread(self.low[place], n)], out[first[1:]] - out[first[:-1]]
 
 
+def shared_pieces(kept: dict) -> Pieces:
+    """The table of pieces of a Python worker. ``kept`` is a broadcast value, which outlives a task: the worker's next tasks
+    find the pieces they have in common with earlier ones."""
+    if "pieces" not in kept:
+        kept["pieces"] = Pieces(kept["tokenizer"])
+    return kept["pieces"]
+
+
 def _spread(low: np.ndarray, n: np.ndarray) -> np.ndarray:
     """The numbers from each low on, n of them."""
     out = np.concatenate(([0], np.cumsum(n)))
@@ -157,12 +165,12 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     spark = docs.sparkSession
     parsed = json.loads(tokenizer)
     top = max([*parsed["model"]["vocab"].values(), *(t["id"] for t in parsed["added_tokens"]), end_id])
-    width, sent = max(1, int(top).bit_length()), spark.sparkContext.broadcast(tokenizer)
+    width, sent = max(1, int(top).bit_length()), spark.sparkContext.broadcast({"tokenizer": tokenizer})
     rows = base.id_and_text(docs)
     mb = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / 1e6
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, before, pieces = TaskContext.get().partitionId(), 0, 0, Pieces(sent.value)
+        part, block, before, pieces = TaskContext.get().partitionId(), 0, 0, shared_pieces(sent.value)
         for b in batches:
             texts, doc_ids = base.texts_of(b.column(1)), b.column(0).to_pylist()
             for i, j in base.blocks(texts):
