@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallycast.functions.session import input_bytes
 from tallycast.operators import series
@@ -44,3 +45,25 @@ def test_lines_of_large_input_are_spread_before_they_are_summed(spark, lines, mo
     sizes = series.spread_lines(lines, "sku", "booked_date", "qty").rdd.glom().map(len).collect()
     assert len(sizes) == least_tasks(spark) and max(sizes) <= 20
     assert sorted(spread.collect(), key=str) == sorted(here.collect(), key=str)
+
+
+def test_sums_of_large_input_are_not_merged_into_few_tasks(spark, lines, monkeypatch):
+    monkeypatch.setattr(series, "LINE_BYTES", 1)
+    rows = build_series(lines, "item", "qty")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    # Lines are dealt, their sums are dealt; nothing is left for Spark to merge by its bytes.
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+    assert rows.rdd.getNumPartitions() == series.series_tasks(lines)
+
+
+@pytest.mark.parametrize("level", ["item", "prime"])
+@pytest.mark.parametrize("freq", ["M", "Y", "W"])
+def test_sums_in_deals_are_the_sums(spark, lines, tmp_path, monkeypatch, freq, level):
+    odd = lines.withColumn("item_category", F.when(F.col("qty") > 3, "Prime")).withColumn(
+        "qty", F.when(F.col("qty") == 5, None).when(F.col("qty") == 7, -0.1).otherwise(F.col("qty") + 1e-7)
+    )
+    odd.unionAll(odd).write.parquet(str(tmp_path / "odd"))
+    odd = spark.read.parquet(str(tmp_path / "odd"))
+    here = build_series(odd, level, "qty", freq).collect()
+    monkeypatch.setattr(series, "LINE_BYTES", 1)
+    assert sorted(build_series(odd, level, "qty", freq).collect(), key=str) == sorted(here, key=str)
