@@ -128,13 +128,32 @@ def with_calendar(df: DataFrame) -> DataFrame:
     )
 
 
+# Parts that the lines of an item are dealt into.
+DEALS = 16
+
+
+def dealt_lines(df: DataFrame) -> DataFrame:
+    """Lines with their ``deal``, shuffled by item and deal: lines to merge meet, and items can be joined where these lie.
+
+    The deal depends on the other keys, so an item that owns a large part of the lines is spread over many tasks. Lines go
+    into the shuffle as they are; hardly any are merged before, and three sums for each measure would be twice as wide.
+    """
+    other = [c for c in LINE_KEYS if c in df.columns and c != "sku"]
+    return df.withColumn("deal", F.pmod(F.hash(*other), F.lit(DEALS))).repartition("sku", "deal")
+
+
+def dealt_items(items: DataFrame) -> DataFrame:
+    """A row of each item for each deal."""
+    return items.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+
+
 def merge_splits(df: DataFrame) -> DataFrame:
     """Sum the measures of lines that agree in every key; missing keys form groups too.
 
     The calendar columns and the item category depend on these keys, so they stay out
-    of the shuffle and are added to the merged rows.
+    of the shuffle and are added to the merged rows. Lines that are dealt keep their deal and are merged where they lie.
     """
-    keys = [c for c in LINE_KEYS if c in df.columns]
+    keys = [c for c in (*LINE_KEYS, "deal") if c in df.columns]
     sums = [exact_sum(m).alias(m) for m in MEASURES if m in df.columns]
     return df.groupBy(*keys).agg(*sums)
 

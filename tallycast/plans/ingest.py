@@ -33,14 +33,15 @@ def process(
     """Processed fact: cleaned, splits merged, described, classified, dated, with derived metrics.
 
     Everything that depends on the merge keys is added after the merge, to fewer rows. Description
-    and category of the items are put into one table first, so the fact meets items in one join, whose
-    hot items Spark can split. ``described``: the same raw lines with fewer columns (item, date,
+    and category of the items are put into one table first, so the fact meets items in one join. One shuffle, by item and
+    deal, serves the merge and this join. ``described``: the same raw lines with fewer columns (item, date,
     description), where reading these is cheaper.
     """
-    merged = cleaning.merge_splits(cleaning.clean_lines(raw, cfg, aliases))
+    merged = cleaning.merge_splits(cleaning.dealt_lines(cleaning.clean_lines(raw, cfg, aliases)))
     texts = cleaning.clean_lines(raw if described is None else described, cfg, columns=["sku", "description"])
     items = cleaning.classify_items(cleaning.item_descriptions(texts), flags)
-    return cleaning.derived_metrics(cleaning.with_calendar(merged.join(items, "sku", "left")))
+    fact = merged.join(cleaning.dealt_items(items), ["sku", "deal"], "left").drop("deal")
+    return cleaning.derived_metrics(cleaning.with_calendar(fact))
 
 
 def views_of(data: DataFrame) -> dict[str, DataFrame]:
